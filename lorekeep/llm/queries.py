@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, mixing, packing, quality, secrets, token_attribution, topk, toxicity
+from lorekeep.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, token_attribution, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +19,11 @@ def op1_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit_quality(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_fuzzy_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup.line_decisions(docs).select("doc_id", "n_lines", "n_removed", F.length("kept_text").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -47,11 +53,15 @@ def op8_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_attribution.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op9_dart_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_dedup(table(spark, sf_dir, "documents"))
+
+
 def op10_golomb_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_quality, op3_source_mixing, op4_hilbert_packing, op5_gru_toxicity, op6_assignment_secrets, op7_norm_sorted_topk, op8_token_attribution, op10_golomb_exact_dedup)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_quality, op2_fuzzy_lines, op3_source_mixing, op4_hilbert_packing, op5_gru_toxicity, op6_assignment_secrets, op7_norm_sorted_topk, op8_token_attribution, op9_dart_near_dedup, op10_golomb_exact_dedup)}
 
 ORACLES: dict[str, str] = {
     "op7_norm_sorted_topk": """
