@@ -31,7 +31,8 @@ from lorekeep.llm.labelled import labelled_sample
 WINDOW, STRIDE = 64, 48
 #: At most so many labelled rows of each class, and so many pieces of so many characters of each.
 PER_CLASS, PIECES, PIECE_CHARS = {0: 3000, 1: 1000}, 4, 1200
-EPOCHS, BATCH, RATE, SEED = 5, 256, 0.01, 17
+#: Training: least steps, least passes, windows in a step, rate at the start, seed.
+STEPS, EPOCHS, BATCH, RATE, SEED = 300, 5, 128, 0.01, 17
 THRESHOLD = 0.7
 #: Words a task remembers, and windows it scores at once.
 TABLE_WORDS, WINDOWS_AT_ONCE = 200_000, 4096
@@ -63,7 +64,7 @@ def _grid(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.ascontiguousarray(grid.T), np.array(counts, np.int64)
 
 
-def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int = SEED) -> Network | None:
+def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network | None:
     labels = np.asarray(labels).astype(bool)
     if labels.all() or not labels.any():
         return None
@@ -84,8 +85,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         odds[i] = np.log((seen[1][w] + 0.1) / n[1]) - np.log((seen[0][w] + 0.1) / n[0]) if seen[1][w] + seen[0][w] > 2 else 0
     score = np.sort(odds[grid], axis=0)[-3:].sum(0)
     adam, rare = Adam(network, RATE), np.array([seen[0][w] + seen[1][w] <= 3 for w in column])
-    for epoch in range(epochs):
-        if epoch:
+    total = STEPS
+    while adam.steps < total:
+        if adam.steps:
             tables = network.projected(network.inputs(codes))
             score = np.concatenate([network.forward(tables, grid[:, i : i + WINDOWS_AT_ONCE]) for i in range(0, grid.shape[1], WINDOWS_AT_ONCE)])
         order = np.lexsort((-score, text))
@@ -93,6 +95,8 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
         rank[order] = np.arange(len(order)) - np.repeat(np.cumsum(counts) - counts, counts)
         chosen = np.flatnonzero((rank == 0) | (~toxic & ((rank == 1) | (draw.random(len(text)) < 0.1))))
         draw.shuffle(chosen)
+        if not adam.steps:
+            total = max(STEPS, EPOCHS * -(-len(chosen) // BATCH))
         y = toxic[chosen].astype(np.float32)
         for i in range(0, len(chosen), BATCH):
             part, target = chosen[i : i + BATCH], y[i : i + BATCH]
@@ -100,9 +104,9 @@ def train(texts: list[str], labels: np.ndarray, epochs: int = EPOCHS, seed: int
             if used[0] != 0:
                 used, index = np.concatenate([[0], used]), index + 1
             own = _subset(codes, used[1:] - 1)
+            adam.rate = RATE * 0.25 ** (adam.steps / total)
             drop = (draw.random(len(used) - 1) < 0.15) | (rare[used[1:] - 1] & (draw.random(len(used) - 1) < 0.7))
             adam.step(network.gradients(own, index.reshape(grid[:, part].shape), target, np.ones(len(part), np.float32), drop))
-        adam.rate *= 0.75
     # Words that training never saw keep their random start; that would only be noise.
     unseen = np.ones(len(network.weights["word"]), bool)
     unseen[codes.words] = False
@@ -189,22 +193,37 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] =
     return train([*rows["text"], ""], np.append(rows["label"].to_numpy(), 0)) if len(rows) else None
 
 
+def _scores(network: Network | None):
+    """A function from batches with a text column to pairs of a slice and its scores."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray]]:
+        scorer = Scorer(network) if network else None
+        for batch in slices(batches, limit=1 << 20):
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            yield batch, scorer.score(texts) if scorer and texts else np.zeros(len(texts))
+
+    return run
+
+
 def score_toxicity(docs: DataFrame, network: Network | None) -> DataFrame:
     """doc_id, held_out, score and predicted for every row of ``docs``."""
-    scored = with_scores(docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")), network)
+    scores = _scores(network)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, found in scores(batches):
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
+
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    scored = rows.mapInArrow(run, "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
-def with_scores(rows: DataFrame, network: Network | None, keep_text: bool = False) -> DataFrame:
-    """``rows`` (with a text column, not null) and the score; the text goes unless ``keep_text``."""
-    kept = [f for f in rows.schema.fields if keep_text or f.name != "text"]
-    names = [f.name for f in kept]
+def without_toxic(docs: DataFrame, network: Network | None, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of ``docs``, with all columns, whose text (a string column) scores below ``threshold``."""
+    scores = _scores(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(network) if network else None
-        for batch in slices(batches, limit=1 << 20):
-            scores = scorer.score(batch.column("text").to_pylist()) if scorer and batch.num_rows else np.zeros(batch.num_rows)
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array(scores, pa.float64())], names=[*names, "score"])
+        for batch, found in scores(batches):
+            yield batch.filter(pa.array(found < threshold))
 
-    schema = type(rows.schema)(kept).add("score", "double")
-    return rows.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)
