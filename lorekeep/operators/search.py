@@ -28,7 +28,11 @@ def query_terms(text: str) -> list[str]:
 
 def postings(observations: DataFrame) -> DataFrame:
     """The inverted index: id, project, term, and occurrences in title, body and tags."""
-    parts = [F.transform(tokens(F.coalesce(c, F.lit(""))), lambda t, i=i: F.struct(t.alias("term"), F.lit(i).alias("part"))) for i, c in enumerate((F.col("title"), F.col("body"), F.array_join("tags", " ")))]
+
+    def part(i: int, text: Column) -> Column:
+        return F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(i).alias("part")))
+
+    parts = [part(i, c) for i, c in enumerate((F.col("title"), F.col("body"), F.array_join("tags", " ")))]
     rows = observations.select("id", "project", F.explode(F.concat(*parts)).alias("p"))
     counts = [F.count_if(F.col("p.part") == i).alias(f"tf_{name}") for i, name in enumerate(("title", "body", "tags"))]
     return rows.groupBy("id", "project", F.col("p.term").alias("term")).agg(*counts)
@@ -50,7 +54,11 @@ def keyword_search(observations: DataFrame, text: str, limit: int | None, projec
     columns = [(tokens(F.coalesce(c, F.lit(""))), w) for c, w in ((F.col("title"), TITLE_WEIGHT), (F.col("body"), BODY_WEIGHT), (F.array_join("tags", " "), TAGS_WEIGHT))]
     names = [f"__c{i}" for i in range(len(columns))]
     rows = observations.select("*", *(c.alias(n) for (c, _), n in zip(columns, names, strict=True)))
-    tf = [sum((F.size(F.filter(n, lambda t, term=term: t == term)) * w for n, (_, w) in zip(names, columns, strict=True)), F.lit(0.0)).alias(f"__tf{i}") for i, term in enumerate(terms)]
+
+    def frequency(term: str) -> Column:
+        return sum((F.size(F.filter(n, lambda t: t == term)) * w for n, (_, w) in zip(names, columns, strict=True)), F.lit(0.0))
+
+    tf = [frequency(term).alias(f"__tf{i}") for i, term in enumerate(terms)]
     rows = rows.select("*", *tf, sum((F.size(n) for n in names), F.lit(0)).alias("__length")).drop(*names)
     stats = rows.agg(F.count("*").alias("__n"), F.avg("__length").alias("__average"), *(F.count_if(F.col(f"__tf{i}") > 0).alias(f"__df{i}") for i in range(len(terms))))
     hits = rows.filter(sum((F.col(f"__tf{i}") for i in range(len(terms))), F.lit(0.0)) > 0)

@@ -65,6 +65,6 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 EVENTS = """ev AS (
-    SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS project, event_type AS kind, epoch_ms(ts) AS created_at,
+    SELECT CAST(event_id AS VARCHAR) AS id, CAST(user_id AS VARCHAR) AS project, event_type AS kind, epoch_us(ts) // 1000 AS created_at,
            CASE WHEN value > 10 THEN 'open' ELSE 'done' END AS status, [event_type, 'k' || json_extract_string(props, '$.k')] AS tags, value
     FROM events)"""

@@ -47,7 +47,7 @@ def edge_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.resolve(_references(spark, sf_dir), _known(spark, sf_dir)).select("ref_id", "dst_id", "confidence", "score")
 
 
-_EDGES = """edges AS (SELECT l_orderkey * 10 + l_linenumber AS edge_id, 'f' AS file, l_orderkey AS line, CASE WHEN l_linestatus = 'O' THEN 'x.' || p_type ELSE p_type END AS dst_name,
+_EDGES = """edges AS (SELECT DISTINCT concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS edge_id, 'f' AS file, l_orderkey AS line, CASE WHEN l_linestatus = 'O' THEN 'x.' || p_type ELSE p_type END AS dst_name,
     CASE WHEN l_linestatus = 'F' THEN l_partkey END AS dst_id, 'calls' AS relation, 'c' || CAST(l_linenumber AS VARCHAR) AS confidence, l_discount AS score FROM lineitem JOIN part ON l_partkey = p_partkey)"""
 
 
@@ -55,7 +55,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
     lines, is_open = table(spark, sf_dir, "lineitem").join(parts, "l_partkey"), F.col("l_linestatus") == "O"
     return lines.select(
-        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("edge_id"),
+        F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("edge_id"),
         F.lit("f").alias("file"),
         F.col("l_orderkey").alias("line"),
         F.when(is_open, F.concat(F.lit("x."), F.col("p_type"))).otherwise(F.col("p_type")).alias("dst_name"),
@@ -72,7 +72,7 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT edge_id, dst_name, dst_id, confidence, score FROM edges e WHERE NOT contains(dst_name, '.') AND NOT EXISTS (SELECT 1 FROM edges q WHERE q.line = e.line AND q.dst_name = 'x.' || e.dst_name)""")
 def member_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualified calls take over what the bare call of the same line resolved to."""
-    return graph.merge_member_calls(_edges(spark, sf_dir).dropDuplicates(["edge_id"])).select("edge_id", "dst_name", "dst_id", "confidence", "score")
+    return graph.merge_member_calls(_edges(spark, sf_dir).distinct()).select("edge_id", "dst_name", "dst_id", "confidence", "score")
 
 
 _GRAPH = f"{_RESOLVED}, g AS (SELECT ref_id, line % 2000 AS src_id, dst_id, name AS dst_name, relation FROM resolved)"
