@@ -183,7 +183,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     lists = parts.groupBy("sid", "at").agg(F.collect_list(F.struct("low", "high", "times")).alias("__parts"))  # at most one document's blocks
     key = ["__doc_id", "__source", "__tie"]
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.lit(0)))
-    chosen = placed.join(lists, ["sid", "at"]).select(F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("size").alias("__size"), "__parts")
+    chosen = placed.filter("size > 0").join(lists, ["sid", "at"]).select(F.col("doc_id").alias("__doc_id"), F.col("source").alias("__source"), F.col("tie").alias("__tie"), F.col("size").alias("__size"), "__parts")
     chosen = chosen.withColumn("__nth", nth)
     whole = docs.select("*", docs["doc_id"].cast("long").alias("__doc_id"), docs["source"].cast("string").alias("__source"), F.xxhash64(text_of(docs)).alias("__tie"))
     whole = whole.withColumn("__nth", nth)
