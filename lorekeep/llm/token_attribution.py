@@ -42,8 +42,9 @@ def _encoding(path: str, pattern: str):
 
 def token_spans(text: str, lengths: np.ndarray, ids: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """Character spans of tokens; one that holds part of a character covers that character."""
-    ends = np.cumsum(lengths[np.array(ids, np.int64)])
-    starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+    own = lengths[np.array(ids, np.int64)]
+    ends = np.cumsum(own)
+    starts = ends - own
     if not text.isascii():
         data = np.frombuffer(text.encode(), np.uint8)
         character = np.cumsum((data & 0xC0) != 0x80) - 1
