@@ -66,9 +66,10 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(f"""WITH {_EDGES}, bare AS (SELECT line, dst_name AS tail, min(edge_id) AS best FROM edges WHERE dst_id IS NOT NULL AND NOT contains(dst_name, '.') GROUP BY ALL)
-    SELECT q.edge_id, q.dst_name, coalesce(q.dst_id, b.dst_id) AS dst_id, coalesce(b.confidence, q.confidence) AS confidence, coalesce(b.score, q.score) AS score
-    FROM edges q LEFT JOIN bare ON q.line = bare.line AND split_part(q.dst_name, '.', 2) = tail LEFT JOIN edges b ON b.edge_id = bare.best AND b.line = q.line WHERE contains(q.dst_name, '.')
+@query(f"""WITH {_EDGES}, bare AS (SELECT line, dst_name AS tail, arg_min(dst_id, (edge_id, dst_id, confidence, score)) AS b_dst, arg_min(confidence, (edge_id, dst_id, confidence, score)) AS b_confidence,
+        arg_min(score, (edge_id, dst_id, confidence, score)) AS b_score FROM edges WHERE dst_id IS NOT NULL AND NOT contains(dst_name, '.') GROUP BY line, dst_name)
+    SELECT q.edge_id, q.dst_name, coalesce(q.dst_id, b_dst) AS dst_id, coalesce(b_confidence, q.confidence) AS confidence, coalesce(b_score, q.score) AS score
+    FROM edges q LEFT JOIN bare ON q.line = bare.line AND split_part(q.dst_name, '.', 2) = tail WHERE contains(q.dst_name, '.')
     UNION ALL SELECT edge_id, dst_name, dst_id, confidence, score FROM edges e WHERE NOT contains(dst_name, '.') AND NOT EXISTS (SELECT 1 FROM edges q WHERE q.line = e.line AND q.dst_name = 'x.' || e.dst_name)""")
 def member_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualified calls take over what the bare call of the same line resolved to."""

@@ -99,7 +99,10 @@ def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.fuse([keyword, vector], LIMIT).select("id", F.round("score", 9).alias("score"))
 
 
-@query(f"""WITH {_keyword(60)}, {_VECTOR}60), {_FUSE}
+_OWN = _VECTOR.replace("WHERE", "WHERE e.vec_id IN (SELECT doc_id FROM documents) AND")
+
+
+@query(f"""WITH {_keyword(60)}, {_OWN}60), {_FUSE}
     SELECT d.id, d.title, round(f.score * (0.7 + 0.3 * pow(0.5, greatest(0, {NOW} - d.created_at) / 86400000.0 / 45.0)), 9) AS score
     FROM fused f JOIN docs d ON f.id = d.id""")
 def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
