@@ -34,14 +34,27 @@ def shared_folder(spark: SparkSession) -> str:
 
 def stored(df: DataFrame, label: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder and read again: lineage ends there and a
-    lost executor takes nothing with it. The files go when the application ends."""
+    lost executor takes nothing with it. The files go with ``discard``, or when the application ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    place = jvm.org.apache.hadoop.fs.Path(path)
-    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(place)
-    return spark.read.schema(df.schema).parquet(path)
+    files, place = _file(spark, path)
+    files.deleteOnExit(place)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._stored_at = path
+    return found
+
+
+def _file(spark: SparkSession, path: str):
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), place
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later plan reads."""
+    for table in tables:
+        files, place = _file(table.sparkSession, table._stored_at)
+        files.delete(place, True)
 
 
 def small(df: DataFrame, row_bytes: int) -> DataFrame:

@@ -21,13 +21,14 @@ read; ``deduplicated`` returns all columns.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import mix64, slices, small, stored, text_of
+from lorekeep.llm.common import discard, mix64, slices, small, stored, text_of
 from lorekeep.llm.linking import link, shared_buckets, with_contents
 
 GRAM, SIMILARITY, BANDS, ROWS, LEAST_CHARS = 8, 0.8, 12, 4, 40
@@ -39,13 +40,7 @@ _EMPTY = np.uint32(2**32 - 1)
 def signatures(lines: list[str]) -> np.ndarray:
     """A row of COORDINATES bins for each line of at least GRAM characters."""
     low = [s.lower() for s in lines]
-    counts = np.fromiter(map(len, low), np.int64, len(low)) - GRAM + 1
-    h = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        for width, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xA0761D6478BD642F), (4, 0xE7037ED1A0B428DB)):
-            h = h[:-width] * np.uint64(odd) + h[width:]
-    owner = np.repeat(np.arange(len(low)), counts)
-    h = mix64(h[np.arange(len(owner)) + (GRAM - 1) * owner])
+    owner, h = _hashed_grams(low)
     bins = np.full(len(low) * COORDINATES, _EMPTY, np.uint32)
     np.minimum.at(bins, owner * COORDINATES + ((h >> np.uint64(32)) * np.uint64(COORDINATES) >> np.uint64(32)).astype(np.int64), h.astype(np.uint32))
     bins = bins.reshape(-1, COORDINATES)
@@ -67,6 +62,18 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _hashed_grams(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Of lower-cased lines of at least GRAM characters: which line each shingle is of, and its hash."""
+    counts = np.fromiter(map(len, low), np.int64, len(low)) - GRAM + 1
+    h = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for width, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xA0761D6478BD642F), (4, 0xE7037ED1A0B428DB)):
+            h = h[:-width] * np.uint64(odd) + h[width:]
+    owner = np.repeat(np.arange(len(low)), counts)
+    return owner, mix64(h[np.arange(len(owner)) + (GRAM - 1) * owner])
+
+
+@lru_cache(maxsize=4096)  # a leader's pairs follow each other
 def grams(line: str) -> set[str]:
     line = line.lower()
     return {line[i : i + GRAM] for i in range(len(line) - GRAM + 1)}
@@ -79,6 +86,17 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "bands"])
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "content", 1 << 20):
+        if batch.num_rows:
+            owner, h = _hashed_grams([c.lower() for c in batch.column("content").to_pylist()])
+            order = np.lexsort((h, owner))
+            owner, h = owner[order], h[order]
+            new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))
+            nodes = batch.column("node").to_numpy()[owner[new]]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(h[new].view(np.int64)), pa.array(np.ones(len(nodes)))], names=["node", "element", "weight"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
@@ -101,9 +119,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     lines = lines.withColumn("node", F.xxhash64("line"))
     banded = stored(lines.select("node", "line").mapInArrow(_sign, "node long, bands array<long>"), "lines")
     members = shared_buckets(banded)
-    needed = small(stored(members.select("node").distinct(), "nodes"), 16)
-    contents = stored(lines.join(needed, "node", "left_semi").select("node", F.col("line").alias("content")).dropDuplicates(["node"]), "contents")
-    roots, _ = link(members, lambda pairs: with_contents(pairs, contents).mapInArrow(_verified, "a long, b long"))
+    needed = stored(members.select("node").distinct(), "nodes")
+    contents = stored(lines.join(small(needed, 16), "node", "left_semi").select("node", F.col("line").alias("content")).dropDuplicates(["node"]), "contents")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return with_contents(pairs, contents).mapInArrow(_verified, "a long, b long")
+
+    def elements(nodes: DataFrame) -> DataFrame:
+        return contents.join(nodes, "node").select("node", "content").mapInArrow(_elements, "node long, element long, weight double")
+
+    roots = link(members, verify, elements, SIMILARITY)
+    discard(banded, members, needed, contents)
 
     # A second hash parts different lines that share the first one, unless they were verified.
     seen = lines.select("doc_id", "tie", "line_no", "node", F.xxhash64(F.lit(1), "line").alias("check")).join(small(roots, 16), "node", "left")
@@ -122,16 +148,19 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     whole = docs.select("*", docs["doc_id"].cast("long").alias("__row_id"), F.xxhash64(text).alias("__row_tie"))
     found = whole.join(gone, (F.col("__row_tie") == F.col("__tie")) & F.col("__row_id").eqNullSafe(F.col("__doc_id")), "left")
     nth = F.row_number().over(Window.partitionBy("__row_tie", "__row_id").orderBy(F.lit(0)))
-    lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\n")
-    numbers = F.sequence(F.lit(0), F.size(lines) - 1)
+    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    same = (F.col("__nth") == 1) & F.col("__removed").isNull()
+    numbers = F.sequence(F.lit(0), F.size("__lines") - 1)
     short = F.filter(numbers, lambda i: F.length(_trimmed(F.get(F.col("__lines"), i))) < LEAST_CHARS)
-    kept = F.when(F.col("__nth") > 1, short).when(F.col("__removed").isNull(), numbers).otherwise(F.array_except(numbers, "__removed"))
-    found = found.withColumn("__nth", nth).withColumn("__lines", lines).withColumn("__kept", kept)
+    kept = F.when(F.col("__nth") > 1, short).otherwise(F.array_except(numbers, "__removed"))
+    # Documents that keep all their lines, the most, are not put together again.
+    found = found.withColumn("__nth", nth).withColumn("__lines", F.when(~same, F.split(text, "\n")))
+    found = found.withColumn("__kept", F.when(~same, kept))
     return found.select(
         *docs.columns,
-        F.size("__lines").alias("n_lines"),
-        (F.size("__lines") - F.size("__kept")).alias("n_removed"),
-        F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n").alias("kept_text"),
+        n_lines.alias("n_lines"),
+        F.when(same, 0).otherwise(n_lines - F.size("__kept")).alias("n_removed"),
+        F.when(same, text).otherwise(F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n")).alias("kept_text"),
     )
 
 

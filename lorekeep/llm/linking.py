@@ -1,12 +1,16 @@
 """From band buckets to connected components, without pairing off whole buckets.
 
-``link`` verifies every member of a bucket against a leader, first the smallest member and then
-another one chosen by hash, and unites what is similar. What is left are buckets that still hold
-several components. There, members outside the bucket's largest component are verified against all
-members of other components. In the end two members of a bucket are in one component, or they were
-compared, or at least one of them is in a component that all of the other's were compared with: no
-similar pair that shares a bucket is missed. A bucket of n copies that resemble each other costs
-about n comparisons, not n * n.
+``link`` verifies every member of a bucket against a leader and unites what is similar. The first
+leader is the bucket's hub: the member with the most companions over all its buckets, which among
+edited copies of a text is the copy nearest to the original. A second leader is chosen by hash.
+
+What is left are buckets that still hold several components. There, members outside the bucket's
+largest component are verified against members of other components, but only where an exact bound
+allows it: two sets of sizes m and n and similarity t have t / (1 + t) * (m + n) in common, and what
+a member has in common with another component is at most the weight of its elements that occur in
+more than one component. In the end two members of a bucket are in one component, or they were
+compared, or the bound rules them out: no similar pair that shares a bucket is missed. A bucket of n
+copies that resemble each other costs about n comparisons, not n * n.
 
 ``components`` is distributed union-find by alternating large-star and small-star steps. Each step
 is a grouped minimum and a join, so a hub of any degree is never gathered in one task.
@@ -16,72 +20,101 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import small, stored
+from lorekeep.llm.common import discard, small, stored
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, root for every node of ``edges`` (a, b); root is the component's smallest node."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges, before = stored(edges, "edges"), None
-    while True:
+    edges = stored(edges, "edges")
+    while _unsettled(edges).head(1):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = stored(large.distinct(), "large-star")
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "small-star")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if now == before:
-            break
-        before = now
+        before, edges = edges, stored(moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        discard(before)
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _unsettled(edges: DataFrame) -> DataFrame:
+    """Nodes that have several parents, or a parent and children: there are none once all edges lead to roots."""
+    several = edges.groupBy("u").agg(F.count("*").alias("n")).filter("n > 1").select("u")
+    return several.unionByName(edges.select(F.col("v").alias("u")).distinct().join(edges.select("u"), "u", "left_semi"))
+
+
 def shared_buckets(banded: DataFrame) -> DataFrame:
-    """bucket, node, leader: members of buckets with at least two nodes. ``banded`` is a stored table of node, bands."""
+    """bucket, node: members of buckets with at least two nodes. ``banded`` is a stored table of node, bands."""
     rows = banded.select("node", F.explode("bands").alias("bucket"))
-    shared = rows.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("other")).filter("leader < other")
-    shared = stored(shared.select("bucket", "leader"), "buckets")
-    return stored(rows.join(small(shared, 32), "bucket").distinct(), "members")
+    shared = rows.groupBy("bucket").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most")
+    shared = stored(shared.select("bucket"), "buckets")
+    members = stored(rows.join(small(shared, 32), "bucket").distinct(), "members")
+    discard(shared)
+    return members
 
 
-def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Components (node, root) and verified pairs (a, b) of ``members`` (bucket, node, leader).
+def _pairs(rows: DataFrame) -> DataFrame:
+    """a, b with a < b of rows with x, y."""
+    return rows.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
-    ``verify`` gets pairs (a, b) with a < b and returns those that are similar enough."""
 
-    def pairs(rows: DataFrame) -> DataFrame:
-        return rows.filter("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], elements: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Components (node, root) of ``members`` (bucket, node); nodes without a similar one don't appear.
+
+    ``verify`` gets pairs (a, b) with a < b and returns those of at least ``similarity``. ``elements``
+    gets nodes and returns node, element (a hash), weight: their sets."""
 
     def rooted(roots: DataFrame) -> DataFrame:
         return members.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
 
-    tested = stored(pairs(members.select(F.col("node").alias("x"), F.col("leader").alias("y"))), "pairs")
-    similar = stored(verify(tested), "similar")
+    def against(rows: DataFrame, rank: Column) -> DataFrame:
+        leaders = rows.groupBy("bucket").agg(F.max(F.struct(rank.alias("rank"), "node"))["node"].alias("y"), F.min("root").alias("least"), F.max("root").alias("most"))
+        return _pairs(rows.join(leaders.filter("least < most"), "bucket").select(F.col("node").alias("x"), "y"))
+
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("size"))
+    hubs = members.join(sizes, "bucket").groupBy("node").agg(F.sum("size").alias("company"))
+    rows = members.join(hubs, "node").withColumn("root", F.col("node"))
+    first = stored(against(rows, F.col("company")), "pairs")
+    similar = stored(verify(first), "similar")
     roots = components(similar)
 
-    rows = stored(rooted(roots), "rooted")
-    open_ = rows.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.min(F.struct(F.xxhash64("node", "bucket"), "node"))["node"].alias("y"))
-    second = rows.join(open_.filter("least < most").select("bucket", "y"), "bucket").select(F.col("node").alias("x"), "y")
-    second = stored(pairs(second).join(tested, ["a", "b"], "left_anti"), "pairs")
+    second = against(stored(rooted(roots), "rooted"), F.xxhash64("node", "bucket"))
+    second = stored(second.join(first, ["a", "b"], "left_anti"), "pairs")
     similar = stored(similar.unionByName(verify(second)), "similar")
-    tested = tested.unionByName(second)
+    tested = first.unionByName(second)
     roots = components(similar)
 
-    rows = stored(rooted(roots), "rooted")
-    sizes = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    heavy = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("heavy"), F.count("*").alias("roots")).filter("roots > 1").select("bucket", "heavy")
-    left = rows.join(heavy, "bucket")
-    outside = left.filter("root <> heavy").select("bucket", F.col("node").alias("x"), F.col("root").alias("x_root"))
-    rest = outside.join(left.select("bucket", F.col("node").alias("y"), F.col("root").alias("y_root")), "bucket").filter("x_root <> y_root").select("x", "y")
-    rest = stored(pairs(rest).join(tested, ["a", "b"], "left_anti"), "pairs")
+    left = _remaining(rooted(roots), elements, similarity)
+    rest = stored(left.join(tested, ["a", "b"], "left_anti"), "pairs")
     more = stored(verify(rest), "similar")
-    similar = similar.unionByName(more)
-    return (stored(components(similar), "roots") if more.head(1) else stored(roots, "roots")), similar
+    found = stored(components(similar.unionByName(more)) if more.head(1) else roots, "roots")
+    discard(left, rest, second, first)
+    return found
+
+
+def _remaining(rows: DataFrame, elements: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """Pairs (a, b) of different components that share a bucket and that the bound doesn't rule out, stored."""
+    counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
+    heavy = counts.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("heavy"), F.count("*").alias("roots")).filter("roots > 1")
+    open_ = stored(rows.join(heavy.select("bucket", "heavy"), "bucket"), "open")
+    nodes = stored(open_.select("node", "root").distinct(), "open-nodes")
+    sets = stored(elements(nodes.select("node")).join(nodes, "node"), "elements")
+    across = sets.groupBy("element").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least < most").select("element")
+    common = sets.join(across, "element").groupBy("node").agg(F.sum("weight").alias("common"))
+    sizes = sets.groupBy("node").agg(F.sum("weight").alias("size")).join(common, "node").filter(F.col("common") >= F.col("size") * (similarity - 1e-9))
+    able = open_.join(sizes, "node")
+    x = able.filter("root <> heavy").select("bucket", *(F.col(c).alias(f"x_{c}") for c in ("node", "root", "size", "common")))
+    y = able.select("bucket", *(F.col(c).alias(f"y_{c}") for c in ("node", "root", "size", "common")))
+    share = similarity / (1 + similarity) - 1e-9
+    possible = F.least("x_common", "y_common") >= (F.col("x_size") + F.col("y_size")) * share
+    found = _pairs(x.join(y, (x["bucket"] == y["bucket"]) & (F.col("x_root") != F.col("y_root")) & possible).select(F.col("x_node").alias("x"), F.col("y_node").alias("y")))
+    found = stored(found, "possible")
+    discard(open_, nodes, sets)
+    return found
 
 
 def with_contents(pairs: DataFrame, contents: DataFrame) -> DataFrame:

@@ -33,14 +33,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import mix64, slices, small, stored, text_of
+from lorekeep.llm.common import discard, mix64, slices, small, stored, text_of
 from lorekeep.llm.linking import link, shared_buckets, with_contents
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 COORDINATES = BANDS * ROWS
 DENSITY = 512  # about COORDINATES * (log(COORDINATES) + 2)
 #: Word hashes that a worker remembers; strips of elements handled at once.
-MEMORY_WORDS, STRIPS_AT_ONCE = 500_000, 1 << 18
+MEMORY_WORDS, STRIPS_AT_ONCE = 250_000, 1 << 17
 
 _WORD = re.compile(r"\w+")
 _POISSON = np.cumsum([np.exp(-1.0) / f for f in np.cumprod([1.0, *range(1, 16)])])
@@ -159,6 +159,15 @@ def _unpacked(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(content, np.uint64, n), np.frombuffer(content, np.uint32, n, 8 * n).astype(np.int64)
 
 
+def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in slices(batches, "content", 1 << 20):
+        if batch.num_rows:
+            sets = [_unpacked(c) for c in batch.column("content").to_pylist()]
+            nodes = np.repeat(batch.column("node").to_numpy(), [len(values) for values, _ in sets])
+            values, counts = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values.view(np.int64)), pa.array(counts.astype(float))], names=["node", "element", "weight"])
+
+
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch.column("content_a"), batch.column("content_b"), strict=True)
@@ -178,7 +187,15 @@ def _classes(docs: DataFrame) -> DataFrame:
     chosen = small(stored(chosen, "chosen"), 32)
     texts = rows.join(chosen, (rows["tie"] == chosen["node_tie"]) & rows["doc_id"].eqNullSafe(chosen["node_doc"])).select("node", "text")
     contents = stored(texts.mapInArrow(_contents, "node long, content binary").dropDuplicates(["node"]), "contents")
-    roots, _ = link(members, lambda pairs: with_contents(pairs, contents).mapInArrow(_verified, "a long, b long"))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        return with_contents(pairs, contents).mapInArrow(_verified, "a long, b long")
+
+    def elements(nodes: DataFrame) -> DataFrame:
+        return contents.join(nodes, "node").select("node", "content").mapInArrow(_elements, "node long, element long, weight double")
+
+    roots = link(members, verify, elements, SIMILARITY)
+    discard(members, needed, contents)
     found = signed.select("doc_id", "tie", "node", "check").join(roots, "node", "left")
     return found.select("doc_id", "tie", F.coalesce("root", "node").alias("key"), F.when(F.col("root").isNull(), F.col("check")).alias("check"))
 

@@ -26,15 +26,17 @@ def test_no_link_is_missed(spark):
     place = {i: float(draw.uniform(0, 30)) for i in range(80)}
     similar = lambda a, b: abs(place[a] - place[b]) < 0.6
     buckets = [(b, i) for b in range(4) for i in range(80) if draw.random() < 0.7]
-    leader = {b: min(i for c, i in buckets if c == b) for b in range(4)}
-    members = spark.createDataFrame([(b, i, leader[b]) for b, i in buckets], "bucket long, node long, leader long")
+    members = spark.createDataFrame(buckets, "bucket long, node long")
     near = spark.createDataFrame(list(place.items()), "n long, p double")
 
     def verify(pairs):
         both = pairs.join(near.toDF("a", "pa"), "a").join(near.toDF("b", "pb"), "b")
         return both.filter(F.abs(F.col("pa") - F.col("pb")) < 0.6).select("a", "b")
 
-    roots = {r["node"]: r["root"] for r in rows_of(linking.link(members, verify)[0])}
+    def elements(nodes):  # equal sets, so that the bound rules out nothing
+        return nodes.withColumn("element", F.explode(F.array(F.lit(1), F.lit(2)).cast("array<long>"))).withColumn("weight", F.lit(1.0))
+
+    roots = {r["node"]: r["root"] for r in rows_of(linking.link(members, verify, elements, 0.8))}
     shared = {tuple(sorted(p)) for b in range(4) for p in combinations([i for c, i in buckets if c == b], 2)}
     want = groups(80, [p for p in shared if similar(*p)])
     assert [roots.get(i, i) for i in range(80)] == want
@@ -98,6 +100,19 @@ def test_near_large_group(spark):
     assert all(r["class_size"] == 1 for r in found if r["doc_id"] >= 1000)
 
 
+def test_near_group_of_uneven_copies(spark):
+    """Copies with few and with many edits: classes are those of a comparison of all pairs."""
+    draw, base = np.random.default_rng(3), prose(60, 150).split()
+    rows = []
+    for i in range(250):
+        words = list(base)
+        for at in draw.integers(0, 150, int(draw.integers(0, 9))):
+            words[at] = f"edit{draw.integers(0, 60)}"
+        rows.append((i, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    check_near(df, rows_of(near_dedup.near_dedup(df)))
+
+
 def lines_that_go(docs):
     """Numbers of removed lines of each document, by comparing all pairs of lines that share a shingle."""
     seen, places = Counter(), []
