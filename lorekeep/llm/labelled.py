@@ -26,5 +26,5 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: d
     n, size = F.length("text"), pieces * piece_chars
     spread = [F.substr("text", (1 + F.floor((n - piece_chars) * i / max(1, pieces - 1))).cast("int"), F.lit(piece_chars)) for i in range(pieces)]
     excerpt = F.when(n <= size, F.col("text")).otherwise(F.concat_ws("\n", *spread))
-    found = joined.select("doc_id", "label", excerpt.alias("text")).toPandas()
-    return found.sort_values(["doc_id", "label", "text"], ignore_index=True)[["label", "text"]]
+    found = joined.groupBy("doc_id", "label").agg(F.min(excerpt).alias("text")).toPandas()  # one row of a repeated id
+    return found.sort_values(["doc_id", "label"], ignore_index=True)[["label", "text"]]
