@@ -99,7 +99,8 @@ def link(members: DataFrame, verify: Callable[[DataFrame], DataFrame], elements:
 def _remaining(rows: DataFrame, elements: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
     """Pairs (a, b) of different components that share a bucket and that the bound doesn't rule out, stored."""
     counts = rows.groupBy("bucket", "root").agg(F.count("*").alias("n"))
-    heavy = counts.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("heavy"), F.count("*").alias("roots")).filter("roots > 1")
+    heavy = counts.groupBy("bucket").agg(F.max(F.struct("n", "root"))["root"].alias("heavy"), F.count("*").alias("roots"), F.sum("n").alias("members"))
+    heavy = heavy.filter("roots > 1 and members > 2")  # the only pair of a bucket of two was compared with its leader
     open_ = stored(rows.join(heavy.select("bucket", "heavy"), "bucket"), "open")
     nodes = stored(open_.select("node", "root").distinct(), "open-nodes")
     sets = stored(elements(nodes.select("node")).join(nodes, "node"), "elements")
