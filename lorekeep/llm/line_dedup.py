@@ -1,7 +1,7 @@
 """Fuzzy line deduplication across documents.
 
-Lines of at least LEAST_CHARS characters (without white space at the ends) are sets of GRAM-character
-shingles in lower case. A one-permutation MinHash puts each shingle into one of COORDINATES bins
+Lines that aren't blank (without white space at the ends) are sets of GRAM-character shingles in lower
+case; a shorter line is one shingle, so it resembles only what equals it but for case. A one-permutation MinHash puts each shingle into one of COORDINATES bins
 and keeps each bin's smallest hash; empty bins copy from bins that a hash names. Bands of ROWS bins
 give candidate pairs, which are verified by exact Jaccard similarity of their shingles. Lines of
 SIMILARITY or more are linked, a distributed union-find makes components (see linking.py), and of
@@ -11,10 +11,10 @@ BANDS bands miss a pair of similarity 0.8 with probability 0.002, of 0.85 with 0
 Equal lines are one node, so a line repeated by a third of all documents costs no comparisons. Its
 occurrences are counted and joined by grouped minima, never gathered.
 
-Defined results: null text counts as empty. Shorter and blank lines are never removed. A document
+Defined results: null text counts as empty. Blank lines are never removed. A document
 that had text and loses all its lines that aren't blank is dropped by ``deduplicated``. Of rows that
-repeat (the same doc_id and text) the first may keep lines, the others lose all lines that are long
-enough. A null doc_id ranks above all others. An empty table gives no rows. Only doc_id and text are
+repeat (the same doc_id and text) the first may keep lines, the others lose all lines that aren't
+blank. A null doc_id ranks above all others. An empty table gives no rows. Only doc_id and text are
 read; ``deduplicated`` returns all columns.
 """
 
@@ -31,26 +31,30 @@ from pyspark.sql import functions as F
 from lorekeep.llm.common import discard, mix64, slices, small, stored, text_of
 from lorekeep.llm.linking import link, shared_buckets, with_contents
 
-GRAM, SIMILARITY, BANDS, ROWS, LEAST_CHARS = 8, 0.8, 12, 4, 40
+GRAM, SIMILARITY, BANDS, ROWS, LEAST_CHARS = 8, 0.8, 12, 4, 1
 COORDINATES = BANDS * ROWS
 BLANK = " \t\r\f\v"
 _EMPTY = np.uint32(2**32 - 1)
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """A row of COORDINATES bins for each line of at least GRAM characters."""
-    low = [s.lower() for s in lines]
-    owner, h = _hashed_grams(low)
-    bins = np.full(len(low) * COORDINATES, _EMPTY, np.uint32)
-    np.minimum.at(bins, owner * COORDINATES + ((h >> np.uint64(32)) * np.uint64(COORDINATES) >> np.uint64(32)).astype(np.int64), h.astype(np.uint32))
+    """A row of COORDINATES bins for each line."""
+    owner, h = _hashed_grams([s.lower() for s in lines])
+    bins = np.full(len(lines) * COORDINATES, _EMPTY, np.uint32)
+    np.minimum.at(bins, owner * COORDINATES + ((h >> np.uint64(32)) * np.uint64(COORDINATES) >> np.uint64(32)).astype(np.int64), np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
     bins = bins.reshape(-1, COORDINATES)
+    single = np.flatnonzero((bins != _EMPTY).sum(1) == 1)  # all copies come from the only bin
+    bins[single] = bins[single].min(1, keepdims=True)
     filled, turn = bins.copy(), 0
-    while len(rows := np.flatnonzero((filled == _EMPTY).any(1))):
+    row, column = np.nonzero(bins == _EMPTY)
+    while len(row):
         turn += 1
         with np.errstate(over="ignore"):
             donor = (mix64(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(turn * 1000)) % np.uint64(COORDINATES)).astype(np.int64)
-        part = filled[rows]
-        filled[rows] = np.where(part == _EMPTY, bins[rows][:, donor if turn < 1000 else np.roll(np.arange(COORDINATES), turn)], part)
+        found = bins[row, (donor if turn < 1000 else np.roll(np.arange(COORDINATES), turn))[column]]
+        filled[row, column] = found
+        left = found == _EMPTY
+        row, column = row[left], column[left]
     return filled
 
 
@@ -63,7 +67,8 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
 
 
 def _hashed_grams(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of lower-cased lines of at least GRAM characters: which line each shingle is of, and its hash."""
+    """Of lower-cased lines: which line each shingle is of, and its hash. Shorter lines are filled up to one shingle."""
+    low = [s.ljust(GRAM, "\0") for s in low]
     counts = np.fromiter(map(len, low), np.int64, len(low)) - GRAM + 1
     h = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
     with np.errstate(over="ignore"):
@@ -76,14 +81,17 @@ def _hashed_grams(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=4096)  # a leader's pairs follow each other
 def grams(line: str) -> set[str]:
     line = line.lower()
-    return {line[i : i + GRAM] for i in range(len(line) - GRAM + 1)}
+    return {line} if len(line) < GRAM else {line[i : i + GRAM] for i in range(len(line) - GRAM + 1)}
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "line", 1 << 20):
-        keys = band_keys(signatures(batch.column("line").to_pylist())) if batch.num_rows else np.zeros((0, BANDS), np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(keys) + 1, dtype=np.int32) * BANDS), pa.array(keys.ravel()))
-        yield pa.RecordBatch.from_arrays([batch.column("node"), lists], names=["node", "bands"])
+        once = dict(zip(batch.column("line").to_pylist(), batch.column("node").to_pylist(), strict=True))  # copies are signed once
+        keys = band_keys(signatures(list(once))) if once else np.zeros((0, BANDS), np.int64)
+        short = np.fromiter((len(s.lower()) < GRAM for s in once), bool, len(once))  # sets of one shingle need one band
+        used = ~short[:, None] | (np.arange(BANDS) == 0)
+        ends = np.append(0, used.sum(1).cumsum()).astype(np.int32)
+        yield pa.RecordBatch.from_arrays([pa.array(once.values(), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[used]))], names=["node", "bands"])
 
 
 def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -164,3 +164,17 @@ def test_lines_messy(messy, nothing):
     assert set(kept[0]) == set(messy.columns) and None in [r["text"] for r in kept]
     assert not any((r["text"] or "").upper() == (r["text"] or "") != "" and len(r["text"]) > 500 and " " in r["text"].strip() for r in kept)  # the upper-case copy is gone
     assert line_dedup.deduplicated(nothing).count() == 0
+
+
+def test_short_lines(spark):
+    """Lines of any length go: copies, copies but for case, near copies; blank lines stay, also in repeated rows."""
+    long = "a line of more than forty characters, held once"
+    df = spark.createDataFrame([(1, "Menu\n\n}\nRead more about harbours"), (2, "menu\n}\n \nread more about harbours!\nMen"), (3, long + "\n}\n\nOk"), (3, long + "\n}\n\nOk")], "doc_id long, text string")
+    rows = rows_of(line_dedup.line_decisions(df))
+    assert sorted((r["doc_id"], r["kept_text"]) for r in rows) == [(1, "Menu\n\n}\nRead more about harbours"), (2, " \nMen"), (3, ""), (3, long + "\n\nOk")]
+    check_lines(df, rows)
+
+
+def test_lines_of_few_shingles_have_whole_signatures():
+    bins = line_dedup.signatures(["}", "exactly8", "nine char", "a line with more shingles than those before it"])
+    assert (bins != 2**32 - 1).all() and len(set(bins[0])) == len(set(bins[1])) == 1
