@@ -7,7 +7,8 @@ reported when the name that receives it is sensitive and the literal looks like
 
 Defined results: null text counts as empty; an empty text has no spans, zero counts and the digest
 of the empty string. Spans are in code points with an exclusive end. Repeated rows give repeated
-results. Columns other than doc_id and text are not read. No state crosses documents, so there is
+results. Names, blanks and literals may be of any length; each character is read a bounded number of
+times. Columns other than doc_id and text are not read. No state crosses documents, so there is
 no shuffle, and a lost task is simply run again.
 """
 
@@ -29,15 +30,15 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 #: A line with an assignment: a dotted name or a quoted key, an optional type, then ``=``, ``:``, ``:=`` or ``=>``.
-_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]{0,80})["']?[ \t]{0,8}(?::[ \t]{0,8}[A-Za-z_][\w<>\[\]]{0,40}[ \t]{0,8}=|=>|:=|=(?!=)|:)[ \t]{0,8}""", re.A)
-_QUOTED = re.compile(r"""(?:[rbfu]{0,2})("(?:[^"\\\n]|\\.){0,4096}"|'(?:[^'\\\n]|\\.){0,4096}'|`[^`\n]{0,4096}`)""", re.I | re.A)
-_BARE = re.compile(r"[^\s,;#\"'`{}()\[\]]{1,4096}")
+_PAIR = re.compile(r"""(?<![\w.$-])["']?([A-Za-z_$][\w.$-]*+)["']?[ \t]*+(?::[ \t]*+[A-Za-z_][\w<>\[\]]*+[ \t]*+=|=>|:=|=(?!=)|:)[ \t]*+""", re.A)
+_QUOTED = re.compile(r"""(?:[rbfu]{0,2})("(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`[^`\n]*+`)""", re.I | re.A)
+_BARE = re.compile(r"[^\s,;#\"'`{}()\[\]]++")
 _NAME = re.compile(r"[A-Za-z_$][\w.$-]*\Z", re.A)
 _WORDS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+", re.A)
 #: Words in a name and how much they suggest that it holds a credential.
 _SENSITIVE = {"password": 4, "passwd": 4, "pwd": 4, "passphrase": 4, "secret": 4, "token": 3, "apikey": 4, "credential": 3, "credentials": 3, "auth": 2, "key": 2, "private": 2, "access": 1, "api": 1, "signing": 2, "encryption": 2, "bearer": 3, "dsn": 2, "salt": 2}
 _HARMLESS = {"public": -3, "max": -2, "min": -2, "count": -3, "length": -3, "size": -3, "name": -2, "type": -2, "id": -1, "path": -2, "file": -2, "url": -1, "expiry": -3, "ttl": -3, "limit": -3, "tokenizer": -4}
-_PLACEHOLDER = re.compile(r"(?:x{3,}|\*{3,}|<.*>|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change_?me|example|placeholder|none|null|true|false|todo|your[_-].*)\Z", re.I | re.A)
+_PLACEHOLDER = re.compile(r"(?:x{3,}|\*{3,}|\$\{.*\}|\{\{.*\}\}|%\(.*\)s|change_?me|example|placeholder|none|null|true|false|todo|your[_-].*)\Z", re.I | re.A)
 #: Sum of the scores of name and literal from which a span is reported, and the shortest literal.
 THRESHOLD, SHORTEST = 5, 6
 
@@ -54,36 +55,46 @@ def name_score(name: str) -> int:
     return sum(_SENSITIVE.get(w, 0) + _HARMLESS.get(w, 0) for w in words)
 
 
-def literal_score(value: str) -> int:
-    """0 for what can't be a credential; more for length, mixed character classes and entropy."""
-    if len(value) < SHORTEST or _PLACEHOLDER.match(value):
-        return 0
-    classes = sum(bool(re.search(c, value)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]"))
-    n = len(value)
-    entropy = -sum(c / n * math.log2(c / n) for c in Counter(value).values())
-    return (1 + (classes > 1) + (n >= 12) + (entropy > 3.0) + (entropy > 3.8)) * (" " not in value)
+def literal_scores(text: str, literals: set[tuple[int, int]]) -> dict[tuple[int, int], int]:
+    """For each literal (start, end) of ``text`` 0 if it can't be a credential; more for length, mixed
+    character classes and entropy. Literals that share their end are counted from there, each character once."""
+    scores, last, counts = {}, None, Counter()
+    for end, start in sorted(((e, s) for s, e in literals), reverse=True):
+        if last is None or end != last[0]:
+            last, counts = (end, end), Counter()
+        counts.update(text[start : last[1]])
+        last, n = (end, start), end - start
+        if n < SHORTEST or " " in counts or (text[start] == "<" and text[end - 1] == ">") or _PLACEHOLDER.match(text, start, end):
+            scores[start, end] = 0
+            continue
+        distinct = "".join(counts)
+        classes = sum(bool(re.search(c, distinct)) for c in ("[a-z]", "[A-Z]", "[0-9]", r"[^\w\s]"))
+        entropy = -sum(c / n * math.log2(c / n) for c in counts.values())
+        scores[start, end] = 1 + (classes > 1) + (n >= 12) + (entropy > 3.0) + (entropy > 3.8)
+    return scores
 
 
 def lexed_spans(text: str) -> list[tuple[int, int, str]]:
     """Literals that reach a sensitive name, directly or through names that hold them."""
     constants: dict[str, tuple[int, int]] = {}
-    spans = set()
+    received: dict[tuple[int, int], int] = {}
+    run = 0
     for pair in _PAIR.finditer(text):
         name, at = pair.group(1), pair.end()
         if quoted := _QUOTED.match(text, at):
             start, end = quoted.start(1) + 1, quoted.end(1) - 1
-        elif bare := _BARE.match(text, at):
-            start, end = bare.start(), bare.end()
-            other = bare.group()
-            if _NAME.match(other) and (held := constants.get(other)):
+        elif at < run or (bare := _BARE.match(text, at)):
+            # A run of bare characters is read once, however many pairs are in it.
+            start, end = at, run if at < run else bare.end()
+            run = end
+            if _NAME.match(text, start, end) and (held := constants.get(text[start:end])):
                 start, end = held
         else:
             continue
         constants[name] = (start, end)
-        score = name_score(name)
-        if score >= 2 and (literal := literal_score(text[start:end])) and score + literal >= THRESHOLD:
-            spans.add((start, end, "lexed"))
-    return sorted(spans)
+        received[start, end] = max(received.get((start, end), 0), name_score(name))
+    scores = literal_scores(text, {x for x, n in received.items() if n >= 2})
+    return sorted((*x, "lexed") for x, literal in scores.items() if literal and received[x] + literal >= THRESHOLD)
 
 
 def _joined(spans: list[tuple[int, int, str]]) -> str:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import pytest
 
@@ -59,3 +60,22 @@ def test_table(spark, sf):
 
 def test_empty(nothing):
     assert secret_scan(nothing).count() == 0
+
+
+def test_no_length_is_too_long():
+    long = "aB3$" * 3000
+    assert found("private_key" + " " * 10 + '= "q9Zr7Lm2Xv!a"') == found("private_key=" + "\t" * 5000 + "q9Zr7Lm2Xv!a") == ["q9Zr7Lm2Xv!a"]
+    assert found("n" * 5000 + '_password = "q9Zr7Lm2Xv"') == ["q9Zr7Lm2Xv"]
+    assert found("auth_token: " + "T" * 500 + " = 'q9Zr7Lm2Xv'") == ["q9Zr7Lm2Xv"]
+    assert found(f'secret = "{long}"') == found(f"secret = {long}") == [long]
+    assert found(f'x{" " * 20}= "{long}"\nclient_secret = x\n') == [long]
+
+
+def test_long_runs_stay_linear():
+    text = "key:" * 50_000
+    started = time.perf_counter()
+    assert len(lexed_spans(text)) > 40_000
+    lexed_spans("key:<" * 50_000)
+    lexed_spans('a = "' + "x1Y" * 100_000 + '"\n' + "token = a\n" * 20_000)
+    lexed_spans("key" + " " * 200_000 + '"' * 100_000)
+    assert time.perf_counter() - started < 30
