@@ -5,8 +5,9 @@ a Hilbert curve, so that documents that follow each other resemble each other. D
 end to end in that order and cut every ``length`` tokens: only the last sequence can need padding.
 
 The order is total and reruns agree: Hilbert key, then a hash of the row. The curve is divided into
-buckets of bounded token counts from a histogram over its 4096 coarsest cells; a cell that holds
-more (a third of all rows may share one key) is split by the hash. Each bucket learns its first
+buckets of bounded token counts from a histogram over its 4096 coarsest cells; cells that hold more
+are counted again by further bits of the key, and what one whole key holds (a third of all rows may
+share it) is split by ranges of the hash. The order depends on nothing but the rows. Each bucket learns its first
 position from a prefix sum over buckets, so no task sees more than its buckets' rows.
 
 Encoding goes chunk by chunk, where blanks and newlines separate chunks. The tokenizer drops white
@@ -28,13 +29,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import mix64, shuffle_partitions, slices, stored, text_of
 
 LENGTH, END_ID = 4096, 2
-VECTOR_DIMS, CURVE_DIMS, CURVE_BITS, CELL_BITS, SEED = 256, 3, 10, 12, 11
+VECTOR_DIMS, CURVE_DIMS, CURVE_BITS, CELL_BITS, FINER_BITS, SEED = 256, 3, 10, 12, 6, 11
 #: Chunks a Python worker remembers, and the longest that it does.
 MEMORY_CHUNKS, MEMORY_CHARS = 600_000, 48
 LEAST_BUCKET, MOST_BUCKET = 1 << 16, 1 << 25
@@ -178,26 +179,43 @@ def _cut(length: int, with_ids: bool):
 _PIECES = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
 
 
+def _cell(bits: int) -> Column:
+    """The first ``bits`` bits of the key."""
+    return F.shiftright("key", CURVE_DIMS * CURVE_BITS - bits)
+
+
 def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = False) -> DataFrame:
     """Pieces of documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and the ids if asked for."""
     spark = docs.sparkSession
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(docs["doc_id"], text).alias("tie"))
     tokens = stored(rows.mapInArrow(_tokenise(path), "doc_id long, tie long, key long, tokens long, ids binary"), "tokens")
-    cell = F.shiftright("key", CURVE_DIMS * CURVE_BITS - CELL_BITS).cast("int")
-    counted = tokens.groupBy(cell.alias("cell")).agg(F.sum("tokens")).orderBy("cell").collect()  # at most 2**CELL_BITS rows
     tasks = shuffle_partitions(spark)
-    most = min(MOST_BUCKET, max(LEAST_BUCKET, math.ceil(sum(n for _, n in counted) / (4 * tasks))))
-    plan, bucket, filled = [], 0, 0
-    for c, n in counted:
+    key_bits, leaves, part, most = CURVE_DIMS * CURVE_BITS, [], tokens, None
+    for bits in range(CELL_BITS, key_bits + 1, FINER_BITS):
+        # At most 2**CELL_BITS rows, then 2**FINER_BITS for each heavy cell, of which there are fewer than 4 * tasks.
+        counted = part.groupBy(_cell(bits).alias("cell")).agg(F.sum("tokens")).collect()
+        if most is None:
+            most = min(MOST_BUCKET, max(LEAST_BUCKET, math.ceil(sum(n for _, n in counted) / (4 * tasks))))
+        heavy = [(c,) for c, n in counted if n > most and bits < key_bits]
+        leaves += [(c << key_bits - bits, bits, c, n) for c, n in counted if n <= most or bits == key_bits]
+        if not heavy:
+            break
+        part = tokens.join(F.broadcast(spark.createDataFrame(heavy, "heavy long")), _cell(bits) == F.col("heavy"), "left_semi")
+    plan, bucket, filled = {}, 0, 0
+    for _, bits, c, n in sorted(leaves):
         if filled and filled + n > most:
             bucket, filled = bucket + 1, 0
         parts = max(1, math.ceil(n / most))
-        plan.append((c, bucket, parts))
+        plan.setdefault(bits, []).append((c, bucket, parts))
         bucket, filled = bucket + parts - 1, filled + n if parts == 1 else most
-    cells = spark.createDataFrame(plan, "cell int, bucket int, parts int")
-    dealt = tokens.withColumn("cell", cell).join(F.broadcast(cells), "cell")
-    dealt = dealt.withColumn("bucket", F.col("bucket") + F.pmod("tie", "parts").cast("int")).drop("cell", "parts")
+    dealt = tokens.select("*", F.lit(None).cast("int").alias("bucket"), F.lit(1).alias("parts"))
+    for bits, cells in plan.items():
+        found = F.broadcast(spark.createDataFrame(cells, "cell long, own int, own_parts int"))
+        dealt = dealt.join(found, _cell(bits) == F.col("cell"), "left")
+        dealt = dealt.withColumn("bucket", F.coalesce("own", "bucket")).withColumn("parts", F.coalesce("own_parts", "parts")).drop("cell", "own", "own_parts")
+    range_ = F.least(F.floor((F.col("tie").cast("double") / 2.0**64 + 0.5) * F.col("parts")), F.col("parts") - 1)
+    dealt = dealt.withColumn("bucket", F.col("bucket") + range_.cast("int")).drop("parts")
     sums = dealt.groupBy("bucket").agg(F.sum("tokens").alias("sum"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select("bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))  # one row for each bucket

@@ -69,3 +69,15 @@ def test_hilbert():
     keys = packing.hilbert_keys(grid, 3)
     assert sorted(keys) == list(range(512))
     assert (np.abs(np.diff(grid[np.argsort(keys)], axis=0)).sum(1) == 1).all()
+
+
+def test_order_depends_on_rows_alone(spark, messy, monkeypatch):
+    """However small the buckets are, the order is that of one bucket: key, then hash."""
+    docs = messy.unionByName(messy.limit(1).drop("doc_id").crossJoin(spark.range(100, 130).withColumnRenamed("id", "doc_id")))  # many share a key
+    monkeypatch.setattr(packing, "LEAST_BUCKET", 1 << 40)
+    monkeypatch.setattr(packing, "MOST_BUCKET", 1 << 40)
+    whole = sorted(map(str, rows_of(packing.pack(docs, PATH, length=64))))
+    for size in (3000, 300, 1):
+        monkeypatch.setattr(packing, "LEAST_BUCKET", size)
+        monkeypatch.setattr(packing, "MOST_BUCKET", size)
+        assert sorted(map(str, rows_of(packing.pack(docs, PATH, length=64)))) == whole, size
