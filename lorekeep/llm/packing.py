@@ -147,7 +147,8 @@ def _tokenise(path: str):
         for batch in slices(batches):
             ids = [np.frombuffer(b + end, "<u4") for b in encoder.encode(batch.column("text").to_pylist())]
             keys = curve_keys(ids, len(encoder.ends_word))
-            packed = pa.array([i.astype("<u2").tobytes() for i in ids], pa.binary())
+            width = "<u2" if len(encoder.ends_word) <= 1 << 16 else "<u4"
+            packed = pa.array([i.astype(width).tobytes() for i in ids], pa.binary())
             columns = [batch.column("doc_id"), batch.column("tie"), pa.array(keys, pa.int64()), pa.array([len(i) for i in ids], pa.int64()), packed]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tie", "key", "tokens", "ids"])
 
@@ -159,10 +160,10 @@ def _cut(length: int, with_ids: bool):
         bucket, position = None, 0
         for batch in batches:
             rows = []
-            for doc_id, own, base, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bucket", "base", "ids")), strict=True):
+            for doc_id, own, base, tokens, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bucket", "base", "tokens", "ids")), strict=True):
                 if own != bucket:
                     bucket, position = own, base
-                ids = np.frombuffer(packed, "<u2").astype("<u4")
+                ids = np.frombuffer(packed, f"<u{len(packed) // tokens}").astype("<u4")
                 data, n, start = memoryview(ids.tobytes()), len(ids), 0
                 while start < n:
                     sequence, offset = divmod(position, length)
@@ -221,4 +222,4 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
     bases = sums.select("bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))  # one row for each bucket
     placed = dealt.join(bases, "bucket").repartitionByRange(tasks, "bucket").sortWithinPartitions("bucket", "key", "tie", "doc_id")
     kinds = ["long"] * 7 + ["array<int>"] * with_ids
-    return placed.select("doc_id", "bucket", "base", "ids").mapInArrow(_cut(length, with_ids), ", ".join(f"{n} {k}" for n, k in zip(_PIECES, kinds, strict=False)))
+    return placed.select("doc_id", "bucket", "base", "tokens", "ids").mapInArrow(_cut(length, with_ids), ", ".join(f"{n} {k}" for n, k in zip(_PIECES, kinds, strict=False)))

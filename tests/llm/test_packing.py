@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, models, pre_tokenizers
 
 from lorekeep.llm import packing
 from lorekeep.llm.queries import op4_hilbert_packing
@@ -81,3 +81,12 @@ def test_order_depends_on_rows_alone(spark, messy, monkeypatch):
         monkeypatch.setattr(packing, "LEAST_BUCKET", size)
         monkeypatch.setattr(packing, "MOST_BUCKET", size)
         assert sorted(map(str, rows_of(packing.pack(docs, PATH, length=64)))) == whole, size
+
+
+def test_large_vocabulary(spark, tmp_path):
+    tokenizer = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
+    tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+    tokenizer.save(f"{tmp_path}/large.json")
+    docs = spark.createDataFrame([(1, "w5 w65535 w65536 w69999")], "doc_id long, text string")
+    (row,) = rows_of(packing.pack(docs, f"{tmp_path}/large.json", with_ids=True))
+    assert row["ids"] == [5, 65535, 65536, 69999, 2]
