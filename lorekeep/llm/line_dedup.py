@@ -8,8 +8,8 @@ SIMILARITY or more are linked, a distributed union-find makes components (see li
 each component only the first occurrence stays: that with the smallest doc_id, then line number.
 BANDS bands miss a pair of similarity 0.8 with probability 0.002, of 0.85 with 0.0002.
 
-Equal lines are one node, so a line repeated by a third of all documents costs no comparisons. Its
-occurrences are counted and joined by grouped minima, never gathered.
+Equal lines are one node, so a line repeated by a third of all documents costs no comparisons. The
+first of its occurrences is a grouped minimum; the others go by their own places, never gathered.
 
 Defined results: null text counts as empty. Blank lines are never removed. A document
 that had text and loses all its lines that aren't blank is dropped by ``deduplicated``. Of rows that
@@ -139,14 +139,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     roots = link(members, verify, elements, SIMILARITY)
     discard(banded, members, needed, contents)
 
-    # A second hash parts different lines that share the first one, unless they were verified.
-    seen = lines.select("doc_id", "tie", "line_no", "node", F.xxhash64(F.lit(1), "line").alias("check")).join(small(roots, 16), "node", "left")
+    # A second hash parts different lines that share the first one, unless they were verified. What joins is
+    # a row for each node, and then places, which are of one line each: no task gets a frequent line's occurrences.
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", "line_no")
+    seen = stored(lines.select("node", F.xxhash64(F.lit(1), "line").alias("check"), place.alias("place")), "occurrences")
+    groups = seen.groupBy("node", "check").agg(F.min("place").alias("first")).join(small(roots, 16), "node", "left")
     key = F.coalesce("root", "node").alias("key"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check")
-    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "line_no")
-    seen = stored(seen.select(*key, place.alias("place")), "occurrences")
-    groups = seen.groupBy("key", "check").agg(F.min("place").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
-    gone = seen.join(groups, ["key", "check"]).filter("place <> first")
-    return gone.groupBy(F.col("place.doc_id").alias("doc_id"), F.col("place.tie").alias("tie")).agg(F.collect_set("place.line_no").alias("removed"))
+    kept = groups.select(*key, "first").groupBy("key", "check").agg(F.min("first").alias("place"))
+    gone = seen.select("place.*").join(kept.select("place.*"), ["last", "doc_id", "tie", "line_no"], "left_anti")
+    return gone.groupBy(F.when(~F.col("last"), F.col("doc_id")).alias("doc_id"), "tie").agg(F.collect_set("line_no").alias("removed"))
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:

@@ -178,3 +178,11 @@ def test_short_lines(spark):
 def test_lines_of_few_shingles_have_whole_signatures():
     bins = line_dedup.signatures(["}", "exactly8", "nine char", "a line with more shingles than those before it"])
     assert (bins != 2**32 - 1).all() and len(set(bins[0])) == len(set(bins[1])) == 1
+
+
+def test_occurrences_join_by_their_own_places(spark):
+    df = spark.createDataFrame([(i, "a line that all documents hold, held once") for i in range(20)] + [(None, "a line that all documents hold, held once")], "doc_id long, text string")
+    gone = line_dedup.removed_lines(df)
+    plan = gone._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftAnti" in plan and "Join Inner" not in plan
+    assert {r["doc_id"]: r["removed"] for r in rows_of(gone)} == {i: [0] for i in [*range(1, 20), None]}
