@@ -206,3 +206,11 @@ def test_ages(value):
     now = 100 * DAY
     for back, text in ((0, "just now"), (60_000, "1 minute ago"), (7_200_000, "2 hours ago"), (DAY, "1 day ago")):
         assert value(lambda t: report.age_text(t, now), now - back, kind="long") == text
+
+
+def test_vector_search_newest(spark):
+    """A cap on candidates leaves out the nearest if it is old; without one all rows are searched."""
+    rows = [(str(i), [1.0 - 0.1 * i, 0.1 * i], i) for i in range(5)]
+    df = spark.createDataFrame(rows, "id string, embedding array<float>, created_at long")
+    assert [r["id"] for r in search.vector_search(df, [1.0, 0.0], 2, newest=3).collect()] == ["2", "3"]
+    assert [r["id"] for r in search.vector_search(df, [1.0, 0.0], 2).collect()] == ["0", "1"]
