@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import itertools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -85,6 +89,30 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
             start = stop
 
 
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, with freed memory given back when a partition ends: workers outlive the stages of a job."""
+
+    def tidied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return tidied
+
+
+def row_tie(docs: DataFrame) -> Column:
+    """A hash of all columns that can be hashed: rows that differ are told apart alike in every run."""
+    return F.xxhash64(*(docs[f"`{f.name}`"] for f in docs.schema.fields if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))))
+
+
+def row_numbers() -> Iterator[int]:
+    """Numbers for the rows of a task that no other task gives. They hold once the result is stored."""
+    return itertools.count(TaskContext.get().partitionId() << 33)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective mixing of 64-bit words (the finaliser of splitmix64)."""
     with np.errstate(over="ignore"):

@@ -8,49 +8,74 @@ SIMILARITY or more are linked, a distributed union-find makes components (see li
 each component only the first occurrence stays: that with the smallest doc_id, then line number.
 BANDS bands miss a pair of similarity 0.8 with probability 0.002, of 0.85 with 0.0002.
 
-Equal lines are one node, so a line repeated by a third of all documents costs no comparisons. The
-first of its occurrences is a grouped minimum; the others go by their own places, never gathered.
+Texts are read once: a table is stored in which every row has a number and the hashes of its lines.
+Equal lines are one node, so a line repeated by a third of all documents costs no comparisons. Only
+lines that repeat or resemble others are looked at again: the first of them is a grouped minimum, the
+others go by their own places, never gathered.
 
 Defined results: null text counts as empty. Blank lines are never removed. A document
-that had text and loses all its lines that aren't blank is dropped by ``deduplicated``. Of rows that
-repeat (the same doc_id and text) the first may keep lines, the others lose all lines that aren't
-blank. A null doc_id ranks above all others. An empty table gives no rows. Only doc_id and text are
-read; ``deduplicated`` returns all columns.
+that had text and loses all its lines that aren't blank is dropped by ``deduplicated``. Of rows with
+the same doc_id, a hash of all their columns decides which is first; rows that repeat lose all lines
+that aren't blank but for the first of them. A null doc_id ranks above all others. An empty table
+gives no rows. Only doc_id and text are read; ``deduplicated`` returns all columns, which may have
+any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from lorekeep.llm.common import discard, mix64, slices, small, stored, text_of
-from lorekeep.llm.linking import link, shared_buckets, with_contents
+from lorekeep.llm.common import BROADCAST_BYTES, discard, mix64, row_numbers, row_tie, slices, small, stored, text_of, tidy
+from lorekeep.llm.linking import SKETCH, SKETCHED, link, shared_buckets, sketches
 
 GRAM, SIMILARITY, BANDS, ROWS, LEAST_CHARS = 8, 0.8, 12, 4, 1
 COORDINATES = BANDS * ROWS
 BLANK = " \t\r\f\v"
+#: Characters of lines that are signed at once.
+SIGNED_AT_ONCE = 1 << 18
 _EMPTY = np.uint32(2**32 - 1)
 
 
 def signatures(lines: list[str]) -> np.ndarray:
-    """A row of COORDINATES bins for each line."""
-    owner, h = _hashed_grams([s.lower() for s in lines])
-    bins = np.full(len(lines) * COORDINATES, _EMPTY, np.uint32)
-    np.minimum.at(bins, owner * COORDINATES + ((h >> np.uint64(32)) * np.uint64(COORDINATES) >> np.uint64(32)).astype(np.int64), np.minimum(h.astype(np.uint32), _EMPTY - np.uint32(1)))
-    bins = bins.reshape(-1, COORDINATES)
+    """A row of COORDINATES bins for each line: the least hash of the shingles that fall in a bin."""
+    low = [s.lower() for s in lines]
+    low = [s if len(s) >= GRAM else s.ljust(GRAM, "\0") for s in low]
+    lengths = np.fromiter(map(len, low), np.int64, len(low))
+    h = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32)
+    for width, odd in ((1, 0x9E3779B1), (2, 0x85EBCA77), (4, 0xC2B2AE3D)):
+        wider = h[:-width] * np.uint32(odd)
+        wider += h[width:]
+        h = wider
+    for shift, odd in ((16, 0x85EBCA6B), (13, 0xC2B2AE35)):
+        h ^= h >> np.uint32(shift)
+        h *= np.uint32(odd)
+    h ^= h >> np.uint32(16)
+    full = np.full(lengths.sum(), _EMPTY, np.uint32)
+    full[: len(h)] = h
+    full[(np.cumsum(lengths)[:, None] - np.arange(1, GRAM)).ravel()] = _EMPTY  # these would reach into the next line
+    place = np.repeat(np.arange(len(low)) * COORDINATES, lengths)
+    place += (full >> np.uint32(16)) * np.uint32(COORDINATES) >> np.uint32(16)
+    bins = np.full(len(low) * COORDINATES, _EMPTY, np.uint32)
+    np.minimum.at(bins, place, np.minimum(full, _EMPTY - np.uint32(1), out=full, where=full != _EMPTY))
+    return _filled(bins.reshape(-1, COORDINATES))
+
+
+def _filled(bins: np.ndarray) -> np.ndarray:
+    """Empty bins copy from bins that a hash of their number names."""
     single = np.flatnonzero((bins != _EMPTY).sum(1) == 1)  # all copies come from the only bin
     bins[single] = bins[single].min(1, keepdims=True)
     filled, turn = bins.copy(), 0
     row, column = np.nonzero(bins == _EMPTY)
     while len(row):
         turn += 1
-        with np.errstate(over="ignore"):
-            donor = (mix64(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(turn * 1000)) % np.uint64(COORDINATES)).astype(np.int64)
+        donor = (mix64(np.arange(COORDINATES, dtype=np.uint64) + np.uint64(turn * 1000)) % np.uint64(COORDINATES)).astype(np.int64)
         found = bins[row, (donor if turn < 1000 else np.roll(np.arange(COORDINATES), turn))[column]]
         filled[row, column] = found
         left = found == _EMPTY
@@ -66,121 +91,150 @@ def band_keys(bins: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _hashed_grams(low: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Of lower-cased lines: which line each shingle is of, and its hash. Shorter lines are filled up to one shingle."""
-    low = [s.ljust(GRAM, "\0") for s in low]
-    counts = np.fromiter(map(len, low), np.int64, len(low)) - GRAM + 1
-    h = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        for width, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xA0761D6478BD642F), (4, 0xE7037ED1A0B428DB)):
-            h = h[:-width] * np.uint64(odd) + h[width:]
-    owner = np.repeat(np.arange(len(low)), counts)
-    return owner, mix64(h[np.arange(len(owner)) + (GRAM - 1) * owner])
-
-
-@lru_cache(maxsize=4096)  # a leader's pairs follow each other
 def grams(line: str) -> set[str]:
+    """The shingles of a line."""
     line = line.lower()
     return {line} if len(line) < GRAM else {line[i : i + GRAM] for i in range(len(line) - GRAM + 1)}
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "line", 1 << 20):
-        once = dict(zip(batch.column("line").to_pylist(), batch.column("node").to_pylist(), strict=True))  # copies are signed once
-        keys = band_keys(signatures(list(once))) if once else np.zeros((0, BANDS), np.int64)
-        short = np.fromiter((len(s.lower()) < GRAM for s in once), bool, len(once))  # sets of one shingle need one band
-        used = ~short[:, None] | (np.arange(BANDS) == 0)
-        ends = np.append(0, used.sum(1).cumsum()).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(once.values(), pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[used]))], names=["node", "bands"])
-
-
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "content", 1 << 20):
-        if batch.num_rows:
-            owner, h = _hashed_grams([c.lower() for c in batch.column("content").to_pylist()])
-            order = np.lexsort((h, owner))
-            owner, h = owner[order], h[order]
-            new = np.append(True, (owner[1:] != owner[:-1]) | (h[1:] != h[:-1]))
-            nodes = batch.column("node").to_numpy()[owner[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(h[new].view(np.int64)), pa.array(np.ones(len(nodes)))], names=["node", "element", "weight"])
+def _hashed_sets(lines: list[str]) -> list[np.ndarray]:
+    """Of each line the distinct 64-bit hashes of its shingles, ascending."""
+    if not lines:
+        return []
+    low = [s.lower().ljust(GRAM, "\0") for s in lines]
+    stops = np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))
+    h = np.frombuffer("".join(low).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    with np.errstate(over="ignore"):
+        for width, odd in ((1, 0x9E3779B97F4A7C15), (2, 0xA0761D6478BD642F), (4, 0xE7037ED1A0B428DB)):
+            h = h[:-width] * np.uint64(odd) + h[width:]
+    h = mix64(h)
+    found = []
+    for start, stop in zip([0, *stops[:-1].tolist()], stops.tolist(), strict=True):
+        own = np.sort(h[start : stop - GRAM + 1])
+        found.append(own[np.append(True, own[1:] != own[:-1])])
+    return found
+
+
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A numbered row for each document, with hashes of its lines (null for blank ones), and a row for
+    each of a slice's distinct lines, with its bands."""
+    number = row_numbers()
+    for batch in slices(batches, "text", 1 << 20):
+        index: dict[str, int] = {}
+        given = [[index.setdefault(x, len(index)) if (x := line.strip(BLANK)) else -1 for line in t.split("\n")] for t in batch.column("text").to_pylist()]
+        lines = list(index)
+        digest = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, lines)), "<i8").reshape(-1, 2)
+        digest = np.concatenate([digest, np.zeros((1, 2), np.int64)])  # the last one stands for blank lines
+        flat = np.fromiter((i for own in given for i in own), np.int64)
+        ends = pa.array(np.cumsum([0, *map(len, given)]), pa.int32())
+        hashes = [pa.ListArray.from_arrays(ends, pa.array(digest[flat, k], mask=flat < 0)) for k in (0, 1)]
+        n = batch.num_rows
+        rows = pa.array([next(number) for _ in range(n)], pa.int64())
+        yield _table(n, doc=batch.column("doc"), doc_id=batch.column("doc_id"), tie=batch.column("tie"), row=rows, nodes=hashes[0], checks=hashes[1])
+        start = 0
+        while start < len(lines):
+            stop, held = start, 0
+            while stop < len(lines) and held < SIGNED_AT_ONCE:
+                held += len(lines[stop])
+                stop += 1
+            part = lines[start:stop]
+            keys, short = band_keys(signatures(part)), np.fromiter((len(s.lower()) < GRAM for s in part), bool, len(part))
+            used = ~short[:, None] | (np.arange(BANDS) == 0)  # sets of one shingle need one band
+            bands = pa.ListArray.from_arrays(pa.array(np.append(0, used.sum(1).cumsum()), pa.int32()), pa.array(keys[used]))
+            yield _table(len(part), doc=pa.nulls(len(part), batch.column("doc").type), node=pa.array(digest[start:stop, 0]), bands=bands)
+            start = stop
+
+
+def _table(n: int, **columns: pa.Array) -> pa.RecordBatch:
+    lists, plain = pa.list_(pa.int64()), pa.int64()
+    kinds = {"doc": None, "doc_id": plain, "tie": plain, "row": plain, "nodes": lists, "checks": lists, "node": plain, "bands": lists}
+    return pa.RecordBatch.from_arrays([columns[c] if c in columns else pa.nulls(n, k) for c, k in kinds.items()], names=list(kinds))
+
+
+def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The lines asked for, with the sizes and sketches of their sets."""
+    for batch in slices(batches, "text", 1 << 20):
+        nodes, checks, found = [], [], []
+        for text, wanted in zip(batch.column("text").to_pylist(), batch.column("wanted").to_pylist(), strict=True):
+            lines = text.split("\n")
+            for w in wanted:
+                nodes.append(w["node"]), checks.append(w["check"]), found.append(lines[w["line_no"]].strip(BLANK))
+        for start in range(0, len(found), 1000):
+            part = found[start : start + 1000]
+            sets = _hashed_sets(part)
+            owner = np.repeat(np.arange(len(part)), [len(x) for x in sets])
+            sketched = [pa.array(np.ascontiguousarray(c), pa.int64()) for c in sketches(owner, np.concatenate(sets), len(part))]
+            yield pa.RecordBatch.from_arrays([pa.array(nodes[start : start + 1000], pa.int64()), pa.array(checks[start : start + 1000], pa.int64()), pa.array(part), *sketched], names=["node", "check", "content", "size", *SKETCH])
 
 
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = []
-        for a, b in zip(batch.column("content_a").to_pylist(), batch.column("content_b").to_pylist(), strict=True):
-            x, y = grams(a), grams(b)
-            common = len(x & y)
-            kept.append(common >= SIMILARITY * (len(x) + len(y) - common))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept, pa.bool_()))
-
-
-def _trimmed(line: Column) -> Column:
-    return F.btrim(line, F.lit(BLANK))
-
-
-def removed_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, tie (hash of the text), removed: numbers of the lines that go, for documents that lose some."""
-    text = text_of(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("tie"), F.posexplode(F.split(text, "\n")).alias("line_no", "line"))
-    lines = rows.withColumn("line", _trimmed(F.col("line"))).filter(F.length("line") >= LEAST_CHARS)
-    lines = lines.withColumn("node", F.xxhash64("line"))
-    banded = stored(lines.select("node", "line").mapInArrow(_sign, "node long, bands array<long>"), "lines")
-    members = shared_buckets(banded)
+    for batch in slices(slices(batches, "content_a", 1 << 19), "content_b", 1 << 19):
+        first, second = (batch.column(c).to_pylist() for c in ("content_a", "content_b"))
+        lines = list(dict.fromkeys(first + second))
+        sets = dict(zip(lines, _hashed_sets(lines), strict=True))
+        kept = np.zeros(len(first), bool)
+        for i, (a, b) in enumerate(zip(first, second, strict=True)):
+            x, y = sorted((sets[a], sets[b]), key=len)
+            common = (y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum()
+            kept[i] = common >= SIMILARITY * (len(x) + len(y) - common)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(kept))
+
+
+def _decided(docs: DataFrame) -> DataFrame:
+    """doc (all columns), n_lines, n_removed, kept_text of every row of ``docs``."""
+    given = docs.select(F.struct("*").alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), row_tie(docs).alias("tie"), text_of(docs).alias("text"))
+    kinds = {"doc_id": LongType(), "tie": LongType(), "row": LongType(), "nodes": ArrayType(LongType()), "checks": ArrayType(LongType()), "node": LongType(), "bands": ArrayType(LongType())}
+    schema = StructType([StructField("doc", given.schema["doc"].dataType), *(StructField(c, k) for c, k in kinds.items())])
+    read = stored(given.mapInArrow(tidy(_read), schema), "lines")
+    whole = read.filter("row is not null")
+    lines = whole.select("row", "doc_id", "tie", F.posexplode(F.arrays_zip("nodes", "checks")).alias("line_no", "hashes"))
+    lines = lines.select("row", "doc_id", "tie", "line_no", F.col("hashes.nodes").alias("node"), F.col("hashes.checks").alias("check")).filter("node is not null")
+
+    members = shared_buckets(read.filter("node is not null").select("node", "bands"))
     needed = stored(members.select("node").distinct(), "nodes")
-    contents = stored(lines.join(small(needed, 16), "node", "left_semi").select("node", F.col("line").alias("content")).dropDuplicates(["node"]), "contents")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return with_contents(pairs, contents).mapInArrow(_verified, "a long, b long")
-
-    def elements(nodes: DataFrame) -> DataFrame:
-        return contents.join(nodes, "node").select("node", "content").mapInArrow(_elements, "node long, element long, weight double")
-
-    roots = link(members, verify, elements, SIMILARITY)
-    discard(banded, members, needed, contents)
-
-    # A second hash parts different lines that share the first one, unless they were verified. What joins is
-    # a row for each node, and then places, which are of one line each: no task gets a frequent line's occurrences.
-    place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", "line_no")
-    seen = stored(lines.select("node", F.xxhash64(F.lit(1), "line").alias("check"), place.alias("place")), "occurrences")
-    groups = seen.groupBy("node", "check").agg(F.min("place").alias("first")).join(small(roots, 16), "node", "left")
-    key = F.coalesce("root", "node").alias("key"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check")
-    kept = groups.select(*key, "first").groupBy("key", "check").agg(F.min("first").alias("place"))
-    gone = seen.select("place.*").join(kept.select("place.*"), ["last", "doc_id", "tie", "line_no"], "left_anti")
-    return gone.groupBy(F.when(~F.col("last"), F.col("doc_id")).alias("doc_id"), "tie").agg(F.collect_set("line_no").alias("removed"))
+    chosen = lines.join(small(needed, 16), "node", "left_semi").groupBy("node").agg(F.min(F.struct("row", "line_no", "check")).alias("at"))
+    wanted = stored(chosen.groupBy("at.row").agg(F.collect_list(F.struct("node", "at.check", "at.line_no")).alias("wanted")), "wanted")
+    if needed.count() * 64 <= BROADCAST_BYTES:
+        wanted = F.broadcast(wanted)
+    text = F.coalesce(F.col("doc.text").cast("string"), F.lit(""))
+    texts = whole.select("row", text.alias("text"))
+    contents = stored(texts.join(wanted, "row").select("text", "wanted").mapInArrow(tidy(_contents), f"node long, check long, content string, {SKETCHED}"), "contents")
+    roots = link(members, contents, lambda pairs: pairs.mapInArrow(tidy(_verified), "a long, b long"), SIMILARITY)
+
+    # A second hash parts different lines that share the first one. Of the lines that are left to look at
+    # there is a row for each node, and then places, which are of one line each: no task gets a frequent line's occurrences.
+    linked = contents.select("node", "check").join(small(roots, 16), "node")
+    repeated = lines.groupBy("node", "check").agg(F.count("*").alias("n")).filter("n > 1").select("node", "check")
+    keys = repeated.join(linked, ["node", "check"], "full_outer").select("node", "check", F.coalesce("root", "node").alias("key"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("key_check"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), "tie", "row", "line_no")
+    seen = stored(lines.join(small(stored(keys, "keys"), 48), ["node", "check"]).select("key", "key_check", place.alias("place")), "occurrences")
+    kept = seen.groupBy("key", "key_check").agg(F.min("place").alias("place"))
+    gone = seen.select("place.row", "place.line_no").join(kept.select("place.row", "place.line_no"), ["row", "line_no"], "left_anti")
+    removed = stored(gone.groupBy("row").agg(F.collect_list("line_no").alias("removed")), "removed")  # of one document
+    discard(members, needed, contents, roots)
+    if gone.count() * 16 <= BROADCAST_BYTES:
+        removed = F.broadcast(removed)
+
+    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    def without(split: Column) -> Column:
+        return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "removed"), lambda i: F.get(split, i)), "\n")
+
+    # The text is split once, as an argument. Documents that keep all their lines, the most, are not put together again.
+    left = F.element_at(F.transform(F.array(F.split(text, "\n")), without), 1)
+    found = whole.join(removed, "row", "left")
+    return found.select("doc", (breaks + 1).alias("n_lines"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_removed"), F.when(F.col("removed").isNull(), text).otherwise(left).alias("kept_text"))
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with n_lines, n_removed and kept_text."""
-    gone = stored(removed_lines(docs), "removed").select(F.col("doc_id").alias("__doc_id"), F.col("tie").alias("__tie"), F.col("removed").alias("__removed"))
-    text = text_of(docs)
-    whole = docs.select("*", docs["doc_id"].cast("long").alias("__row_id"), F.xxhash64(text).alias("__row_tie"))
-    found = whole.join(gone, (F.col("__row_tie") == F.col("__tie")) & F.col("__row_id").eqNullSafe(F.col("__doc_id")), "left")
-    nth = F.row_number().over(Window.partitionBy("__row_tie", "__row_id").orderBy(F.lit(0)))
-    n_lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
-    same = (F.col("__nth") == 1) & F.col("__removed").isNull()
-    numbers = F.sequence(F.lit(0), F.size("__lines") - 1)
-    short = F.filter(numbers, lambda i: F.length(_trimmed(F.get(F.col("__lines"), i))) < LEAST_CHARS)
-    kept = F.when(F.col("__nth") > 1, short).otherwise(F.array_except(numbers, "__removed"))
-    # Documents that keep all their lines, the most, are not put together again.
-    found = found.withColumn("__nth", nth).withColumn("__lines", F.when(~same, F.split(text, "\n")))
-    found = found.withColumn("__kept", F.when(~same, kept))
-    return found.select(
-        *docs.columns,
-        n_lines.alias("n_lines"),
-        F.when(same, 0).otherwise(n_lines - F.size("__kept")).alias("n_removed"),
-        F.when(same, text).otherwise(F.array_join(F.transform("__kept", lambda i: F.get(F.col("__lines"), i)), "\n")).alias("kept_text"),
-    )
+    """doc_id, n_lines, n_removed and kept_text of every row of ``docs``."""
+    return _decided(docs).select(F.col("doc.doc_id").cast("long").alias("doc_id"), "n_lines", "n_removed", "kept_text")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """``docs`` with the lines that stay. Documents that lose all their text are dropped."""
-    decided = line_decisions(docs.withColumnRenamed("n_lines", "__n_lines").withColumnRenamed("n_removed", "__n_removed").withColumnRenamed("kept_text", "__kept_text"))
-    kept = decided.filter((F.col("n_removed") == 0) | (F.btrim("kept_text", F.lit(BLANK + "\n")) != ""))
-    kept = kept.withColumn("text", F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept_text")))
+    kept = _decided(docs).filter((F.col("n_removed") == 0) | (F.btrim("kept_text", F.lit(BLANK + "\n")) != ""))
+    changed = F.col("doc").withField("text", F.col("kept_text"))
     if "n_chars" in docs.columns:
-        kept = kept.withColumn("n_chars", F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    kept = kept.drop("n_lines", "n_removed", "kept_text")
-    for name in ("n_lines", "n_removed", "kept_text"):
-        kept = kept.withColumnRenamed(f"__{name}", name)
-    return kept.select(*docs.columns)
+        changed = changed.withField("n_chars", F.length("kept_text").cast(docs.schema["n_chars"].dataType))
+    return kept.select(F.when(F.col("n_removed") == 0, F.col("doc")).otherwise(changed).alias("doc")).select("doc.*")

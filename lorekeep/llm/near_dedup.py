@@ -12,14 +12,16 @@ each dart to one coordinate of the signature, which keeps its earliest dart. If
 empty, theta grows. Two documents agree in a coordinate with the probability of their similarity.
 
 Signatures are joined in bands; candidates are verified exactly, and linked documents form classes
-(see linking.py). Texts with the same words in the same order are one node from the start, so large
-groups of copies cost no comparisons. BANDS bands of ROWS coordinates miss a pair of similarity 0.8
+(see linking.py, where the n-th occurrence of a shingle is an element of its own). Texts with the same
+words in the same order are one node from the start, so large groups of copies cost no comparisons.
+Only documents that repeat or resemble others are looked at again when classes are formed. BANDS bands of ROWS coordinates miss a pair of similarity 0.8
 with probability 3e-5, and fewer above.
 
 Defined results: words are runs of letters, digits and underscores, in lower case. Documents without
 words (null or empty texts) are in a class of their own each. class_id is the smallest doc_id of the
-class; the row with it stays, one of them if it repeats. A null doc_id ranks above all others. An
-empty table gives no rows. Only doc_id and text are read; ``near_deduplicated`` returns all columns.
+class; the row with it stays, and of several a hash of all their columns decides. A null doc_id ranks
+above all others. An empty table gives no rows. Only doc_id and text are read; ``near_deduplicated``
+returns all columns, which may have any names.
 """
 
 from __future__ import annotations
@@ -30,11 +32,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType, StructField, StructType
 
-from lorekeep.llm.common import discard, mix64, slices, small, stored, text_of
-from lorekeep.llm.linking import link, shared_buckets, with_contents
+from lorekeep.llm.common import discard, mix64, row_numbers, row_tie, slices, small, stored, text_of, tidy
+from lorekeep.llm.linking import SKETCH, SKETCHED, link, shared_buckets, sketches
 
 WORDS, SIMILARITY, BANDS, ROWS = 5, 0.8, 20, 4
 COORDINATES = BANDS * ROWS
@@ -128,8 +131,9 @@ def bands(signature: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches):
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    number = row_numbers()
+    for batch in slices(batches, limit=1 << 20):
         nodes, checks, keys = [], [], []
         for text in batch.column("text").to_pylist():
             words = _WORD.findall(text.lower())
@@ -140,18 +144,30 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             nodes.append(int.from_bytes(digest[:8], "little", signed=True))
             checks.append(int.from_bytes(digest[8:], "little", signed=True))
             keys.append(bands(dart_minhash(*shingles(words))))
-        arrays = [batch.column("doc_id"), batch.column("tie"), pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "tie", "node", "check", "bands"])
+        rows = pa.array([next(number) for _ in nodes], pa.int64())
+        arrays = [*(batch.column(c) for c in ("doc", "doc_id", "tie")), rows, pa.array(nodes, pa.int64()), pa.array(checks, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(arrays, names=["doc", "doc_id", "tie", "row", "node", "check", "bands"])
+    _hashes.clear()
 
 
 def _contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Shingles and counts of each text, packed."""
-    for batch in slices(batches):
-        packed = []
-        for text in batch.column("text").to_pylist():
-            values, counts = shingles(_WORD.findall(text.lower()))
-            packed.append(values.tobytes() + counts.astype(np.uint32).tobytes())
-        yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(packed, pa.binary())], names=["node", "content"])
+    """Shingles and counts of each text, packed, with sizes and sketches."""
+    for batch in slices(batches, limit=1 << 20):
+        sets = [shingles(_WORD.findall(t.lower())) for t in batch.column("text").to_pylist()]
+        packed = pa.array([values.tobytes() + counts.astype(np.uint32).tobytes() for values, counts in sets], pa.binary())
+        sketched: list[list[np.ndarray]] = [[] for _ in range(1 + len(SKETCH))]
+        for start in range(0, len(sets), 1000):
+            part = sets[start : start + 1000]
+            values, counts = (np.concatenate([x[k] for x in part]) for k in (0, 1))
+            owner = np.repeat(np.arange(len(part)), [len(x[0]) for x in part])
+            nth = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            with np.errstate(over="ignore"):
+                elements = mix64(np.repeat(values, counts) + nth.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            for column, found in zip(sketched, sketches(np.repeat(owner, counts), elements, len(part)), strict=True):
+                column.append(found)
+        if sets:
+            yield pa.RecordBatch.from_arrays([batch.column("node"), packed, *(pa.array(np.concatenate(c), pa.int64()) for c in sketched)], names=["node", "content", "size", *SKETCH])
+    _hashes.clear()
 
 
 def _unpacked(content: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -159,15 +175,6 @@ def _unpacked(content: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(content, np.uint64, n), np.frombuffer(content, np.uint32, n, 8 * n).astype(np.int64)
 
 
-def _elements(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in slices(batches, "content", 1 << 20):
-        if batch.num_rows:
-            sets = [_unpacked(c) for c in batch.column("content").to_pylist()]
-            nodes = np.repeat(batch.column("node").to_numpy(), [len(values) for values, _ in sets])
-            values, counts = (np.concatenate([s[i] for s in sets]) for i in (0, 1))
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(values.view(np.int64)), pa.array(counts.astype(float))], names=["node", "element", "weight"])
-
-
 def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         pairs = zip(batch.column("content_a"), batch.column("content_b"), strict=True)
@@ -175,50 +182,43 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(kept)
 
 
-def _classes(docs: DataFrame) -> DataFrame:
-    """doc_id, tie, key, check of every row: rows with equal (key, check) are a class. Without words both are null."""
-    text = text_of(docs)
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("tie"))
-    signed = stored(rows.mapInArrow(_sign, "doc_id long, tie long, node long, check long, bands array<long>"), "signatures")
-    members = shared_buckets(signed.filter("node is not null").select("node", "bands"))
+def _classes(docs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Every row of ``docs`` (doc, doc_id, row) as it was stored; row, key of rows that aren't alone in
+    their class; and key, first (a place with doc_id and row), class_size of those classes."""
+    given = docs.select(F.struct("*").alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), row_tie(docs).alias("tie"), text_of(docs).alias("text"))
+    schema = StructType([StructField("doc", given.schema["doc"].dataType), *(StructField(c, LongType()) for c in ("doc_id", "tie", "row", "node", "check")), StructField("bands", ArrayType(LongType()))])
+    read = stored(given.mapInArrow(tidy(_read), schema), "signatures")
+    worded = read.filter("node is not null")
+    members = shared_buckets(worded.select("node", "bands"))
     needed = stored(members.select("node").distinct(), "nodes")
-    # One row of each node that shares a bucket; its text is found by (doc_id, tie).
-    chosen = signed.join(needed, "node").groupBy("node").agg(F.min(F.struct("doc_id", "tie")).alias("row")).select("node", F.col("row.doc_id").alias("node_doc"), F.col("row.tie").alias("node_tie"))
-    chosen = small(stored(chosen, "chosen"), 32)
-    texts = rows.join(chosen, (rows["tie"] == chosen["node_tie"]) & rows["doc_id"].eqNullSafe(chosen["node_doc"])).select("node", "text")
-    contents = stored(texts.mapInArrow(_contents, "node long, content binary").dropDuplicates(["node"]), "contents")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        return with_contents(pairs, contents).mapInArrow(_verified, "a long, b long")
-
-    def elements(nodes: DataFrame) -> DataFrame:
-        return contents.join(nodes, "node").select("node", "content").mapInArrow(_elements, "node long, element long, weight double")
-
-    roots = link(members, verify, elements, SIMILARITY)
-    discard(members, needed, contents)
-    found = signed.select("doc_id", "tie", "node", "check").join(roots, "node", "left")
-    return found.select("doc_id", "tie", F.coalesce("root", "node").alias("key"), F.when(F.col("root").isNull(), F.col("check")).alias("check"))
+    chosen = small(stored(worded.join(small(needed, 16), "node", "left_semi").groupBy("node").agg(F.min("row").alias("row")), "chosen"), 32)
+    texts = worded.select("row", "check", F.col("doc.text").cast("string").alias("text")).join(chosen, "row").select("node", "check", "text")
+    contents = stored(texts.select("node", "text").mapInArrow(tidy(_contents), f"node long, content binary, {SKETCHED}"), "contents")
+    roots = link(members, contents, lambda pairs: pairs.mapInArrow(tidy(_verified), "a long, b long"), SIMILARITY)
+
+    # A second hash parts different texts that share the first one.
+    linked = worded.select("row", "node", "check").join(chosen, ["row", "node"], "left_semi").join(small(roots, 16), "node").select("node", "check", "root")
+    repeated = worded.groupBy("node", "check").agg(F.count("*").alias("n")).filter("n > 1").select("node", "check")
+    keys = repeated.join(linked, ["node", "check"], "full_outer")
+    keys = keys.select("node", "check", F.struct(F.coalesce("root", "node").alias("node"), F.when(F.col("root").isNull(), F.col("check")).otherwise(F.lit(0)).alias("check")).alias("key"))
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "tie", "row")
+    seen = stored(worded.join(small(stored(keys, "keys"), 48), ["node", "check"]).select("row", "key", place.alias("place")), "together")
+    groups = stored(seen.groupBy("key").agg(F.min("place").alias("first"), F.count("*").alias("class_size")), "classes")
+    discard(members, needed, contents, roots)
+    return read.select("doc", "doc_id", "row"), seen.select("row", "key"), groups
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, class_id, class_size, kept of every row of ``docs``."""
-    rows = stored(_classes(docs), "classes")
-    alone = rows.filter("key is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(True).alias("kept"))
-    by_id = rows.filter("key is not null").groupBy("key", "check", "doc_id").agg(F.count("*").alias("copies"))
-    by_id = by_id.withColumn("check", F.coalesce("check", F.lit(0)))
-    groups = by_id.groupBy("key", "check").agg(F.min("doc_id").alias("class_id"), F.sum("copies").alias("class_size"))
-    copies = by_id.join(groups, ["key", "check"]).withColumn("copy", F.explode(F.expr("sequence(1L, copies)")))
-    return copies.select("doc_id", "class_id", "class_size", (F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("copy") == 1)).alias("kept")).unionByName(alone)
+    rows, seen, groups = _classes(docs)
+    found = stored(seen.join(small(groups, 64), "key").select("row", F.col("first.doc_id").alias("class_id"), "class_size", (F.col("row") == F.col("first.row")).alias("kept")), "decided")
+    alone = F.col("class_size").isNull()
+    joined = rows.select("row", "doc_id").join(small(found, 40), "row", "left")
+    return joined.select("doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1).cast("long")).alias("class_size"), F.coalesce("kept", F.lit(True)).alias("kept"))
 
 
 def near_deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay: one of each class, with all columns."""
-    rows = stored(_classes(docs), "classes")
-    first = rows.filter("key is not null").groupBy("key", F.coalesce("check", F.lit(0)).alias("check")).agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tie")).alias("row"))
-    first = first.select("row.doc_id", "row.tie", F.lit(False).alias("every"))
-    bare = rows.filter("key is null").select("doc_id", "tie", F.lit(True).alias("every")).distinct()
-    stays = small(stored(first.unionByName(bare).select(F.col("doc_id").alias("__doc_id"), F.col("tie").alias("__tie"), F.col("every").alias("__every")), "stay"), 32)
-    whole = docs.select("*", docs["doc_id"].cast("long").alias("__row_id"), F.xxhash64(text_of(docs)).alias("__row_tie"))
-    found = whole.join(stays, (F.col("__row_tie") == F.col("__tie")) & F.col("__row_id").eqNullSafe(F.col("__doc_id")))
-    nth = F.row_number().over(Window.partitionBy("__row_tie", "__row_id").orderBy(F.lit(0)))
-    return found.withColumn("__nth", nth).filter("__nth = 1 or __every").select(*docs.columns)
+    rows, seen, groups = _classes(docs)
+    gone = stored(seen.select("row").join(groups.select("first.row"), "row", "left_anti"), "gone")
+    return rows.join(small(gone, 16), "row", "left_anti").select("doc.*")

@@ -30,18 +30,30 @@ def test_no_link_is_missed(spark):
     near = spark.createDataFrame(list(place.items()), "n long, p double")
 
     def verify(pairs):
-        both = pairs.join(near.toDF("a", "pa"), "a").join(near.toDF("b", "pb"), "b")
-        return both.filter(F.abs(F.col("pa") - F.col("pb")) < 0.6).select("a", "b")
+        return pairs.filter(F.abs(F.col("content_a") - F.col("content_b")) < 0.6).select("a", "b")
 
-    def elements(nodes):  # equal sets, so that the bound rules out nothing
-        return nodes.withColumn("element", F.explode(F.array(F.lit(1), F.lit(2)).cast("array<long>"))).withColumn("weight", F.lit(1.0))
-
-    roots = {r["node"]: r["root"] for r in rows_of(linking.link(members, verify, elements, 0.8))}
+    # Equal sketches, so that the bound rules out nothing.
+    contents = near.toDF("node", "content").withColumn("size", F.lit(2).cast("long")).withColumns({c: F.lit(7).cast("long") for c in linking.SKETCH})
+    roots = {r["node"]: r["root"] for r in rows_of(linking.link(members, contents, verify, 0.8))}
     shared = {tuple(sorted(p)) for b in range(4) for p in combinations([i for c, i in buckets if c == b], 2)}
     want = groups(80, [p for p in shared if similar(*p)])
     assert [roots.get(i, i) for i in range(80)] == want
 
 
+def test_sketches_bound_the_difference():
+    """Differing bits are never more than differing elements, and near to them while these are few."""
+    draw, ratios = np.random.default_rng(2), []
+    for n, edits in ((150, 20), (600, 100), (5000, 800), (3, 2)):
+        a = draw.integers(0, 2**63, n, dtype=np.uint64)
+        b = np.append(a[edits:], draw.integers(0, 2**63, edits, dtype=np.uint64))
+        words = np.array(linking.sketches(np.repeat([0, 1], n), np.concatenate([a, b]), 2))
+        assert words[0].tolist() == [n, n]
+        bits = sum(int(x).bit_count() for x in (words[1:, 0] ^ words[1:, 1]).view(np.uint64))
+        assert bits <= 2 * edits
+        ratios.append(bits / (2 * edits))
+    assert min(ratios[:2]) > 0.8
+
+
 @pytest.mark.parametrize("wanted", [0.5, 0.8])
 def test_darts_estimate_weighted_jaccard(wanted):
     draw, agreed, exact = np.random.default_rng(0), [], []
@@ -180,9 +192,18 @@ def test_lines_of_few_shingles_have_whole_signatures():
     assert (bins != 2**32 - 1).all() and len(set(bins[0])) == len(set(bins[1])) == 1
 
 
-def test_occurrences_join_by_their_own_places(spark):
+def test_frequent_lines_are_not_gathered(spark):
     df = spark.createDataFrame([(i, "a line that all documents hold, held once") for i in range(20)] + [(None, "a line that all documents hold, held once")], "doc_id long, text string")
-    gone = line_dedup.removed_lines(df)
-    plan = gone._jdf.queryExecution().optimizedPlan().toString()
-    assert "Join LeftAnti" in plan and "Join Inner" not in plan
-    assert {r["doc_id"]: r["removed"] for r in rows_of(gone)} == {i: [0] for i in [*range(1, 20), None]}
+    found = rows_of(line_dedup.line_decisions(df))
+    assert {r["doc_id"]: r["n_removed"] for r in found} == {0: 0, **dict.fromkeys([*range(1, 20), None], 1)}
+
+
+def test_repeated_rows_and_any_names(spark):
+    """Rows that differ in other columns only: the same one stays however rows are dealt; helper names don't clash."""
+    text = prose(9, 40)
+    rows = [(1, text, f"s{i}", i) for i in range(30)] + [(2, prose(10, 40), "t", 0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, row string, __tie long").withColumns({c: F.lit(1) for c in ("tie", "node", "n_lines", "kept_text", "removed", "doc", "key")})
+    for operator in (line_dedup.deduplicated, near_dedup.near_deduplicated):
+        kept = [sorted((r["doc_id"], r["row"], r["__tie"]) for r in rows_of(operator(df.repartition(n)))) for n in (1, 7)]
+        assert kept[0] == kept[1] and [r[0] for r in kept[0]] == [1, 2]
+        assert operator(df).columns == df.columns
