@@ -8,7 +8,8 @@ The order is total and reruns agree: Hilbert key, then a hash of the row. The cu
 buckets of bounded token counts from a histogram over its 4096 coarsest cells; cells that hold more
 are counted again by further bits of the key, and what one whole key holds (a third of all rows may
 share it) is split by ranges of the hash. The order depends on nothing but the rows. Each bucket learns its first
-position from a prefix sum over buckets, so no task sees more than its buckets' rows.
+position from a prefix sum over buckets. Tasks get consecutive buckets, as many of them as there are
+buckets for, so no task sees more than a bounded number of tokens.
 
 Encoding goes chunk by chunk, where blanks and newlines separate chunks. The tokenizer drops white
 space and never lets a token span it, so the ids are those of the whole text.
@@ -32,13 +33,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import mix64, shuffle_partitions, slices, stored, text_of
+from lorekeep.llm.common import mix64, shuffle_partitions, slices, small, stored, text_of, tidy
 
 LENGTH, END_ID = 4096, 2
 VECTOR_DIMS, CURVE_DIMS, CURVE_BITS, CELL_BITS, FINER_BITS, SEED = 256, 3, 10, 12, 6, 11
 #: Chunks a Python worker remembers, and the longest that it does.
-MEMORY_CHUNKS, MEMORY_CHARS = 600_000, 48
-LEAST_BUCKET, MOST_BUCKET = 1 << 16, 1 << 25
+MEMORY_CHUNKS, MEMORY_CHARS = 300_000, 48
+LEAST_BUCKET, MOST_BUCKET, BUCKETS_A_TASK = 1 << 16, 1 << 23, 4
 
 _TAIL = "".join(c for c in string.punctuation if c != "'")
 
@@ -144,7 +145,7 @@ def curve_keys(ids: list[np.ndarray], size: int) -> np.ndarray:
 def _tokenise(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(path), np.array([END_ID], "<u4").tobytes()
-        for batch in slices(batches):
+        for batch in slices(batches, limit=1 << 20):
             ids = [np.frombuffer(b + end, "<u4") for b in encoder.encode(batch.column("text").to_pylist())]
             keys = curve_keys(ids, len(encoder.ends_word))
             width = "<u2" if len(encoder.ends_word) <= 1 << 16 else "<u4"
@@ -158,7 +159,7 @@ def _tokenise(path: str):
 def _cut(length: int, with_ids: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, position = None, 0
-        for batch in batches:
+        for batch in slices(batches, "ids", 1 << 20):
             rows = []
             for doc_id, own, base, tokens, packed in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "bucket", "base", "tokens", "ids")), strict=True):
                 if own != bucket:
@@ -190,7 +191,7 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
     spark = docs.sparkSession
     text = text_of(docs)
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(docs["doc_id"], text).alias("tie"))
-    tokens = stored(rows.mapInArrow(_tokenise(path), "doc_id long, tie long, key long, tokens long, ids binary"), "tokens")
+    tokens = stored(rows.mapInArrow(tidy(_tokenise(path)), "doc_id long, tie long, key long, tokens long, ids binary"), "tokens")
     tasks = shuffle_partitions(spark)
     key_bits, leaves, part, most = CURVE_DIMS * CURVE_BITS, [], tokens, None
     for bits in range(CELL_BITS, key_bits + 1, FINER_BITS):
@@ -219,7 +220,9 @@ def pack(docs: DataFrame, path: str, length: int = LENGTH, with_ids: bool = Fals
     dealt = dealt.withColumn("bucket", F.col("bucket") + range_.cast("int")).drop("parts")
     sums = dealt.groupBy("bucket").agg(F.sum("tokens").alias("sum"))
     before = Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    bases = sums.select("bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base"))  # one row for each bucket
-    placed = dealt.join(bases, "bucket").repartitionByRange(tasks, "bucket").sortWithinPartitions("bucket", "key", "tie", "doc_id")
+    bases = stored(sums.select("bucket", F.coalesce(F.sum("sum").over(before), F.lit(0)).alias("base")), "bases")  # one row for each bucket
+    parts = max(tasks, math.ceil((bucket + 1) / BUCKETS_A_TASK))
+    placed = dealt.join(small(bases, 24), "bucket").repartitionById(parts, F.floor(F.col("bucket").cast("long") * parts / (bucket + 1)).cast("int"))
     kinds = ["long"] * 7 + ["array<int>"] * with_ids
-    return placed.select("doc_id", "bucket", "base", "tokens", "ids").mapInArrow(_cut(length, with_ids), ", ".join(f"{n} {k}" for n, k in zip(_PIECES, kinds, strict=False)))
+    schema = ", ".join(f"{n} {k}" for n, k in zip(_PIECES, kinds, strict=False))
+    return placed.sortWithinPartitions("bucket", "key", "tie", "doc_id").select("doc_id", "bucket", "base", "tokens", "ids").mapInArrow(tidy(_cut(length, with_ids)), schema)

@@ -8,7 +8,7 @@ from tokenizers import Tokenizer, models, pre_tokenizers
 from lorekeep.llm import packing
 from lorekeep.llm.queries import op4_hilbert_packing
 
-from .conftest import rows_of
+from .conftest import prose, rows_of
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -83,6 +83,16 @@ def test_order_depends_on_rows_alone(spark, messy, monkeypatch):
         assert sorted(map(str, rows_of(packing.pack(docs, PATH, length=64)))) == whole, size
 
 
+def test_documents_follow_the_curve(spark, encode):
+    """The order of documents in sequences is that of Hilbert keys computed from whole texts."""
+    docs = spark.createDataFrame([(i, prose(i % 7 * 100 + i, 20 + 13 * i)) for i in range(60)], "doc_id long, text string")
+    rows = sorted(rows_of(packing.pack(docs, PATH, length=256)), key=lambda r: (r["sequence_id"], r["offset"]))
+    order = list(dict.fromkeys(r["doc_id"] for r in rows))
+    size = Tokenizer.from_file(PATH).get_vocab_size()
+    keys = {r["doc_id"]: int(packing.curve_keys([encode(r["text"])], size)[0]) for r in docs.collect()}
+    assert len(set(keys.values())) > 50 and [keys[i] for i in order] == sorted(keys.values())
+
+
 def test_large_vocabulary(spark, tmp_path):
     tokenizer = Tokenizer(models.WordLevel({f"w{i}": i for i in range(70_000)}, unk_token="w0"))
     tokenizer.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
