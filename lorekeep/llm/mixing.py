@@ -170,7 +170,8 @@ def _taken(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Placed documents, and which of their blocks' words are taken how often."""
     placed, mapped = _placed(docs)
     placed = stored(placed, "placed")
-    times = mapped.groupBy("sid", "block").agg(F.count("*").alias("times"))
+    # Stored, so that joins are planned by its size: of what Python makes of a range of shards Spark knows nothing.
+    times = stored(mapped.groupBy("sid", "block").agg(F.count("*").alias("times")), "times")
     blocks = placed.filter("size > 0").withColumn("block", F.explode(F.sequence(F.floor(F.col("at") / BLOCK), F.floor((F.col("at") + F.col("size") - 1) / BLOCK))))
     low = F.greatest(F.col("block") * BLOCK, F.col("at")) - F.col("at")
     high = F.least((F.col("block") + 1) * BLOCK, F.col("at") + F.col("size")) - F.col("at")

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import held_out, slices, text_of
+from lorekeep.llm.common import give_back, held_out, slices, text_of, tidy
 from lorekeep.llm.gru import Adam, Network, encode_words
 from lorekeep.llm.labelled import labelled_sample
 
@@ -50,10 +50,10 @@ def windows(n: int) -> np.ndarray:
     return np.minimum(starts, max(0, n - WINDOW))
 
 
-def _grid(places: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+def _grid(places: list[np.ndarray], kind: type = np.int64) -> tuple[np.ndarray, np.ndarray]:
     """Of texts given as table columns: windows (steps, windows), and how many each text has."""
     counts = [len(windows(len(p))) for p in places]
-    grid = np.zeros((sum(counts), WINDOW), np.int64)
+    grid = np.zeros((sum(counts), WINDOW), kind)
     at = 0
     for p, n in zip(places, counts, strict=True):
         if len(p) < WINDOW:
@@ -74,16 +74,17 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network | N
     if not column:
         return None
     codes = encode_words(list(column))
-    grid, counts = _grid([np.fromiter((column[w] for w in ws), np.int64, len(ws)) for ws in listed])
+    grid, counts = _grid([np.fromiter((column[w] for w in ws), np.int32, len(ws)) for ws in listed], np.int32)
     text = np.repeat(np.arange(len(texts)), counts)
     toxic = labels[text]
     # First guess at windows: words in proportion more frequent in toxic texts.
     seen = [Counter(w for ws, y in zip(listed, labels, strict=True) if y == c for w in set(ws)) for c in (False, True)]
     n = [(~labels).sum(), labels.sum()]
-    odds = np.zeros(len(column) + 1)
+    odds = np.zeros(len(column) + 1, np.float32)
     for w, i in column.items():
         odds[i] = np.log((seen[1][w] + 0.1) / n[1]) - np.log((seen[0][w] + 0.1) / n[0]) if seen[1][w] + seen[0][w] > 2 else 0
-    score = np.sort(odds[grid], axis=0)[-3:].sum(0)
+    score = np.concatenate([np.sort(odds[grid[:, i : i + WINDOWS_AT_ONCE]], axis=0)[-3:].sum(0) for i in range(0, grid.shape[1], WINDOWS_AT_ONCE)])
+    del listed
     adam, rare = Adam(network, RATE), np.array([seen[0][w] + seen[1][w] <= 3 for w in column])
     total = STEPS
     while adam.steps < total:
@@ -190,7 +191,9 @@ class Scorer:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> Network | None:
     rows = labelled_sample(docs, labels, "toxic", per_class, PIECES, PIECE_CHARS)
-    return train([*rows["text"], ""], np.append(rows["label"].to_numpy(), 0)) if len(rows) else None
+    network = train([*rows["text"], ""], np.append(rows["label"].to_numpy(), 0)) if len(rows) else None
+    give_back()
+    return network
 
 
 def _scores(network: Network | None):
@@ -214,7 +217,7 @@ def score_toxicity(docs: DataFrame, network: Network | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found, pa.float64())], names=["doc_id", "score"])
 
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    scored = rows.mapInArrow(run, "doc_id long, score double")
+    scored = rows.mapInArrow(tidy(run), "doc_id long, score double")
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
@@ -226,4 +229,4 @@ def without_toxic(docs: DataFrame, network: Network | None, threshold: float = T
         for batch, found in scores(batches):
             yield batch.filter(pa.array(found < threshold))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
