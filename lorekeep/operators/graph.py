@@ -34,6 +34,7 @@ LANGUAGES = {
     "zig": "zig", "nim": "nim", "crystal": "cr", "solidity": "sol", "vala": "vala", "python": "py", "go": "go",
     "rust": "rs", "ruby": "rb", "typescript": "ts tsx mts cts", "javascript": "js jsx mjs cjs",
 }
+#: Lines that declare, lines that open a callable, and calls.
 DECLARATION = r"^[\t ]*(?:[A-Za-z0-9_@\[\]]+[\t ]+){0,3}(" + "|".join(KEYWORDS) + r")[\t ]+([A-Za-z_][A-Za-z0-9_]*)"
 CALLABLE = r"^[\t ]*(?:[A-Za-z_][A-Za-z0-9_:<>,.\[\]*&\t ]*[\t *&]+)?([A-Za-z_][A-Za-z0-9_]*)[\t ]*\([^;=]*\)[\t ]*(?:const[\t ]*)?\{[\t ]*$"
 CALL = r"(?<![A-Za-z0-9_])([A-Za-z_][A-Za-z0-9_]{2,})[\t ]*\("

@@ -18,7 +18,8 @@ def matches(text: Column, symbol: str, regex: bool = False) -> Column:
 def defines(text: Column, symbol: str) -> Column:
     """Whether a line looks like the definition of ``symbol``."""
     s, end, start = _quoted(symbol), "(?![A-Za-z0-9_])", "(?<![A-Za-z0-9_])"
-    forms = rf"function\*?\s+{s}{end}|(?:class|interface|type|enum)\s+{s}{end}|(?:const|let|var)\s+{s}\s*[:=]|export\s*\{{[^}}]*{start}{s}{end}"
+    #: The forms of a definition.
+    forms = "|".join((rf"function\*?\s+{s}{end}", rf"class\s+{s}{end}", rf"(?:interface|type|enum)\s+{s}{end}", rf"(?:export\s+)?(?:const|let|var)\s+{s}\s*[:=]", rf"export\s*\{{[^}}]*{start}{s}{end}"))
     return text.rlike(f"{start}(?:{forms})")
 
 

@@ -95,6 +95,11 @@ def test_symbols_searched():
     assert symbols_searched("grep -v useAuth file") == []
     assert symbols_searched("grep -rn 'a.*b' src") == []
     assert symbols_searched(None) == []
+    assert symbols_searched("rg -t py -A 3 resolve_edges; grep -c useAuth") == ["resolve_edges"]
+    assert symbols_searched("find . -exec grep useAuth {} + && cat x | rg parseTurn") == ["useAuth"]
+    assert symbols_searched('for f in a; do grep --include=*.ts "tokenStore" lib; done') == ["tokenStore"]
+    assert symbols_searched("sudo grep -R useAuth && xargs grep readFile < list | grep -n parseTurn src") == ["parseTurn", "readFile", "useAuth"]
+    assert symbols_searched("mygrep -rn useAuth src; grep -rn ab src; echo grep") == []
 
 
 def test_names(value):
