@@ -16,7 +16,6 @@ slice of windows, which long texts are cut into as well.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -69,23 +68,26 @@ def train(texts: list[str], labels: np.ndarray, seed: int = SEED) -> Network | N
     if labels.all() or not labels.any():
         return None
     draw, network = np.random.default_rng(seed), Network.initial(seed)
-    listed = [words_of(t) for t in texts]
-    column = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in listed for w in ws))}
+    column: dict[str, int] = {}
+    places = []  # words are kept as numbers: the driver holds no text twice
+    for t in texts:
+        words = words_of(t)
+        places.append(np.fromiter((column.setdefault(w, len(column) + 1) for w in words), np.int32, len(words)))
     if not column:
         return None
     codes = encode_words(list(column))
-    grid, counts = _grid([np.fromiter((column[w] for w in ws), np.int32, len(ws)) for ws in listed], np.int32)
+    # First guess at windows: words in proportion more frequent in toxic texts.
+    seen = np.zeros((2, len(column) + 1))
+    for p, y in zip(places, labels, strict=True):
+        seen[int(y), np.unique(p)] += 1
+    grid, counts = _grid(places, np.int32)
+    del places
     text = np.repeat(np.arange(len(texts)), counts)
     toxic = labels[text]
-    # First guess at windows: words in proportion more frequent in toxic texts.
-    seen = [Counter(w for ws, y in zip(listed, labels, strict=True) if y == c for w in set(ws)) for c in (False, True)]
-    n = [(~labels).sum(), labels.sum()]
-    odds = np.zeros(len(column) + 1, np.float32)
-    for w, i in column.items():
-        odds[i] = np.log((seen[1][w] + 0.1) / n[1]) - np.log((seen[0][w] + 0.1) / n[0]) if seen[1][w] + seen[0][w] > 2 else 0
+    odds = np.log((seen[1] + 0.1) / labels.sum()) - np.log((seen[0] + 0.1) / (~labels).sum())
+    odds = np.where(seen.sum(0) > 2, odds, 0).astype(np.float32)
     score = np.concatenate([np.sort(odds[grid[:, i : i + WINDOWS_AT_ONCE]], axis=0)[-3:].sum(0) for i in range(0, grid.shape[1], WINDOWS_AT_ONCE)])
-    del listed
-    adam, rare = Adam(network, RATE), np.array([seen[0][w] + seen[1][w] <= 3 for w in column])
+    adam, rare = Adam(network, RATE), seen.sum(0)[1:] <= 3
     total = STEPS
     while adam.steps < total:
         if adam.steps:
