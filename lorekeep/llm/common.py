@@ -23,11 +23,13 @@ SLICE_BYTES = 4 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where that is unset (tests), a new temporary one."""
+    """The folder of ``spark.checkpoint.dir``; where that is unset, which only a local master may do, a new temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         if folder is None:
             context.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
             folder = context.getCheckpointDir()

@@ -8,7 +8,8 @@ Sections are the lines of a text, each with the newline that ends it, unless ``s
 column of ``array<struct<start int, end int>>`` (ascending, disjoint, in characters, exclusive end).
 Tokens outside all sections are counted under section -1.
 
-Defined results: a null or empty text has one section 0 of no characters and no tokens. Repeated
+Defined results: a null or empty text has one section 0 of no characters and no tokens. Null sections,
+and those with a null bound, are left out and the others numbered without them. Repeated
 rows give repeated results. Columns other than doc_id, text and ``sections`` are not read. Nothing
 is shuffled; memory is bounded by one slice of the input and the longest single text.
 """
@@ -93,7 +94,7 @@ def token_counts(docs: DataFrame, path: str, pattern: str, sections: str | None
             for i, (doc_id, text) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True)):
                 spans = token_spans(text, lengths, encoder.encode_ordinary(text))
                 if sections:
-                    pairs = np.array([(s["start"], s["end"]) for s in given[i] or []], np.int64).reshape(-1, 2)
+                    pairs = np.array([(s["start"], s["end"]) for s in given[i] or [] if s and s["start"] is not None and s["end"] is not None], np.int64).reshape(-1, 2)
                     lows, highs = pairs[:, 0], pairs[:, 1]
                 else:
                     lows, highs = line_sections(text)

@@ -71,3 +71,9 @@ def test_messy(messy, nothing):
         starts, ends = token_spans(t, lengths, encoder.encode_ordinary(t))
         assert not len(starts) or (starts[0] == 0 and ends[-1] == len(t))
     assert token_counts(nothing, PATH, PATTERN).count() == 0
+
+
+def test_null_sections_are_left_out(spark):
+    parts = "array(null, named_struct('start', 0, 'end', 5), named_struct('start', int(null), 'end', 9), named_struct('start', 5, 'end', 9)) AS parts"
+    rows = rows_of(token_counts(spark.sql(f"SELECT 1L AS doc_id, 'some text' AS text, {parts}"), PATH, PATTERN, "parts"))
+    assert [(r["section"], r["start"], r["end"]) for r in rows if r["section"] >= 0] == [(0, 0, 5), (1, 5, 9)]
