@@ -8,9 +8,13 @@
 3. The sender's ledger turns bitmaps and its own repeats into suspect documents. Only suspects'
    texts are shuffled, and they are grouped by their bytes, so a fingerprint that two texts share
    costs time but no correctness.
+4. Rows find their group by the text's SHA-256, which the byte groups have shown to stand for one
+   text; should two texts ever have one digest, the job fails and names that.
 
-Skew: a text repeated by a third of all rows is one fingerprint for each sender, and the byte
-verification groups by (text, doc_id) before it groups by text.
+Skew: a text repeated by a third of all rows is one fingerprint for each sender and, as its bytes
+are combined before the shuffle, one row of each scan task. Groups that hold more than 1 / HOT_GROUPS of
+the suspect rows are fewer than HOT_GROUPS and go to their rows by broadcast, so rows of one text
+don't meet.
 
 Defined results: null text counts as empty, and empty texts equal each other. Only A-Z are
 lower-cased. Of rows with the same text and the same largest doc_id, one stays. A null doc_id ranks
@@ -34,6 +38,10 @@ from lorekeep.llm.common import shuffle_partitions, small, stored, text_of
 
 #: Bits of the exchanged fingerprints. Fewer bits make shorter messages and more false suspects.
 FINGERPRINT_BITS = 40
+#: Fingerprints for one owner, about.
+OWNER_ROWS = 4_000_000
+#: Groups of more than this share of the suspect rows (1 / HOT_GROUPS) are joined by broadcast.
+HOT_GROUPS = 1000
 #: Stands for a null doc_id in packed ledgers; a real id of this value is suspected along with it.
 NO_ID = -(2**63)
 
@@ -128,9 +136,14 @@ def _normalise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(normal, pa.binary()), pa.array([hashlib.sha256(t).digest() for t in normal], pa.binary())], names=["doc_id", "normal", "sha"])
 
 
+def _owners(docs: DataFrame, rows: int) -> int:
+    """Owners that get about OWNER_ROWS fingerprints each, and no fewer than shuffle partitions."""
+    return max(shuffle_partitions(docs.sparkSession), -(-rows // OWNER_ROWS))
+
+
 def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of ``docs``."""
-    owners = owners or shuffle_partitions(docs.sparkSession)
+    owners = owners or _owners(docs, docs.count())
     rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).cast("binary").alias("text"))
     first = stored(rows.mapInArrow(_send(owners), _FIRST), "fingerprints")
     messages = first.filter("kind = 1")
@@ -140,11 +153,20 @@ def exact_dedup(docs: DataFrame, owners: int | None = None) -> DataFrame:
     marked = small(suspects, 16)
 
     texts = rows.join(marked, rows["doc_id"].eqNullSafe(marked["suspect"]), "left_semi").mapInArrow(_normalise, "doc_id long, normal binary, sha binary")
-    by_id = texts.groupBy("normal", "sha", "doc_id").agg(F.count("*").alias("copies"))
-    groups = by_id.groupBy("normal").agg(F.max("doc_id").alias("keep_id"), F.sum("copies").alias("group_size"))
-    verified = by_id.join(groups, "normal").select("doc_id", "keep_id", "group_size", "sha", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
-    unique = first.filter("kind = 0").select("doc_id", "sha")
-    unique = unique.join(marked, unique["doc_id"].eqNullSafe(marked["suspect"]), "left_anti")
+    by_text = texts.groupBy("sha", "normal").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    groups = by_text.groupBy("sha").agg(F.count("*").alias("texts"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size"))
+    groups = stored(groups.select("sha", "keep_id", F.when(F.col("texts") == 1, F.col("group_size")).otherwise(F.raise_error(F.lit("two texts have one SHA-256"))).alias("group_size")), "groups")
+    total = groups.agg(F.sum("group_size")).first()[0] or 0
+
+    digests = first.filter("kind = 0").select("doc_id", "sha")
+    copies = digests.join(marked, digests["doc_id"].eqNullSafe(marked["suspect"]), "left_semi").groupBy("sha", "doc_id").agg(F.count("*").alias("copies"))
+    hot = F.col("group_size") * HOT_GROUPS > total
+    # Fewer than HOT_GROUPS groups can each hold that share of the rows.
+    large = F.broadcast(groups.filter(hot).withColumnRenamed("sha", "large"))
+    in_large = copies.join(large, copies["sha"] == large["large"]).drop("large")
+    in_small = copies.join(large, copies["sha"] == large["large"], "left_anti").join(small(groups.filter(~hot), 64), "sha")
+    verified = in_large.unionByName(in_small).select("doc_id", "keep_id", "group_size", "sha", F.explode(F.expr("sequence(1L, copies)")).alias("copy"))
+    unique = digests.join(marked, digests["doc_id"].eqNullSafe(marked["suspect"]), "left_anti")
     unique = unique.select("doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), "sha", F.lit(1).cast("long").alias("copy"))
     return verified.unionByName(unique).select(
         "doc_id",

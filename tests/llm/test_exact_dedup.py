@@ -53,5 +53,12 @@ def test_shuffled_suspects(messy, monkeypatch):
     check(messy, rows_of(exact_dedup(messy)))
 
 
+def test_large_and_small_groups(messy, monkeypatch):
+    """Groups on both sides of the share that goes by broadcast."""
+    monkeypatch.setattr("lorekeep.llm.exact_dedup.HOT_GROUPS", 4)
+    monkeypatch.setattr("lorekeep.llm.common.BROADCAST_BYTES", -1)
+    check(messy, rows_of(exact_dedup(messy)))
+
+
 def test_empty(nothing):
     assert exact_dedup(nothing).count() == 0
