@@ -5,7 +5,8 @@ first; its k-th best score is each query's threshold. A pair of (stripe, group o
 formed only if the longest query times the longest vector can reach the smallest threshold. Inside a
 pair, vectors are taken in blocks by descending length. In coordinates rotated by an SVD, the inner
 product over the leading dimensions plus the product of the residual lengths (Cauchy-Schwarz)
-bounds the score; only what passes is scored in full, in integers.
+bounds the score; only what passes is scored in full, in integers, and only scores that reach the
+query's threshold leave the pair. Queries are grouped by length too, so that short ones skip stripes.
 
 The pairs form a grid of blocks: each holds at most STRIPE_ROWS vectors and GROUP_ROWS queries, so
 memory doesn't depend on the table. A vector repeated by a third of all rows is spread over stripes,
@@ -84,9 +85,11 @@ def _search(dims: int, k: int, rotation: np.ndarray):
             for i, passed in zip(alive, bound >= floor[alive][:, None], strict=True):
                 at = np.flatnonzero(passed)
                 at = at[rows[start + at] != queries["row"].iat[i]]
-                if len(at):
-                    scores = np.concatenate([best[i][0], x[at] @ q[i]])
-                    found = np.concatenate([best[i][1], ids[start + at]])
+                scores = x[at] @ q[i]
+                reached = scores >= floor[i]
+                if reached.any():
+                    scores = np.concatenate([best[i][0], scores[reached]])
+                    found = np.concatenate([best[i][1], ids[start + at[reached]]])
                     top = np.lexsort((found, -scores))[:k]
                     best[i] = scores[top], found[top]
                     if len(top) == k:
@@ -123,8 +126,9 @@ def top_inner_products(vectors: DataFrame, k: int = 20, query_divisor: int = 20)
     ordered = ordered.select(F.monotonically_increasing_id().alias("row"), "vec_id", F.spark_partition_id().alias("stripe"), "norm", "vector")
     base = stored(ordered.mapInArrow(_packed(dims), "row long, vec_id long, stripe int, norm double, vector binary"), "vectors")
 
-    group = F.pmod(F.xxhash64("row"), F.lit(max(1, math.ceil(n / query_divisor / GROUP_ROWS)))).cast("int")
-    queries = base.filter(F.col("vec_id") % query_divisor == 0).select("row", "vec_id", "norm", "vector", group.alias("group"))
+    queries = base.filter(F.col("vec_id") % query_divisor == 0)
+    n_groups = max(1, math.ceil(queries.count() / GROUP_ROWS))
+    queries = stored(queries.repartitionByRange(n_groups, F.desc("norm"), "row").select("row", "vec_id", "norm", "vector", F.spark_partition_id().alias("group")), "asking")
     search = _search(dims, k, rotation)
 
     def over(asked: DataFrame, cells: DataFrame) -> DataFrame:
