@@ -6,25 +6,30 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import held_out, text_of
+from lorekeep.llm.common import discard, held_out, stored, text_of
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], pieces: int, piece_chars: int) -> pd.DataFrame:
-    """At most ``per_class[c]`` rows of class c, as (label, text), in an order that only the ids decide.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: dict[int, int], chars: dict[int, int]) -> pd.DataFrame:
+    """At most ``per_class[c]`` rows of class c, as (label, whole text), in an order that only the ids decide.
 
-    Rows are drawn by a hash of doc_id from labels that aren't held out, before texts are joined. Of
-    a text longer than ``pieces * piece_chars`` characters, as many evenly spread pieces are taken,
-    so the driver gets at most sum(per_class) * pieces * piece_chars characters. Scoring never uses
-    this: it reads whole texts.
+    Rows are drawn by a hash of doc_id from labels that aren't held out, before texts are joined. In
+    the hash's order a row is taken if its text fits in what is left of the class's ``chars[c]``
+    characters, so the driver gets at most sum(chars) characters. Texts are never cut.
     """
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label"))
     known = known.filter("doc_id is not null and label in (0, 1)").filter(~held_out(F.col("doc_id"))).distinct()
     picked = [known.filter(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class[c]) for c in (0, 1)]
     picked = picked[0].unionByName(picked[1])
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
-    joined = texts.join(F.broadcast(picked), "doc_id")
-    n, size = F.length("text"), pieces * piece_chars
-    spread = [F.substr("text", (1 + F.floor((n - piece_chars) * i / max(1, pieces - 1))).cast("int"), F.lit(piece_chars)) for i in range(pieces)]
-    excerpt = F.when(n <= size, F.col("text")).otherwise(F.concat_ws("\n", *spread))
-    found = joined.groupBy("doc_id", "label").agg(F.min(excerpt).alias("text")).toPandas()  # one row of a repeated id
-    return found.sort_values(["doc_id", "label"], ignore_index=True)[["label", "text"]]
+    joined = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))  # one row of a repeated id
+    found = stored(joined, "labelled")
+    sizes = found.select("doc_id", "label", F.length("text").alias("size"), F.xxhash64("doc_id").alias("draw")).toPandas().sort_values(["draw", "doc_id"])
+    left, taken = dict(chars), []
+    for row in sizes.itertuples():
+        if row.size <= left[row.label]:
+            left[row.label] -= row.size
+            taken.append((row.doc_id, row.label))
+    chosen = F.broadcast(docs.sparkSession.createDataFrame(taken, "doc_id long, label int"))  # at most sum(per_class) rows
+    rows = found.join(chosen, ["doc_id", "label"]).toPandas().sort_values(["doc_id", "label"], ignore_index=True)
+    discard(found)
+    return rows[["label", "text"]]

@@ -6,7 +6,7 @@ in blocks under both. The difference of the two sizes, normalised by their mean,
 logistic calibration that was fitted on labelled rows which the dictionaries did not see.
 
 Defined results: null text counts as empty. An empty text has difference 0 and gets the calibrated
-score of that. Without labelled rows of both classes the score is 0.5 everywhere. Repeated rows give
+score of that. With fewer than four labelled rows of a class the score is 0.5 everywhere. Repeated rows give
 repeated results. Columns other than doc_id and text are never inputs. Long texts are read whole,
 block by block. There is no shuffle: the two dictionaries (of a fixed size) go to the tasks.
 """
@@ -23,11 +23,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import held_out, text_of
+from lorekeep.llm.common import held_out, slices, text_of
 from lorekeep.llm.labelled import labelled_sample
 
-#: At most so many labelled rows of each class, and so many pieces of so many characters of each.
-PER_CLASS, PIECES, PIECE_CHARS = {0: 1500, 1: 1500}, 4, 1500
+#: At most so many labelled rows of each class, and so many characters of whole texts.
+PER_CLASS, CHARS = {0: 1500, 1: 1500}, {0: 8_000_000, 1: 8_000_000}
 DICTIONARY_BYTES, LEVEL, BLOCK_BYTES = 16 << 10, 1, 1 << 10
 
 
@@ -84,7 +84,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3) -> np.ndarray:
 
 
 def fit_quality(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> QualityModel:
-    rows = labelled_sample(docs, labels, "quality", per_class, PIECES, PIECE_CHARS)
+    rows = labelled_sample(docs, labels, "quality", per_class, CHARS)
     data, y = [t.encode() for t in rows["text"]], rows["label"].to_numpy()
     if min((y == 0).sum(), (y == 1).sum()) < 4:
         return QualityModel(b"", b"", (0.0, 0.0, 0.0, 0.0))
@@ -108,7 +108,7 @@ def score_quality(docs: DataFrame, model: QualityModel) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes = model.sizer()
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(sizes, view.as_py()) for view in batch.column("text")], float).reshape(-1, 4)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(model.score(x)), pa.array(x[:, 1])], names=["doc_id", "score", "difference"])
 

@@ -28,8 +28,8 @@ from lorekeep.llm.gru import Adam, Network, encode_words
 from lorekeep.llm.labelled import labelled_sample
 
 WINDOW, STRIDE = 64, 48
-#: At most so many labelled rows of each class, and so many pieces of so many characters of each.
-PER_CLASS, PIECES, PIECE_CHARS = {0: 3000, 1: 1000}, 4, 1200
+#: At most so many labelled rows of each class, and so many characters of whole texts.
+PER_CLASS, CHARS = {0: 3000, 1: 1000}, {0: 8_000_000, 1: 4_000_000}
 #: Training: least steps, least passes, windows in a step, rate at the start, seed.
 STEPS, EPOCHS, BATCH, RATE, SEED = 300, 5, 128, 0.01, 17
 THRESHOLD = 0.7
@@ -192,7 +192,7 @@ class Scorer:
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> Network | None:
-    rows = labelled_sample(docs, labels, "toxic", per_class, PIECES, PIECE_CHARS)
+    rows = labelled_sample(docs, labels, "toxic", per_class, CHARS)
     network = train([*rows["text"], ""], np.append(rows["label"].to_numpy(), 0)) if len(rows) else None
     give_back()
     return network

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm import gru, quality, toxicity
+from lorekeep.llm.labelled import labelled_sample
 from lorekeep.llm.queries import op1_compression_quality, op5_gru_toxicity
 
 from .conftest import rows_of
@@ -106,3 +107,15 @@ def test_messy(spark, messy, nothing, labels):
     for rows in (rows_of(quality.score_quality(messy, quality.fit_quality(messy, known))), rows_of(toxicity.score_toxicity(messy, toxicity.fit_toxicity(messy, known)))):
         assert len(rows) == messy.count() and all(0 <= r["score"] <= 1 for r in rows)
         assert not any(r["held_out"] for r in rows if r["doc_id"] is None)
+
+
+def test_sampled_texts_are_whole(spark):
+    """Rows are left out to keep the bound on characters; no text is cut."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 3 != 1]
+    docs = spark.createDataFrame([(i, f"{i} " + "x" * (i % 7) * 20) for i in ids] + [(ids[0], None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", {0: 10, 1: 40}, {0: 10**6, 1: 300})
+    texts = {(r["text"] or "", r["doc_id"] % 2) for r in docs.collect()}
+    assert all((r.text, r.label) in texts for r in rows.itertuples())
+    assert (rows["label"] == 0).sum() == 10 and 0 < rows[rows["label"] == 1]["text"].str.len().sum() <= 300
+    assert not len(labelled_sample(docs.limit(0), labels, "toxic", {0: 10, 1: 40}, {0: 300, 1: 300}))
