@@ -185,3 +185,53 @@ def suggest(names: DataFrame, symbol: str, limit: int = 5, least: float = 40.0)
     rows = names.select("name").distinct().filter((F.col("name") != symbol) & (F.length("name") >= 3))
     scored = rows.withColumn("similarity", name_similarity(F.col("name"), F.lit(symbol))).filter(F.col("similarity") >= least)
     return scored.orderBy(F.desc("similarity"), F.length("name"), F.lower("name"), "name").limit(limit)
+
+
+def find_symbols(known: DataFrame, name: str | None = None, file: str | None = None, limit: int | None = 500) -> DataFrame:
+    """Symbols of a name, a file or both, by file and line."""
+    for column, value in (("name", name), ("file", file)):
+        if value is not None:
+            known = known.filter(F.col(column) == value)
+    rows = known.orderBy("file", "line", "id")
+    return rows if limit is None else rows.limit(limit)
+
+
+def find_edges(edges: DataFrame, src_ids: DataFrame | None = None, dst_ids: DataFrame | None = None) -> DataFrame:
+    """Edges that leave one of ``src_ids`` (id) or reach one of ``dst_ids`` (id), each once; all without either."""
+    sides = [("src_id", src_ids), ("dst_id", dst_ids)]
+    for side, ids in sides:
+        if ids is not None:
+            edges = edges.join(ids.select(F.col("id").alias(side), F.lit(True).alias(f"by_{side}")).distinct(), side, "left")
+    hits = [F.coalesce(F.col(f"by_{side}"), F.lit(False)) for side, ids in sides if ids is not None]
+    if hits:
+        edges = edges.filter(reduce(lambda a, b: a | b, hits))
+    return edges.drop("by_src_id", "by_dst_id")
+
+
+def without_files(rows: DataFrame, project: str, files: DataFrame | None = None, column: str = "file") -> DataFrame:
+    """A table of the graph without a project's rows, or without those of the ``files`` (file) of it."""
+    if files is None:
+        return rows.filter(~F.col("project").eqNullSafe(F.lit(project)))
+    gone = files.select(F.col("file").alias(column), F.lit(project).alias("project"))
+    return rows.join(gone, ["project", column], "left_anti").select(rows.columns)
+
+
+def labelled(nodes: DataFrame, known: DataFrame) -> DataFrame:
+    """``nodes`` with a label: the name of the symbol that a node is, else the node itself."""
+    names = known.select(F.col("id").alias("node"), F.col("name").alias("__name"))
+    return nodes.join(names, "node", "left").withColumn("label", F.coalesce("__name", F.col("node").cast("string"))).drop("__name")
+
+
+def contained(spans: DataFrame) -> DataFrame:
+    """span_id, parent_id: the narrowest other span of the file that holds a whole span; of equal spans the next smaller id.
+
+    Spans must nest. The one that starts just before a span is its holder, if it holds it at all; the spans
+    that follow a closed one look for theirs among the wider spans of their file."""
+    order = Window.partitionBy("file").orderBy("start", F.desc("end"), "span_id").rowsBetween(Window.unboundedPreceding, -1)
+    step = spans.withColumn("parent_id", F.last("span_id").over(order)).withColumn("until", F.last("end").over(order))
+    inside = F.col("until").isNotNull() & (F.col("end") <= F.col("until"))
+    nested, rest = step.filter(inside).select("span_id", "parent_id"), step.filter(~inside & F.col("until").isNotNull())
+    wide = spans.select("file", F.col("span_id").alias("parent_id"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    above = rest.drop("parent_id", "until").join(wide, "file").filter((F.col("p_start") <= F.col("start")) & (F.col("p_end") >= F.col("end")) & (F.col("p_end") - F.col("p_start") > F.col("end") - F.col("start")))
+    rank = F.struct((F.col("p_end") - F.col("p_start")).alias("width"), (-F.col("parent_id")).alias("late"))
+    return nested.unionByName(above.groupBy("span_id").agg(F.min_by("parent_id", rank).alias("parent_id")))

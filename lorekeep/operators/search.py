@@ -6,9 +6,10 @@ A search reads the table once for statistics and once for scores; only the k bes
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import STOPWORDS, best_window, meaningful_tokens, snippet, tokens
@@ -17,6 +18,8 @@ from lorekeep.functions.vectors import dot
 #: Weights of matches by column, and the two BM25 parameters.
 TITLE_WEIGHT, BODY_WEIGHT, TAGS_WEIGHT, K1, B = 10.0, 1.0, 5.0, 1.2, 0.75
 RRF_K, HALF_LIFE_DAYS, OVERFETCH = 60, 45.0, 3
+#: Folders of the stored index.
+INDEX_BUCKETS = 64
 DAY_MS = 86_400_000
 
 
@@ -132,3 +135,34 @@ def similar_prompts(prompts: DataFrame, observations: DataFrame, least: int) ->
     wanted = prompts.select("prompt_id", F.explode(F.array_distinct(meaningful_tokens(F.col("text")))).alias("term"))
     offered = observations.select("id", F.explode(F.array_distinct(meaningful_tokens(F.concat_ws(" ", "title", "snippet")))).alias("term"))
     return wanted.join(offered, "term").groupBy("prompt_id", "id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
+
+
+def term_bucket(term: Column) -> Column:
+    """The partition of the stored index that holds a term."""
+    return F.pmod(F.crc32(term.cast("binary")), F.lit(INDEX_BUCKETS)).cast("int")
+
+
+def write_index(observations: DataFrame, folder: str) -> None:
+    """Stores the inverted index: postings in folders by term, and the length of every row.
+
+    Each term's postings lie in one folder, so a search reads its terms' folders only."""
+    rows = postings(observations).withColumn("bucket", term_bucket(F.col("term")))
+    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
+    length = sum((F.size(tokens(F.coalesce(c, F.lit("")))) for c in (F.col("title"), F.col("body"), F.array_join("tags", " "))), F.lit(0))
+    observations.select("id", length.alias("length")).write.parquet(f"{folder}/lengths")
+
+
+def indexed_search(spark: SparkSession, folder: str, text: str, limit: int, project: str | None = None) -> DataFrame:
+    """id, score of the best rows, as keyword_search finds them, from a stored index (see write_index)."""
+    terms = query_terms(text)
+    buckets = [zlib.crc32(t.encode()) % INDEX_BUCKETS for t in terms]
+    hits = spark.read.parquet(f"{folder}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
+    tf = F.col("tf_title") * TITLE_WEIGHT + F.col("tf_body") * BODY_WEIGHT + F.col("tf_tags") * TAGS_WEIGHT
+    frequencies = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term of the text
+    lengths = spark.read.parquet(f"{folder}/lengths")
+    stats = F.broadcast(lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average")))  # one row
+    if project is not None:
+        hits = hits.filter(F.col("project") == project)
+    rows = hits.select("id", "term", tf.alias("tf")).join(frequencies, "term").join(lengths, "id").crossJoin(stats)
+    scored = rows.groupBy("id").agg(F.sum(_score(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"))).alias("score"))
+    return scored.orderBy(F.desc("score"), "id").limit(limit)

@@ -153,3 +153,28 @@ def foreign_tables(spark, own: str = r"^(observations|sessions|symbols|symbol_ed
 
 def ping(spark) -> bool:
     return spark.sql("SELECT 1").first()[0] == 1
+
+
+def removed_count(observations: DataFrame, **filters) -> DataFrame:
+    """One row: how many rows ``remove`` takes away."""
+    return observations.agg(F.count_if(removal(**filters)).alias("removed"))
+
+
+def wiped(tables: dict[str, DataFrame], project: str) -> dict[str, DataFrame]:
+    """Every table (with a project column) without what belongs to a project."""
+    return {name: rows.filter(~F.col("project").eqNullSafe(F.lit(project))) for name, rows in tables.items()}
+
+
+def swept(cursors: DataFrame, live: DataFrame, key: str = "session_id") -> DataFrame:
+    """Cursors whose transcript still exists."""
+    return cursors.join(live.select(key).distinct(), key, "left_semi")
+
+
+def session_sync(here: DataFrame, there: DataFrame, observations: DataFrame) -> DataFrame:
+    """Sessions of ``there`` that ``here`` lacks, of the projects that have observations."""
+    return missing(here, there).join(observations.select("project").distinct(), "project", "left_semi")
+
+
+def stale(observations: DataFrame, embedder: str) -> DataFrame:
+    """Rows without a vector, or with one of another embedder."""
+    return observations.filter(F.col("embedding").isNull() | ~F.col("embedder").eqNullSafe(F.lit(embedder)))

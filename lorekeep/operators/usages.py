@@ -34,3 +34,9 @@ def find_usages(lines: DataFrame, symbol: str, context: int = 0, regex: bool = F
     around = around.groupBy("file", "line").agg(F.bool_or(F.col("line") == F.col("hit")).alias("is_match"))
     found = lines.join(around, ["file", "line"])
     return found.select("file", "line", "text", (F.col("is_match") & defines(F.col("text"), symbol)).alias("is_definition"), "is_match")
+
+
+def usage_total(lines: DataFrame, symbol: str, limit: int, regex: bool = False) -> DataFrame:
+    """One row: all matching lines, how many of them ``limit`` shows, and whether it leaves any out."""
+    total = lines.filter(matches(F.col("text"), symbol, regex)).agg(F.count("*").alias("total"))
+    return total.select("total", F.least("total", F.lit(limit).cast("long")).alias("shown"), (F.col("total") > limit).alias("truncated"))

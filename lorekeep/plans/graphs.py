@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from lorekeep.operators import graph, usages
 from lorekeep.operators.report import adoption as adoption_counts
 from lorekeep.plans.catalog import query, table
+from lorekeep.session import shared_folder
 
 SYMBOL = "red widget"
 
@@ -110,11 +111,7 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _kept(df: DataFrame) -> DataFrame:
     """The frontier, cut from its lineage in the shared checkpoint folder."""
-    import tempfile
-
-    spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lorekeep-"))
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
@@ -209,3 +206,54 @@ def adoption(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.col("p_size") % 3
     uses = part.select(F.col("p_partkey").alias("id"), F.when(size == 0, "mcp__memory__search").otherwise("Bash").alias("name"), F.when(size == 1, F.concat(F.lit("grep -rn "), word, F.lit(" src"))).otherwise("ls").alias("command"))
     return adoption_counts(uses, part.filter("p_size > 40").select(word.alias("name")))
+
+
+@query(f"WITH {_KNOWN} SELECT id, file, line FROM known WHERE name = '{SYMBOL}'")
+def symbol_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All symbols of a name."""
+    return graph.find_symbols(_known(spark, sf_dir), SYMBOL, limit=None).select("id", "file", "line")
+
+
+@query(f"WITH {_GRAPH}, ids AS (SELECT id FROM known WHERE name = '{SYMBOL}') SELECT ref_id, src_id, dst_id FROM g WHERE src_id IN (SELECT id FROM ids) OR dst_id IN (SELECT id FROM ids)")
+def edge_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges that leave or reach a symbol's definitions."""
+    ids = _known(spark, sf_dir).filter(F.col("name") == SYMBOL)
+    return graph.find_edges(_graph(spark, sf_dir), ids, ids).select("ref_id", "src_id", "dst_id")
+
+
+@query("SELECT p_partkey AS id, p_type AS project, p_brand AS file FROM part WHERE NOT (p_type = (SELECT min(p_type) FROM part) AND p_brand IN (SELECT p_brand FROM part WHERE p_size > 45))")
+def graph_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symbols without those of some files of one project."""
+    part = table(spark, sf_dir, "part")
+    rows = part.select(F.col("p_partkey").alias("id"), F.col("p_type").alias("project"), F.col("p_brand").alias("file"))
+    project = rows.agg(F.min("project")).head()[0]
+    return graph.without_files(rows, project, part.filter("p_size > 45").select(F.col("p_brand").alias("file"))).select("id", "project", "file")
+
+
+@query("""WITH p AS (SELECT p_partkey AS id, p_name AS name FROM part WHERE p_size > 10), n AS (SELECT DISTINCT l_partkey AS node FROM lineitem)
+    SELECT node, coalesce(name, CAST(node AS VARCHAR)) AS label FROM n LEFT JOIN p ON node = id""")
+def path_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes by the names of their symbols, or as they are."""
+    known = table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return graph.labelled(table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("node")).distinct(), known)
+
+
+_NESTED = """spans AS (SELECT o_orderkey AS span_id, o_custkey AS file, o_orderkey - o_orderkey % CAST(pow(4, o_orderkey % 7) AS BIGINT) AS start,
+    o_orderkey - o_orderkey % CAST(pow(4, o_orderkey % 7) AS BIGINT) + CAST(pow(4, o_orderkey % 7) AS BIGINT) - 1 AS "end" FROM orders)"""
+
+
+@query(f"""WITH {_NESTED}, pairs AS (SELECT a.span_id, b.span_id AS parent, b."end" - b.start AS width FROM spans a JOIN spans b ON a.file = b.file AND a.span_id <> b.span_id
+        AND b.start <= a.start AND b."end" >= a."end" AND (b."end" - b.start > a."end" - a.start OR b.span_id < a.span_id))
+    SELECT span_id, arg_min(parent, (width, -parent)) AS parent_id FROM pairs GROUP BY span_id""")
+def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What defines what: the narrowest other span around each span of a file."""
+    width, key = F.pow(F.lit(4), F.col("o_orderkey") % 7).cast("long"), F.col("o_orderkey")
+    spans = table(spark, sf_dir, "orders").select(key.alias("span_id"), F.col("o_custkey").alias("file"), (key - key % width).alias("start"), (key - key % width + width - 1).alias("end"))
+    return graph.contained(spans)
+
+
+@query(rf"""WITH {_LINES}, c AS (SELECT count(*) AS total FROM numbered WHERE regexp_matches(text, '\btrack\b'))
+    SELECT total, least(total, 20) AS shown, total > 20 AS truncated FROM c""")
+def text_usages_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines hold a word, and whether a page of 20 shows them all."""
+    return usages.usage_total(_lines(spark, sf_dir), "track", 20)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from lorekeep.functions.ids import scope_token, short_id
 from lorekeep.functions.vectors import MIN_RELEVANCE, dot, embed
 from lorekeep.operators import report, search
 from lorekeep.plans.catalog import DOCUMENTS, EVENTS, NOW, documents, events, query, table
+from lorekeep.session import shared_folder
 
 TEXT = "why is the idiot pathetic when all rights are reserved"
 TERMS = search.query_terms(TEXT)
@@ -47,6 +50,14 @@ def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.keyword_search(documents(spark, sf_dir), TEXT, LIMIT).select("id", "project", "title", F.round("score", 6).alias("score"))
 
 
+@query(f"WITH {_keyword(LIMIT)} SELECT id, round(score, 6) AS score FROM keyword")
+def keyword_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search from a stored inverted index, of which it reads the folders of its terms."""
+    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.write_index(documents(spark, sf_dir), folder)
+    return search.indexed_search(spark, folder, TEXT, LIMIT).select("id", F.round("score", 6).alias("score"))
+
+
 @query(f"WITH {_keyword(None, chr(112) + 'roject = ' + chr(39) + 'src0' + chr(39))} SELECT id, round(score, 6) AS score FROM keyword")
 def keyword_search_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hits within one project; frequencies are those of the whole corpus."""

@@ -235,3 +235,33 @@ def activity(spark: SparkSession, sf_dir: str) -> DataFrame:
         WHEN s // 60 >= 1 THEN CAST(s // 60 AS VARCHAR) || ' minute' || CASE WHEN s // 60 = 1 THEN '' ELSE 's' END || ' ago' ELSE 'just now' END AS age FROM a""")
 def ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events(spark, sf_dir).select("id", report.age_text(F.col("created_at"), NOW).alias("age"))
+
+
+@query(f"WITH {EVENTS} SELECT count(*) AS removed FROM ev WHERE kind = 'view' AND created_at < {MID}")
+def forget_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows a filtered delete takes away."""
+    return store.removed_count(events(spark, sf_dir), kind="view", before=MID)
+
+
+@query(f"WITH {EVENTS} SELECT id, project FROM ev WHERE project IS DISTINCT FROM '7'")
+def project_wipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a table when a project is wiped."""
+    return store.wiped({"observations": events(spark, sf_dir)}, "7")["observations"].select("id", "project")
+
+
+@query("SELECT DISTINCT o_custkey AS session_id FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)")
+def cursor_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cursors that stay: those whose transcript still exists."""
+    cursors = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_custkey").alias("session_id")).distinct()
+    live = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_acctbal > 0").select(F.col("c_custkey").alias("session_id"))
+    return store.swept(cursors, live)
+
+
+@query("""SELECT o_orderkey AS id, o_custkey AS project FROM orders WHERE o_orderstatus <> 'F'
+    AND o_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') AND o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)""")
+def session_sync(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions another store has and this one lacks, of projects with observations."""
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
+    sessions = rows.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project"), F.col("o_orderstatus").alias("status"))
+    known = spark.read.parquet(f"{sf_dir}/customer.parquet").filter("c_acctbal > 0").select(F.col("c_custkey").alias("project"))
+    return store.session_sync(sessions.filter("status = 'F'"), sessions.filter("status <> 'F'").drop("status"), known).select("id", "project")

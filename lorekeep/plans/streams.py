@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +10,7 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.plans.captures import TURNS
 from lorekeep.plans.catalog import NOW, query
+from lorekeep.session import shared_folder
 from lorekeep.streaming.turns import ingest, ingested
 
 
@@ -28,6 +28,6 @@ def streaming_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("turn") * 1000 + NOW).alias("timestamp"),
         F.lit(False).alias("compacted"),
     )
-    folder = f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='lorekeep-')}/turns-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
     ingest(entries, folder).awaitTermination()
     return ingested(spark, folder).select("session_id", "turn_no", "offset", "prompt", "reasoning")

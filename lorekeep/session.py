@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +16,15 @@ def session(name: str = "lorekeep", **conf: str) -> SparkSession:
         "spark.sql.execution.arrow.pyspark.enabled": "true",
     } | {k.replace("_", "."): v for k, v in conf.items()}
     return SparkSession.builder.appName(name).config(map=settings).getOrCreate()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; where that is unset, which only a local master may do, a new temporary one."""
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None and not context.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    folder = folder or tempfile.mkdtemp(prefix="lorekeep-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
