@@ -1,15 +1,13 @@
 """Turns from a growing log.
 
-Each batch adds the new entries to those of every session's open (last) turn and assembles turns
-again. Turns are written under the batch's number, and so are the entries of turns still open. A
-batch that is repeated after a failure overwrites its own folders, and a turn that grew is written
-again under the same key, so readers see each turn once, in its last state.
+Each batch keeps its entries under the batch's number and a hash of the session, and assembles the
+turns of every session it touches from all entries of that session so far: an entry may come late, or
+in any order, and is never lost. A batch that is repeated after a failure overwrites its own folders, and a
+turn that grew is written again under the same key, so readers see each turn once, in its last state.
 """
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -18,15 +16,8 @@ from lorekeep.operators.capture import turns
 from lorekeep.operators.store import latest
 
 KEYS = ["session_id", "offset"]
-
-
-def _batches(spark: SparkSession, folder: str) -> list[int]:
-    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
-    files = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not files.exists(place):
-        return []
-    names = (s.getPath().getName() for s in files.listStatus(place))
-    return sorted(int(m[1]) for m in map(re.compile(r"batch=(\d+)$").match, names) if m)
+#: Folders that a batch's entries are dealt to by session; a batch reads those of its own sessions only.
+BUCKETS = 64
 
 
 def ingest(entries: DataFrame, folder: str) -> StreamingQuery:
@@ -34,19 +25,22 @@ def ingest(entries: DataFrame, folder: str) -> StreamingQuery:
 
     def absorb(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        earlier = [n for n in _batches(spark, f"{folder}/open") if n < number]
-        if earlier:
-            waiting = spark.read.schema(batch.schema).parquet(f"{folder}/open/batch={earlier[-1]}")
-            batch = batch.unionByName(waiting).dropDuplicates(KEYS)
-        found = turns(batch)
+        bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")
+        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/entries/batch={number}")
+        known = spark.read.schema(f"{_ddl(batch)}, batch long, bucket int").parquet(f"{folder}/entries").filter(F.col("batch") <= number)
+        touched = known.filter(F.col("batch") == number).select("session_id", "bucket").distinct()
+        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS
+        mine = known.filter(F.col("bucket").isin(buckets)).join(touched.select("session_id"), "session_id", "left_semi")
+        found = turns(mine.select(batch.columns).dropDuplicates(KEYS))
         found.drop("turn_no").write.mode("overwrite").parquet(f"{folder}/turns/batch={number}")
-        last = found.groupBy("session_id").agg(F.max("offset").alias("from_offset"))
-        still_open = batch.join(last, "session_id").filter(F.col("offset") >= F.col("from_offset")).select(batch.columns)
-        still_open.write.mode("overwrite").parquet(f"{folder}/open/batch={number}")
 
     return entries.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
+def _ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+
+
 def ingested(spark: SparkSession, folder: str) -> DataFrame:
     """All turns so far, numbered within their sessions."""
     rows = latest(spark.read.parquet(f"{folder}/turns"), KEYS, [F.col("batch")]).drop("batch")

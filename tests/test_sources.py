@@ -77,3 +77,16 @@ def test_source_files(spark, tmp_path):
     assert {(r["name"], r["kind"]) for r in files.python_symbols(found).collect()} == {("A", "class"), ("f", "method"), ("g", "function")}
     known = found.select(F.col("file").alias("path"), "hash")
     assert files.to_scan(found, known).count() == 0 and files.unchanged(found, known).count() == 1
+
+
+def test_late_entries(spark, tmp_path):
+    """Answers that come after later prompts still find their turn, whatever the order of the files."""
+    kind = "session_id string, offset long, role string, text string, files array<string>, commands array<string>, timestamp long, compacted boolean"
+    say = lambda at, role, text: ("s", at, role, text, [], [], at, False)
+    first = [say(1, "user", "fix the parser of dates"), say(3, "user", "then rename the helper")]
+    late = [say(2, "assistant", "the parser is fixed"), say(4, "assistant", "renamed")]
+    for rows in (first, late):
+        spark.createDataFrame(rows, kind).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ingest(spark.readStream.schema(kind).parquet(str(tmp_path / "in")), str(tmp_path / "out")).awaitTermination()
+    found = {(r["turn_no"], r["offset"], r["reasoning"]) for r in ingested(spark, str(tmp_path / "out")).collect()}
+    assert found == {(1, 1, "the parser is fixed"), (2, 3, "renamed")}
