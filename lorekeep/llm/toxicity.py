@@ -9,7 +9,7 @@ bounded sample of labelled rows: of a toxic text only its most suspicious window
 Defined results: null text counts as empty. A text without words is one window of padding and gets
 the score of that, which training holds low. Without labelled rows of both classes the score is 0.
 Repeated rows give repeated results. Only doc_id and text are read, and only text is an input.
-Nothing is shuffled; tasks hold the network (of a fixed size), a bounded table of words, and one
+Scoring shuffles nothing; tasks hold the network (of a fixed size), a bounded table of words, and one
 slice of windows, which long texts are cut into as well.
 """
 
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import give_back, held_out, slices, text_of, tidy
+from lorekeep.llm.common import discard, held_out, slices, text_of, tidy
 from lorekeep.llm.gru import Adam, Network, encode_words
-from lorekeep.llm.labelled import labelled_sample
+from lorekeep.llm.labelled import labelled_rows
 
 WINDOW, STRIDE = 64, 48
 #: At most so many labelled rows of each class, and so many characters of whole texts.
@@ -191,11 +191,24 @@ class Scorer:
         return 1 / (1 + np.exp(-best))
 
 
+def _trained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weights of a network trained on all rows given, a row for each array."""
+    texts, labels = [], []
+    for batch in batches:
+        texts += batch.column("text").to_pylist()
+        labels += batch.column("label").to_pylist()
+    network = train([*texts, ""], np.array([*labels, 0]))
+    for name, values in network.weights.items() if network else ():
+        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([list(values.shape)], pa.list_(pa.int32())), pa.array([values.tobytes()], pa.binary())], names=["name", "shape", "values"])
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, per_class: dict[int, int] = PER_CLASS) -> Network | None:
-    rows = labelled_sample(docs, labels, "toxic", per_class, CHARS)
-    network = train([*rows["text"], ""], np.append(rows["label"].to_numpy(), 0)) if len(rows) else None
-    give_back()
-    return network
+    """The network, trained in one task on the bounded sample; the driver gets its weights alone."""
+    rows = labelled_rows(docs, labels, "toxic", per_class, CHARS)
+    ordered = rows.repartition(1).sortWithinPartitions("doc_id", "label")  # at most sum(per_class) rows and sum(CHARS) characters
+    weights = ordered.mapInArrow(tidy(_trained), "name string, shape array<int>, values binary").collect()
+    discard(rows)
+    return Network({w["name"]: np.frombuffer(w["values"], np.float32).reshape(w["shape"]) for w in weights}) if weights else None
 
 
 def _scores(network: Network | None):
