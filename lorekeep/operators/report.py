@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.commands import searched_symbols
 from lorekeep.functions.ids import short_id
-from lorekeep.functions.text import echoes
+from lorekeep.functions.text import clip_body, echoes, truncate
 
 STALL_MS = 48 * 3_600_000
 
@@ -45,6 +45,50 @@ def index_line(entries: DataFrame) -> DataFrame:
     return entries.select("id", F.when(worth, F.concat(head, F.lit("\n    "), F.col("snippet"))).otherwise(head).alias("line"))
 
 
+def token_estimate(text: Column) -> Column:
+    """About how many tokens a text takes: a quarter of its characters."""
+    return F.round(F.length(text) / 4).cast("long")
+
+
+def full_entry(observations: DataFrame, chars: int = 2000) -> DataFrame:
+    """id and the whole rendering of an observation: its figures, title, and body cut after ``chars``."""
+    when = F.date_format(F.timestamp_millis("created_at"), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    who = F.when(F.col("author") != "", F.concat(F.lit("who: "), "author"))
+    files = F.when(F.size("files") > 0, F.concat(F.lit("files: "), F.array_join("files", ", ")))
+    head = [F.concat(F.lit(f"{name}: "), value) for name, value in (("id", short_id(F.col("id"))), ("kind", F.col("kind")), ("when", when))]
+    text = [F.lit(""), F.coalesce("title", F.lit("")), F.lit(""), clip_body(F.coalesce("body", F.lit("")), chars)]
+    return observations.select("id", F.concat_ws("\n", *head, who, files, *text).alias("full"))
+
+
+def prompt_block(entries: DataFrame, key: str, budget: int = 700, body_chars: int = 900, tag: str = "recalled-memory") -> DataFrame:
+    """Of each ``key`` the block that a prompt gets, and about how many tokens it takes.
+
+    ``entries`` has key, id, rank, kind, created_at, title, snippet, body and expand. Those to expand come
+    first, with their bodies; the others are lines, as many as the budget holds. A key's list is bounded
+    by the budget and by what the caller expands; a key with neither gets no block."""
+    at, plain = F.timestamp_millis("created_at"), F.coalesce("title", F.lit(""))
+    head = lambda day: F.concat_ws(" ", short_id(F.col("id")), "kind", F.date_format(at, day), plain)
+    bodies = entries.filter("expand").select(key, F.lit(0).alias("part"), "rank", "id", F.concat(head("yyyy-MM-dd"), F.lit("\n"), truncate(F.coalesce("body", F.lit("")), body_chars)).alias("shown"))
+    line = F.concat(head("yyyy-MM"), F.when(F.col("snippet") != "", F.concat(F.lit("\n    "), "snippet")).otherwise(""))
+    lines = entries.filter("not expand").select(key, F.lit(1).alias("part"), "rank", "id", line.alias("shown"))
+    lines = within_budget(lines, [key], [F.col("rank"), F.col("id")], F.length("shown"), budget)
+    listed = F.array_sort(F.collect_list(F.struct("part", "rank", "id", "shown")))
+    text = F.array_join(F.transform(listed, lambda x: x["shown"]), "\n")
+    blocks = bodies.unionByName(lines).groupBy(key).agg(F.concat(F.lit(f"<{tag}>\n"), text, F.lit(f"\n</{tag}>")).alias("block"))
+    return blocks.withColumn("tokens", token_estimate(F.col("block")))
+
+
+def viewed(observations: DataFrame, project: str, most: int | None = 500) -> DataFrame:
+    """What the view of a project shows: its oldest rows, all of them if ``most`` is None."""
+    rows = observations.filter(F.col("project") == project)
+    return rows if most is None else rows.orderBy("created_at", "id").limit(most)
+
+
+def view_page(rows: DataFrame, newest: int = 80) -> DataFrame:
+    """The newest of the rows viewed."""
+    return rows.orderBy(F.desc("created_at"), "id").limit(newest)
+
+
 def rules(observations: DataFrame, limit: int = 8) -> DataFrame:
     """Preferences, notes first, then the newest."""
     return observations.filter(F.col("kind") == "preference").orderBy(F.desc(F.col("session_id") == "manual"), F.desc("created_at"), "id").limit(limit)

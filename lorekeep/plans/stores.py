@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators import report, store
@@ -86,6 +86,49 @@ def stats_by_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.by_kind(events(spark, sf_dir))
 
 
+_VIEW = "v AS (SELECT id, status AS kind, created_at FROM ev WHERE kind = 'click' ORDER BY created_at, id LIMIT 500)"
+
+
+def _viewed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = events(spark, sf_dir).select("id", F.col("kind").alias("project"), F.col("status").alias("kind"), "created_at")
+    return report.viewed(rows, "click")
+
+
+@query(f"WITH {EVENTS}, {_VIEW} SELECT kind, count(*) AS n FROM v GROUP BY kind")
+def view_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds among the oldest 500 rows of a project, which is what a view covers."""
+    return report.by_kind(_viewed(spark, sf_dir))
+
+
+@query(f"WITH {EVENTS}, {_VIEW} SELECT id, kind, created_at FROM v ORDER BY created_at DESC, id LIMIT 80")
+def view_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 80 of a view's rows."""
+    return report.view_page(_viewed(spark, sf_dir)).select("id", "kind", "created_at")
+
+
+@query(f"""WITH {DOCUMENTS} SELECT id, 'id: ' || left(id, 8) || chr(10) || 'kind: ' || kind || chr(10) || 'when: ' || strftime(make_timestamp(created_at * 1000), '%Y-%m-%dT%H:%M:%S.%g') || 'Z' || chr(10)
+        || CASE WHEN project <> '' THEN 'who: ' || project || chr(10) ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN 'files: a/' || id || ', b' || chr(10) ELSE '' END || chr(10) || coalesce(title, '') || chr(10) || chr(10)
+        || CASE WHEN length(coalesce(body, '')) <= 2000 THEN coalesce(body, '') ELSE substring(body, 1, 2000) || chr(10) || '… ' || (length(body) - 2000) || ' more characters (raise `chars` to read them)' END AS "full" FROM docs""")
+def full_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in full, with its source as the author."""
+    files = F.when(F.col("doc_id") % 3 == 0, F.array(F.concat(F.lit("a/"), "id"), F.lit("b"))).otherwise(F.array().cast("array<string>"))
+    return report.full_entry(documents(spark, sf_dir).withColumn("author", F.col("project")).withColumn("files", files))
+
+
+@query(f"""WITH {DOCUMENTS}, e AS (SELECT *, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) AS rank, coalesce(title, '') AS named, make_timestamp(created_at * 1000) AS moment FROM docs),
+    l AS (SELECT project, rank, id, left(id, 8) || ' ' || kind || ' ' || strftime(moment, '%Y-%m') || ' ' || named || CASE WHEN doc_id % 2 = 0 THEN chr(10) || '    ' || lang_note ELSE '' END AS shown FROM (SELECT *, 'in ' || kind AS lang_note FROM e) WHERE rank > 1),
+    f AS (SELECT *, sum(length(shown) + 1) OVER (PARTITION BY project ORDER BY rank) - 1 AS spent FROM l),
+    p AS (SELECT project, 1 AS part, rank, shown FROM f WHERE spent <= 700 UNION ALL
+          SELECT project, 0, rank, left(id, 8) || ' ' || kind || ' ' || strftime(moment, '%Y-%m-%d') || ' ' || named || chr(10) || CASE WHEN length(coalesce(body, '')) <= 900 THEN coalesce(body, '') ELSE substring(body, 1, 900) || chr(10) || '... [truncated]' END FROM e WHERE rank = 1),
+    b AS (SELECT project, '<recalled-memory>' || chr(10) || string_agg(shown, chr(10) ORDER BY part, rank) || chr(10) || '</recalled-memory>' AS block FROM p GROUP BY project)
+    SELECT project, block, CAST(round(length(block) / 4) AS BIGINT) AS tokens FROM b""")
+def prompt_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of each source the block for a prompt: the newest document with its text, lines of the next ones."""
+    rank = F.row_number().over(Window.partitionBy("project").orderBy(F.desc("created_at"), "id"))
+    rows = documents(spark, sf_dir).withColumn("rank", rank).withColumn("expand", F.col("rank") == 1)
+    return report.prompt_block(rows.withColumn("snippet", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("in "), "kind"))), "project")
+
+
 @query(f"WITH {EVENTS}, t AS (SELECT unnest(tags) AS tag FROM ev) SELECT tag, count(*) AS n FROM t GROUP BY tag ORDER BY n DESC, tag LIMIT 10")
 def stats_by_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten most frequent tags."""

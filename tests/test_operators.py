@@ -3,6 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.functions.ids import SHORT
 from lorekeep.operators import capture, graph, report, search, store, usages
 
 DAY = search.DAY_MS
@@ -214,3 +215,25 @@ def test_vector_search_newest(spark):
     df = spark.createDataFrame(rows, "id string, embedding array<float>, created_at long")
     assert [r["id"] for r in search.vector_search(df, [1.0, 0.0], 2, newest=3).collect()] == ["2", "3"]
     assert [r["id"] for r in search.vector_search(df, [1.0, 0.0], 2).collect()] == ["0", "1"]
+
+
+def test_prompt_block_and_view(spark):
+    kinds = "project string, id string, rank int, kind string, created_at long, title string, snippet string, body string, expand boolean"
+    rows = [
+        ("p", "a" * 40, 1, "note", 0, "first", None, "x" * 12, True),
+        ("p", "b" * 40, 2, "note", 0, None, "", None, False),
+        ("p", "c" * 40, 3, "note", 0, "t" * 60, None, None, False),  # beyond the budget
+        ("p", "d" * 40, 4, "note", 0, "s", None, None, False),  # comes after it
+        (None, "e" * 40, 1, "note", 0, "alone", "seen", None, False),
+    ]
+    entries = spark.createDataFrame(rows, kinds)
+    found = {r["project"]: (r["block"], r["tokens"]) for r in report.prompt_block(entries, "project", budget=60, body_chars=10).collect()}
+    short = lambda c: c * SHORT
+    first = f"<recalled-memory>\n{short('a')} note 1970-01-01 first\n{'x' * 10}\n... [truncated]\n{short('b')} note 1970-01 \n</recalled-memory>"
+    assert found["p"] == (first, int(len(first) / 4 + 0.5))
+    assert found[None][0] == f"<recalled-memory>\n{short('e')} note 1970-01 alone\n    seen\n</recalled-memory>"
+    assert report.prompt_block(entries.limit(0), "project").count() == 0
+
+    assert [r["id"][0] for r in report.viewed(entries, "p", 3).collect()] == ["a", "b", "c"]
+    assert report.viewed(entries, "p", None).count() == 4
+    assert [r["id"][0] for r in report.view_page(report.viewed(entries, "p", 3), 2).collect()] == ["a", "b"]
