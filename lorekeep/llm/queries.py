@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm import exact_dedup, line_dedup, merkle, mixing, near_dedup, packing, quality, ranked_search, secrets, token_attribution, topk, toxicity
+from lorekeep.llm import exact_dedup, line_dedup, merkle, mixing, near_dedup, packing, quality, ranked_search, secrets, suffix_tree, token_attribution, topk, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,11 +66,15 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.suffix_tree_scores(table(spark, sf_dir, "documents"))
+
+
 def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search.ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_quality, op2_fuzzy_lines, op3_source_mixing, op4_hilbert_packing, op5_gru_toxicity, op6_assignment_secrets, op7_norm_sorted_topk, op8_token_attribution, op9_dart_near_dedup, op10_golomb_exact_dedup, op11_merkle_manifest, op13_ranked_search)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_compression_quality, op2_fuzzy_lines, op3_source_mixing, op4_hilbert_packing, op5_gru_toxicity, op6_assignment_secrets, op7_norm_sorted_topk, op8_token_attribution, op9_dart_near_dedup, op10_golomb_exact_dedup, op11_merkle_manifest, op12_suffix_tree, op13_ranked_search)}
 
 ORACLES: dict[str, str] = {
     "op7_norm_sorted_topk": """
