@@ -49,7 +49,7 @@ BITMAP_BITS, HOT = 27, 1 << 20
 #: A context with this share of all tokens is dealt by its next word too, into so many parts.
 HEAVY, PARTS = 1 / 1024, 64
 #: Bytes of text that are counted together.
-COUNT_BYTES = 16 << 20
+COUNT_BYTES = 8 << 20
 #: Stands for a word in a state's own key; the words are hashes.
 STATE = -1
 #: The end of a text: the hash of the empty word.
@@ -124,7 +124,8 @@ def _tokens(texts: pa.Array, table: np.ndarray) -> _Tokens:
     codes = np.insert(codes, ends, len(vocabulary))  # each text's end after its words
     sizes = np.diff(ends, prepend=0) + 1
     starts = np.cumsum(sizes) - sizes
-    return _Tokens(hashes[codes], np.repeat(np.arange(len(sizes)), sizes), np.arange(len(codes)) - np.repeat(starts, sizes), codes, hashes, sizes)
+    place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    return _Tokens(hashes[codes], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), place, codes, hashes, sizes)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -211,18 +212,20 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
         bits, many = spark.sparkContext.broadcast(bitmap(candidates)), spark.sparkContext.broadcast(heavy.view(np.uint64))
         rows = texts.mapInArrow(_count_pairs(level, bits, many), "shorter long, context long, part int, word long, n long")
         added = rows.repartition("context", "part").groupBy("shorter", "context", "part", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_pair).drop("part")
-        priced = added.join(small(below, 48), ["shorter", "word"]).join(small(candidates.withColumnRenamed("key", "context"), 32), "context")
+        priced = added.join(small(below, 96), ["shorter", "word"]).join(small(candidates.withColumnRenamed("key", "context"), 64), "context")
         pairs = stored(priced, f"pairs{level}")
+        bits.destroy()
+        many.destroy()
         states = stored(_tested(pairs, tokens), f"states{level}")
         p = (F.col("n") + F.col("share") * F.col("weight") * F.col("low")) / F.col("weight")
-        nexts = stored(pairs.join(small(states.drop("times"), 48), "context").select("context", "word", "n", "share", "low", p.alias("p")), f"nexts{level}")
+        nexts = stored(pairs.join(small(states.drop("times"), 64), "context").select("context", "word", "n", "share", "low", p.alias("p")), f"nexts{level}")
         parts.append(states.select(F.xxhash64("context", F.lit(STATE).cast("long")).alias("key"), F.log10("share").alias("value"), F.col("times").alias("weight")))
         parts.append(nexts.select(F.xxhash64("context", "word").alias("key"), F.log10(F.col("p") / (F.col("share") * F.col("low"))).alias("value"), F.col("n").alias("weight")))
         # Contexts one word longer begin with one that was tested and end with a state.
         ending = F.col("word") if level == 1 else F.xxhash64("shorter", "word")
         longer = pairs.filter((F.col("n") >= least_context) & (F.col("word") != end)).select(F.xxhash64("context", "word").alias("key"), F.col("n").alias("times"), ending.alias("ending"))
         used += [candidates, pairs, states, nexts]
-        candidates = longer.join(small(states.select(F.col("context").alias("ending")), 24), "ending", "left_semi").select("key", "times")
+        candidates = longer.join(small(states.select(F.col("context").alias("ending")), 48), "ending", "left_semi").select("key", "times")
         below = nexts.select(F.col("context").alias("shorter"), "word", F.col("p").alias("low"))
     for part in parts[1:]:
         parts[0] = parts[0].unionByName(part)
@@ -306,6 +309,8 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH) -> DataFrame:
     kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double, words array<long>, words_n array<int>, keys array<long>, keys_n array<int>"
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_of(docs).alias("text"))
     rows = stored(texts.mapInArrow(_score(depth, bits, hot), kinds), "scored")
+    bits.destroy()
+    hot.destroy()
 
     def cold(of: str, is_word: bool) -> DataFrame:
         pairs = rows.select("row", F.explode(F.arrays_zip(F.col(of).alias("key"), F.col(f"{of}_n").alias("n"))).alias("c"))
