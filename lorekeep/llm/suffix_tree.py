@@ -16,8 +16,8 @@ and a text's score the sum of the values of its keys; no context has to be looke
 Counting is one pass over the training texts a level: tasks count the pairs of a slice of texts, which are dealt by
 context (and by word too for the at most 1024 contexts that hold 1/1024 of all tokens) and added. Every pass skips
 what an earlier level ruled out, by a bitmap of fixed size whose false hits are removed by exact joins.
-Scoring looks up the at most ``HOT`` most frequent keys in a broadcast array; of the others those that the
-bitmap may hold are joined. The bitmap and the array don't grow with the data; counts and the model are never sent whole.
+Scoring looks up the keys that hold a share of ``HOT`` of all tokens in a broadcast array, which has at most 1 / HOT
+of each kind and level; of the others those that the bitmap may hold are joined. The bitmap and the array don't grow with the data; counts and the model are never sent whole.
 
 Words, contexts and pairs are known by 64-bit hashes; with 10^9 of them some 0.03 are expected to share one.
 
@@ -40,43 +40,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm.common import discard, slices, small, stored, text_of, tidy
-from lorekeep.llm.words import BLANKS, table_of, words
+from lorekeep.llm.words import BLANKS, hashed_words, joined, table_of
 
 #: Words in a context at most, and the occurrences that contexts and pairs need to be looked at.
 DEPTH, LEAST_CONTEXT, LEAST_PAIR = 3, 16, 4
-#: Bits of the bitmaps, as a power of two, and keys in the broadcast array at most.
-BITMAP_BITS, HOT = 27, 1 << 20
+#: Bits of the bitmaps, as a power of two, and the share of all tokens that puts a key into the broadcast array.
+BITMAP_BITS, HOT = 27, 2.0**-19
 #: A context with this share of all tokens is dealt by its next word too, into so many parts.
 HEAVY, PARTS = 1 / 1024, 64
 #: Bytes of text that are counted together.
 COUNT_BYTES = 8 << 20
 #: Stands for a word in a state's own key; the words are hashes.
 STATE = -1
+#: Columns of a row on its way through the join.
+NAMES = ["row", "key", "n", "is_word", "own"]
 #: The end of a text: the hash of the empty word.
 END = xxhash.xxh64_intdigest(b"", 42)
 
-_P1, _P2, _P3, _P4, _P5 = (np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
-
-
-def _turn(x: np.ndarray, by: int) -> np.ndarray:
-    return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
-
-
-def _hash_long(x: np.ndarray, seed: np.ndarray) -> np.ndarray:
-    """XXH64 of one 64-bit number."""
-    h = (seed + _P5 + np.uint64(8)) ^ (_turn(x * _P2, 31) * _P1)
-    h = _turn(h, 27) * _P1 + _P4
-    h = (h ^ (h >> np.uint64(33))) * _P2
-    h = (h ^ (h >> np.uint64(29))) * _P3
-    return h ^ (h >> np.uint64(32))
-
-
-def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The key of a sequence of words that is one word longer, as Spark's xxhash64(a, b)."""
-    with np.errstate(over="ignore"):
-        return _hash_long(np.asarray(b, np.uint64), _hash_long(np.asarray(a, np.uint64), np.uint64(42)))
-
-
 def _bit(key: Column) -> Column:
     return F.shiftrightunsigned(key, 64 - BITMAP_BITS)
 
@@ -99,13 +79,11 @@ def _within(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 @dataclass
 class _Tokens:
-    """The tokens of a slice of texts: their hashes, texts and places, and the words they are."""
+    """The tokens of a slice of texts: their hashes, texts and places in their text, and the texts' sizes."""
 
     hashes: np.ndarray
     text: np.ndarray
     place: np.ndarray
-    codes: np.ndarray  # into ``vocabulary``
-    vocabulary: np.ndarray
     sizes: np.ndarray
 
     def contexts(self, depth: int) -> Iterator[np.ndarray]:
@@ -119,13 +97,12 @@ class _Tokens:
 
 
 def _tokens(texts: pa.Array, table: np.ndarray) -> _Tokens:
-    codes, vocabulary, ends = words(texts, table)
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w, 42) for w in itertools.chain(vocabulary.to_pylist(), [b""])), np.uint64, len(vocabulary) + 1)
-    codes = np.insert(codes, ends, len(vocabulary))  # each text's end after its words
+    hashes, ends = hashed_words(texts, table)
+    hashes = np.insert(hashes, ends, np.uint64(END))  # each text's end after its words
     sizes = np.diff(ends, prepend=0) + 1
     starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(codes), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
-    return _Tokens(hashes[codes], np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), place, codes, hashes, sizes)
+    place = np.arange(len(hashes), dtype=np.int32) - np.repeat(starts.astype(np.int32), sizes)
+    return _Tokens(hashes, np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), place, sizes)
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,9 +117,8 @@ def _signed(x: np.ndarray) -> pa.Array:
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     table = table_of(BLANKS)
     for batch in slices(batches, limit=COUNT_BYTES):
-        found = _tokens(batch.column("text"), table)
-        n = np.bincount(found.codes, minlength=len(found.vocabulary))
-        yield pa.RecordBatch.from_arrays([_signed(found.vocabulary[n > 0]), pa.array(n[n > 0])], ["key", "n"])
+        keys, n = np.unique(_tokens(batch.column("text"), table).hashes, return_counts=True)
+        yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
 def _count_pairs(level: int, bits: Broadcast, heavy: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -212,7 +188,7 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
         bits, many = spark.sparkContext.broadcast(bitmap(candidates)), spark.sparkContext.broadcast(heavy.view(np.uint64))
         rows = texts.mapInArrow(_count_pairs(level, bits, many), "shorter long, context long, part int, word long, n long")
         added = rows.repartition("context", "part").groupBy("shorter", "context", "part", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_pair).drop("part")
-        priced = added.join(small(below, 96), ["shorter", "word"]).join(small(candidates.withColumnRenamed("key", "context"), 64), "context")
+        priced = added.join(small(below, 96).hint("shuffle_hash"), ["shorter", "word"]).join(small(candidates.withColumnRenamed("key", "context"), 64), "context")
         pairs = stored(priced, f"pairs{level}")
         bits.destroy()
         many.destroy()
@@ -234,16 +210,9 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
     return model
 
 
-def _hottest(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and values of the rows of greatest weight, at most ``most``: as many steps of weight as fit."""
-    step = F.floor(F.log2(F.col("weight")) * 8)
-    sizes = table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # at most 8 * 64 rows
-    least = None
-    for row, held in zip(sizes, itertools.accumulate(r["count"] for r in sizes), strict=True):
-        if held > most:
-            break
-        least = row["step"]
-    rows = (table.filter(step >= least) if least is not None else table.limit(0)).select("key", "value").toArrow()
+def _hottest(model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and values of the words, states and pairs with a share of HOT of all tokens: at most 1 / HOT of each level and kind."""
+    rows = model.table.filter(F.col("weight") >= max(1.0, model.tokens * HOT)).select("key", "value").toArrow()
     keys = rows["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows["value"].to_numpy()[order]
@@ -269,33 +238,31 @@ def _score(depth: int, bits: Broadcast, hot: Broadcast) -> Callable[[Iterator[pa
 
         for batch in slices(batches, limit=COUNT_BYTES):
             found, n = _tokens(batch.column("text"), table), batch.num_rows
-            value, may, cold = look(found.vocabulary)
-            base = np.bincount(found.text, weights=value[found.codes], minlength=n)
-            known = np.bincount(found.text, weights=(may & ~cold)[found.codes], minlength=n).astype(np.int64)
-            gain, later = np.zeros(n), [(True, found.text[at := np.flatnonzero(cold[found.codes])], found.hashes[at])]
-            own = look(joined(found.vocabulary, np.uint64(STATE % 2**64)))  # of contexts of one word, by word
-            at, context = np.flatnonzero(found.place >= 1), None
+            value, may, cold = look(found.hashes)
+            base = np.bincount(found.text, weights=value, minlength=n)
+            known = np.bincount(found.text, weights=may & ~cold, minlength=n).astype(np.int64)
+            gain, later = np.zeros(n), [(1, found.text[cold], found.hashes[cold])]
+            at = np.arange(len(found.hashes))
             for level, keys in enumerate(found.contexts(depth), 1):
                 at = at[found.place[at] >= level]
-                value, may, cold = (x[found.codes[at - 1]] for x in own) if level == 1 else look(joined(keys[at], np.uint64(STATE % 2**64)))
-                gain += np.bincount(found.text[at], weights=value, minlength=n)
-                later.append((False, found.text[at[cold]], joined(keys[at[cold]], np.uint64(STATE % 2**64))))
-                at = at[may]  # a longer context is a state only if this one is
-                context = joined(keys[at], found.hashes[at])
-                value, _, cold = look(context)
-                gain += np.bincount(found.text[at], weights=value, minlength=n)
-                later.append((False, found.text[at[cold]], context[cold]))
+                context = keys[at]
+                for word in (np.uint64(STATE % 2**64), None):
+                    asked = joined(context, found.hashes[at] if word is None else word)
+                    value, may, cold = look(asked)
+                    gain += np.bincount(found.text[at], weights=value, minlength=n)
+                    later.append((0, found.text[at[cold]], asked[cold]))
+                    if word is not None:
+                        at, context = at[may], context[may]  # a longer context is a state only if this one is
             rows = np.fromiter(itertools.islice(first, n), np.int64, n)
-            columns = [pa.array(rows), batch.column("doc_id"), batch.column("held_out"), pa.array(found.sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(gain)]
-            for kind in (True, False):
-                text, key = (np.concatenate([x[i] for x in later if x[0] is kind]) for i in (1, 2))
+            own = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found.sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(gain)], ["doc_id", "held_out", "n_tokens", "known", "base", "gain"])
+            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), own], NAMES)
+            for is_word in (1, 0):
+                text, key = (np.concatenate([x[i] for x in later if x[0] == is_word]) for i in (1, 2))
                 order = np.lexsort((key, text))
                 text, key = text[order], key[order]
                 starts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
                 counts = np.diff(np.append(starts, len(key)))
-                places = pa.array(np.concatenate([[0], np.cumsum(np.bincount(text[starts], minlength=n))]).astype(np.int32))
-                columns += [pa.ListArray.from_arrays(places, _signed(key[starts])), pa.ListArray.from_arrays(places, pa.array(counts.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "known", "base", "gain", "words", "words_n", "keys", "keys_n"])
+                yield pa.RecordBatch.from_arrays([pa.array(rows[text[starts]]), _signed(key[starts]), pa.array(counts.astype(np.int32)), pa.array(np.full(len(starts), bool(is_word))), pa.nulls(len(starts), own.type)], NAMES)
 
     return tidy(run)
 
@@ -303,26 +270,18 @@ def _score(depth: int, bits: Broadcast, hot: Broadcast) -> Callable[[Iterator[pa
 def score(docs: DataFrame, model: Model, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
-    ``base_score`` is the root's log10 probability of the text, ``score`` the tree's; ``n_known`` counts tokens of training texts."""
+    ``base_score`` is the root's log10 probability of the text, ``score`` the tree's; ``n_known`` counts tokens of training texts.
+    A text's own row goes through the join with the keys that it asks for, under a key that spreads them, so the texts are read once."""
     spark = docs.sparkSession
-    bits, hot = spark.sparkContext.broadcast(bitmap(model.table)), spark.sparkContext.broadcast(_hottest(model.table, HOT))
-    kinds = "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, gain double, words array<long>, words_n array<int>, keys array<long>, keys_n array<int>"
+    bits, hot = spark.sparkContext.broadcast(bitmap(model.table)), spark.sparkContext.broadcast(_hottest(model))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_of(docs).alias("text"))
-    rows = stored(texts.mapInArrow(_score(depth, bits, hot), kinds), "scored")
-    bits.destroy()
-    hot.destroy()
-
-    def cold(of: str, is_word: bool) -> DataFrame:
-        pairs = rows.select("row", F.explode(F.arrays_zip(F.col(of).alias("key"), F.col(f"{of}_n").alias("n"))).alias("c"))
-        return pairs.select("row", "c.key", "c.n", F.lit(is_word).alias("is_word"))
-
-    met = cold("words", True).unionByName(cold("keys", False)).join(model.table.select("key", "value"), "key")
+    rows = texts.mapInArrow(_score(depth, bits, hot), "row long, key long, n int, is_word boolean, own struct<doc_id:long,held_out:boolean,n_tokens:long,known:long,base:double,gain:double>")
+    met = rows.join(model.table.select("key", "value").hint("shuffle_hash"), "key", "left").filter("own is not null or value is not null")
     amount = F.col("n") * F.col("value")
-    sums = met.groupBy("row").agg(F.sum(F.when(F.col("is_word"), F.col("n"))).alias("more"), F.sum(F.when(F.col("is_word"), amount)).alias("more_base"), F.sum(F.when(~F.col("is_word"), amount)).alias("more_gain"))
-    found = rows.drop("words", "words_n", "keys", "keys_n").join(sums, "row", "left")
-    plus = lambda a, b: F.col(a) + F.coalesce(F.col(b), F.lit(0.0))
-    base = F.col("n_tokens") * model.unknown + plus("base", "more_base")
-    return found.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + plus("gain", "more_gain")).alias("score"))
+    of = lambda is_word, what: F.coalesce(F.sum(F.when(F.col("own").isNull() & (F.col("is_word") == is_word), what)), F.lit(0))
+    found = met.groupBy("row").agg(F.max("own").alias("own"), of(True, F.col("n")).alias("more"), of(True, amount).alias("more_base"), of(False, amount).alias("more_gain"))
+    base = F.col("own.n_tokens") * model.unknown + F.col("own.base") + F.col("more_base")
+    return found.select("own.doc_id", "own.held_out", "own.n_tokens", (F.col("own.known") + F.col("more")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("own.gain") + F.col("more_gain")).alias("score"))
 
 
 def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_pair: int = LEAST_PAIR) -> DataFrame:

@@ -6,10 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lorekeep.llm import suffix_tree
+from lorekeep.llm.words import BLANKS, hashed_words, table_of, words
 
 from .conftest import prose, rows_of
 
@@ -66,8 +70,8 @@ class Tree:
         return sum(math.log10(self.p(text[max(0, i - self.depth) : i], w)) for i, w in enumerate(text))
 
 
-def expected(rows, *settings):
-    tree = Tree([tokens(r["text"]) for r in rows if not is_held_out(r["doc_id"])], *settings)
+def expected(rows, *limits):
+    tree = Tree([tokens(r["text"]) for r in rows if not is_held_out(r["doc_id"])], *limits)
     out = []
     for r in rows:
         t = tokens(r["text"])
@@ -76,9 +80,9 @@ def expected(rows, *settings):
     return out, tree
 
 
-def same(df, rows, *settings):
-    wanted, tree = expected(rows, *settings)
-    found = [tuple(r[c] for c in COLUMNS) for r in rows_of(suffix_tree.suffix_tree_scores(df, *settings))]
+def same(df, rows, *limits):
+    wanted, tree = expected(rows, *limits)
+    found = [tuple(r[c] for c in COLUMNS) for r in rows_of(suffix_tree.suffix_tree_scores(df, *limits))]
     key = lambda x: (str(x[0]), x[2], round(x[5], 6))
     found, wanted = sorted(found, key=key), sorted(wanted, key=key)
     assert [x[:5] for x in found] == [x[:5] for x in wanted]
@@ -96,16 +100,28 @@ def prose_rows(spark):
 
 def test_keys_are_those_of_spark(spark):
     pairs = [(0, 0), (1, -1), (2**62, -(2**61)), (-5, 17)]
-    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("k"), F.xxhash64(F.col("a").cast("string")).alias("w")).collect()
+    rows = spark.createDataFrame(pairs, "a long, b long").select("a", "b", F.xxhash64("a", "b").alias("k")).collect()
     a, b = (np.array([r[c] for r in rows], np.int64).view(np.uint64) for c in "ab")
     assert suffix_tree.joined(a, b).view(np.int64).tolist() == [r["k"] for r in rows]
-    assert [suffix_tree.xxhash.xxh64_intdigest(str(r["a"]), 42) for r in rows] == [r["w"] % 2**64 for r in rows]
 
 
-@pytest.mark.parametrize("settings", [(1, 2, 2), (3, 4, 2), (4, 2, 1)])
-def test_passages(prose_rows, settings):
-    tree = same(prose_rows, rows_of(prose_rows), *settings)
-    assert {len(c) for c in tree.states} == set(range(1, min(settings[0], 3) + 1))
+@settings(deadline=None, max_examples=200)
+@given(st.lists(st.none() | st.text(st.sampled_from("ab\x00\xe9A \t\r\x1f\u6771"), max_size=200), max_size=6))
+def test_words_are_hashed_alike_wherever_they_stand(texts):
+    table = table_of(BLANKS)
+    hashes, ends = hashed_words(pa.array(texts, pa.string()), table)
+    found = [w for t in texts for w in tokens(t)[:-1]]
+    assert len(hashes) == len(found) and np.diff(ends, prepend=0).tolist() == [len(tokens(t)) - 1 for t in texts]
+    codes, vocabulary, also = words(pa.array(texts, pa.string()), table)
+    assert [vocabulary[int(c)].as_py() for c in codes] == found and also.tolist() == ends.tolist()
+    by_hash = dict(zip(hashes.tolist(), found, strict=True))
+    assert len(by_hash) == len(set(found)) and [by_hash[h] for h in hashes.tolist()] == found
+
+
+@pytest.mark.parametrize("limits", [(1, 2, 2), (3, 4, 2), (4, 2, 1)])
+def test_passages(prose_rows, limits):
+    tree = same(prose_rows, rows_of(prose_rows), *limits)
+    assert {len(c) for c in tree.states} == set(range(1, min(limits[0], 3) + 1))
 
 
 def test_messy_rows(messy):
@@ -122,7 +138,7 @@ def test_all_documents(spark, sf):
 def test_small_bitmap_and_array_change_nothing(prose_rows, monkeypatch):
     """False hits of the bitmap and keys that must be joined."""
     monkeypatch.setattr(suffix_tree, "BITMAP_BITS", 6)
-    monkeypatch.setattr(suffix_tree, "HOT", 3)
+    monkeypatch.setattr(suffix_tree, "HOT", 0.05)
     same(prose_rows, rows_of(prose_rows), 3, 4, 2)
 
 
