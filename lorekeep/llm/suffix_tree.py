@@ -16,8 +16,8 @@ and a text's score the sum of the values of its keys; no context has to be looke
 Counting is one pass over the training texts a level: tasks count the pairs of a slice of texts, which are dealt by
 context (and by word too for the at most 1024 contexts that hold 1/1024 of all tokens) and added. Every pass skips
 what an earlier level ruled out, by a bitmap of fixed size whose false hits are removed by exact joins.
-Scoring looks up the keys that hold a share of ``HOT`` of all tokens in a broadcast array, which has at most 1 / HOT
-of each kind and level; of the others those that the bitmap may hold are joined. The bitmap and the array don't grow with the data; counts and the model are never sent whole.
+Scoring looks up the at most ``HOT`` most frequent keys in a broadcast array; of the others those that the bitmap may
+hold are joined. The bitmap and the array don't grow with the data; counts and the model are never sent whole.
 
 Words, contexts and pairs are known by 64-bit hashes; with 10^9 of them some 0.03 are expected to share one.
 
@@ -44,8 +44,8 @@ from lorekeep.llm.words import BLANKS, hashed_words, joined, table_of
 
 #: Words in a context at most, and the occurrences that contexts and pairs need to be looked at.
 DEPTH, LEAST_CONTEXT, LEAST_PAIR = 3, 16, 4
-#: Bits of the bitmaps, as a power of two, and the share of all tokens that puts a key into the broadcast array.
-BITMAP_BITS, HOT = 27, 2.0**-19
+#: Bits of the bitmaps, as a power of two, and keys in the broadcast array at most.
+BITMAP_BITS, HOT = 27, 1 << 20
 #: A context with this share of all tokens is dealt by its next word too, into so many parts.
 HEAVY, PARTS = 1 / 1024, 64
 #: Bytes of text that are counted together.
@@ -210,9 +210,16 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
     return model
 
 
-def _hottest(model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and values of the words, states and pairs with a share of HOT of all tokens: at most 1 / HOT of each level and kind."""
-    rows = model.table.filter(F.col("weight") >= max(1.0, model.tokens * HOT)).select("key", "value").toArrow()
+def _hottest(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Keys in order and values of the rows of greatest weight, at most ``most``: as many steps of weight as fit."""
+    step = F.floor(F.log2(F.col("weight")) * 8)
+    sizes = table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # at most 8 * 64 rows
+    least = None
+    for row, held in zip(sizes, itertools.accumulate(r["count"] for r in sizes), strict=True):
+        if held > most:
+            break
+        least = row["step"]
+    rows = (table.filter(step >= least) if least is not None else table.limit(0)).select("key", "value").toArrow()
     keys = rows["key"].to_numpy().view(np.uint64)
     order = np.argsort(keys)
     return keys[order], rows["value"].to_numpy()[order]
@@ -273,7 +280,7 @@ def score(docs: DataFrame, model: Model, depth: int = DEPTH) -> DataFrame:
     ``base_score`` is the root's log10 probability of the text, ``score`` the tree's; ``n_known`` counts tokens of training texts.
     A text's own row goes through the join with the keys that it asks for, under a key that spreads them, so the texts are read once."""
     spark = docs.sparkSession
-    bits, hot = spark.sparkContext.broadcast(bitmap(model.table)), spark.sparkContext.broadcast(_hottest(model))
+    bits, hot = spark.sparkContext.broadcast(bitmap(model.table)), spark.sparkContext.broadcast(_hottest(model.table, HOT))
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_of(docs).alias("text"))
     rows = texts.mapInArrow(_score(depth, bits, hot), "row long, key long, n int, is_word boolean, own struct<doc_id:long,held_out:boolean,n_tokens:long,known:long,base:double,gain:double>")
     met = rows.join(model.table.select("key", "value").hint("shuffle_hash"), "key", "left").filter("own is not null or value is not null")
