@@ -40,13 +40,18 @@ def log_entries(lines: DataFrame) -> DataFrame:
     )
 
 
+def asks() -> Column:
+    """Whether a log entry is a real prompt, which begins a turn."""
+    real = (F.col("role") == "user") & (F.col("text") != "") & ~F.col("compacted") & ~T.is_synthetic(F.col("text"))
+    return F.coalesce(real, F.lit(False))
+
+
 def turns(entries: DataFrame) -> DataFrame:
     """session_id, turn_no, offset, timestamp, prompt, reasoning, files, commands.
 
     Each real prompt begins a turn; what the assistant says and does until the next one belongs to it."""
-    asks = (F.col("role") == "user") & (F.col("text") != "") & ~F.col("compacted") & ~T.is_synthetic(F.col("text"))
     order = Window.partitionBy("session_id").orderBy("offset")
-    rows = entries.withColumn("asks", F.coalesce(asks, F.lit(False))).withColumn("turn_no", F.sum(F.col("asks").cast("int")).over(order))
+    rows = entries.withColumn("asks", asks()).withColumn("turn_no", F.sum(F.col("asks").cast("int")).over(order))
     rows = rows.filter((F.col("turn_no") > 0) & (F.col("asks") | (F.col("role") == "assistant")))
     answers = F.sort_array(F.collect_list(F.when(~F.col("asks"), F.struct("offset", "text", "files", "commands"))))
     grouped = rows.groupBy("session_id", "turn_no").agg(
@@ -70,9 +75,14 @@ def substantive(prompt: Column, reasoning: Column, files: Column, commands: Colu
 
 def observations_from_turns(found: DataFrame, project: Column, now: int) -> DataFrame:
     """One observation for each substantive turn; a turn that is read again gets the same id."""
+    return candidates(found, project, now).filter("substantive").drop("substantive")
+
+
+def candidates(found: DataFrame, project: Column, now: int) -> DataFrame:
+    """What each turn would become, and whether it is ``substantive``: a turn that was may no longer be once late entries split it."""
     stamp = F.coalesce("timestamp", F.lit(now))
     rows = found.withColumn("prompt", T.strip_private(F.col("prompt"))).withColumn("reasoning", T.strip_private(F.col("reasoning")))
-    rows = rows.filter(substantive(*map(F.col, ("prompt", "reasoning", "files", "commands"))))
+    rows = rows.withColumn("substantive", substantive(*map(F.col, ("prompt", "reasoning", "files", "commands"))))
     rows = rows.withColumn("files", F.array_distinct(F.filter("files", lambda f: ~T.excluded(f, EXCLUDED))))
     rows = rows.withColumn("project", project).withColumn("created_at", stamp)
     rows = rows.withColumn("kind", T.classify_turn(F.col("prompt"), F.col("reasoning"), F.size("files")))
@@ -96,13 +106,18 @@ def observations_from_turns(found: DataFrame, project: Column, now: int) -> Data
         T.top_dirs(F.col("files"), F.col("project")).alias("tags"),
         "created_at",
         F.when(F.size("files") > 0, "open").otherwise("done").alias("status"),
+        "substantive",
     )
 
 
+def kind_rank(kind: Column) -> Column:
+    """The place of a kind in a summary."""
+    return F.array_position(F.array(*map(F.lit, KIND_RANK)), kind)
+
+
 def session_summaries(observations: DataFrame, most: int = 3) -> DataFrame:
     """session_id, summary: up to ``most`` distinct titles, by kind and then by time."""
-    rank = F.array_position(F.array(*map(F.lit, KIND_RANK)), F.col("kind"))
-    titles = observations.groupBy("session_id", "title").agg(F.min(F.struct(rank.alias("rank"), "created_at", "id")).alias("first"))
+    titles = observations.groupBy("session_id", "title").agg(F.min(F.struct(kind_rank(F.col("kind")).alias("rank"), "created_at", "id")).alias("first"))
     order = Window.partitionBy("session_id").orderBy("first")
     best = titles.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= most)
     joined = F.array_join(F.sort_array(F.collect_list(F.struct("n", "title")))["title"], " | ")

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.ids import edge_id, symbol_id
 from lorekeep.functions.text import name_similarity, redact, trim
+from lorekeep.operators.intervals import best_around, holders
+from lorekeep.operators.running import MOST_ROWS, running
 
 SAME_FILE, SINGLE_MATCH, AMBIGUOUS_MATCH = 1.0, 0.95, 0.85
+#: Lines that are longer, and calls of a file beyond so many, are left out unless a caller says otherwise.
 LONGEST_LINE, MOST_CALLS = 400, 200
 #: Declaring words and the kinds they declare.
 KEYWORDS = {
@@ -51,24 +54,28 @@ def source_lines(files: DataFrame) -> DataFrame:
     return files.select("file", F.posexplode(F.split("source", "\n")).alias("at", "text")).select("file", (F.col("at") + 1).alias("line"), "text")
 
 
-def declarations(lines: DataFrame) -> DataFrame:
-    """file, line, name, kind, text of the declarations that patterns find."""
+def _no_longer(text: Column, longest: int | None) -> Column:
+    return F.lit(True) if longest is None else F.length(text) <= longest
+
+
+def declarations(lines: DataFrame, longest: int | None = LONGEST_LINE) -> DataFrame:
+    """file, line, name, kind, text of the declarations that patterns find in lines of at most ``longest`` characters (None: all)."""
     text = F.col("text")
     keyword, named, callable_ = F.regexp_extract(text, DECLARATION, 1), F.regexp_extract(text, DECLARATION, 2), F.regexp_extract(text, CALLABLE, 1)
     kinds = F.create_map(*(F.lit(x) for pair in KEYWORDS.items() for x in pair))
-    found = lines.filter(F.length("text") <= LONGEST_LINE).select("file", "line", "text", keyword.alias("keyword"), named.alias("named"), callable_.alias("callable"))
+    found = lines.filter(_no_longer(text, longest)).select("file", "line", "text", keyword.alias("keyword"), named.alias("named"), callable_.alias("callable"))
     by_word = (F.col("keyword") != "") & ~F.col("named").isin(*KEYWORDS)
     by_form = (F.col("keyword") == "") & (F.col("callable") != "") & ~F.col("callable").isin(*NOT_CALLS)
     return found.filter(by_word | by_form).select("file", "line", F.when(by_word, F.col("named")).otherwise(F.col("callable")).alias("name"), F.when(by_word, F.element_at(kinds, F.nullif("keyword", F.lit("")))).otherwise("function").alias("kind"), "text")
 
 
-def calls(lines: DataFrame) -> DataFrame:
-    """file, line, name of calls, from the first lines of a file that hold MOST_CALLS of them."""
+def calls(lines: DataFrame, longest: int | None = LONGEST_LINE, most: int | None = MOST_CALLS) -> DataFrame:
+    """file, line, name of calls in lines of at most ``longest`` characters, from the first lines of a file that hold ``most`` of them (None: all)."""
     text = F.col("text")
-    rows = lines.filter((F.length("text") <= LONGEST_LINE) & ~text.rlike(DECLARATION) & ~text.rlike(CALLABLE))
+    rows = lines.filter(_no_longer(text, longest) & ~text.rlike(DECLARATION) & ~text.rlike(CALLABLE))
     rows = rows.select("file", "line", F.filter(F.regexp_extract_all(text, F.lit(CALL), F.lit(1)), lambda n: ~n.isin(*NOT_CALLS)).alias("names")).filter(F.size("names") > 0)
-    before = Window.partitionBy("file").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("before", F.coalesce(F.sum(F.size("names")).over(before), F.lit(0))).filter(F.col("before") < MOST_CALLS)
+    if most is not None:
+        rows = running(rows, ["file"], ["line"], sums={"upto": F.size("names")}).filter(F.col("upto") - F.size("names") < most)
     return rows.select("file", "line", F.explode("names").alias("name"))
 
 
@@ -79,22 +86,22 @@ def symbols(found: DataFrame, project: str) -> DataFrame:
     return first.select("id", F.lit(project).alias("project"), "s.name", "s.kind", "s.file", "s.line", language(F.col("s.file")).alias("lang"), F.substring(redact(trim(F.col("s.text"))), 1, 200).alias("signature"))
 
 
-def nearest_above(references: DataFrame, spans: DataFrame) -> DataFrame:
-    """References (file, line, ...) with from_id and from_name: the last declaration at or above the line.
+def nearest_above(references: DataFrame, spans: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
+    """References (file, line, ...) with from_id and from_name: the last declaration at or above the line; of several on one line the greatest id.
 
-    An as-of join by one sort of both sides, so a long file costs no pairs."""
-    mark = spans.select("file", "line", F.lit(0).alias("__late"), F.struct("id", "name").alias("__span"))
-    rows = references.withColumn("__late", F.lit(1)).unionByName(mark, allowMissingColumns=True)
-    order = Window.partitionBy("file").orderBy("line", "__late").rowsBetween(Window.unboundedPreceding, 0)
-    placed = rows.withColumn("__last", F.last("__span", ignorenulls=True).over(order)).filter("__late = 1")
-    return placed.select(*references.columns, F.col("__last.id").alias("from_id"), F.col("__last.name").alias("from_name"))
+    An as-of join by one sort of both sides, so a long file costs no pairs; a very long one is dealt over many tasks."""
+    mark = spans.select("file", "line", F.lit(0).alias("late"), F.struct("id", "name").alias("span"))
+    rows = references.select(F.struct(*references.columns).alias("reference"), "file", "line", F.lit(1).alias("late")).unionByName(mark, allowMissingColumns=True)
+    placed = running(rows, ["file"], ["line", "late", "span"], lasts={"last": F.col("span")}, most_rows=most_rows).filter("late = 1")
+    return placed.select("reference.*", F.col("last.id").alias("from_id"), F.col("last.name").alias("from_name"))
 
 
 def enclosing(references: DataFrame, spans: DataFrame, key: str = "ref_id") -> DataFrame:
-    """key, span_id: the narrowest span of the file around each line; callables before other spans."""
-    inside = references.join(spans, (references["file"] == spans["file"]) & references["line"].between(spans["start"], spans["end"]))
-    rank = F.struct((~F.col("callable")).alias("other"), (F.col("end") - F.col("start")).alias("width"), F.col("span_id"))
-    return inside.groupBy(key).agg(F.min_by("span_id", rank).alias("span_id"))
+    """key, span_id: the narrowest span of the file around each line; callables before other spans.
+
+    No pairs of lines and spans are formed (see intervals.best_around)."""
+    ranked = spans.select("file", "start", "end", "span_id", (~F.col("callable")).alias("other"), (F.col("end") - F.col("start")).alias("width"))
+    return best_around(references, ranked, key, "span_id", ["other", "width", "span_id"])
 
 
 def resolve(references: DataFrame, known: DataFrame) -> DataFrame:
@@ -150,41 +157,12 @@ def explain(edges: DataFrame, known: DataFrame, symbol: str) -> DataFrame:
     return edges.join(ids, "src_id", "left_semi").filter(F.col("dst_name") != symbol).select(*edges.columns)
 
 
-def shortest_paths(edges: DataFrame, start: DataFrame, most: int, keep=lambda df: df.checkpoint()) -> DataFrame:
-    """node, distance, previous: breadth-first distances from ``start`` (node) over ``edges`` (src, dst).
-
-    One join for each step, from the last frontier only; of several predecessors the smallest is kept."""
-    reached = keep(start.select("node", F.lit(0).alias("distance"), F.lit(None).cast(start.schema["node"].dataType).alias("previous")))
-    parts, frontier = [reached], reached
-    for step in range(1, most + 1):
-        near = frontier.join(edges, F.col("node") == F.col("src")).groupBy("dst").agg(F.min("node").alias("previous"))
-        near = near.select(F.col("dst").alias("node"), F.lit(step).alias("distance"), "previous").join(reached.select("node"), "node", "left_anti")
-        frontier = keep(near)
-        if not frontier.head(1):
-            break
-        parts.append(frontier)
-        reached = reduce(DataFrame.unionByName, parts)
-    return reached
-
-
-def shortest_path(edges: DataFrame, start: DataFrame, goal: DataFrame, most: int = 20) -> DataFrame:
-    """step, node of one shortest path between two sets of nodes; empty if there is none.
-
-    The walk back follows one predecessor at a time, so it needs as many lookups as the path has steps."""
-    spark, reached = edges.sparkSession, shortest_paths(edges, start, most)
-    end = reached.join(goal, "node", "left_semi").orderBy("distance", "node").head()
-    path = []
-    while end is not None:
-        path.append((end["distance"], end["node"]))
-        end = reached.filter(F.col("node") == end["previous"]).head() if end["previous"] is not None else None
-    return spark.createDataFrame(path, f"step int, node {start.schema['node'].dataType.simpleString()}")
-
-
 def suggest(names: DataFrame, symbol: str, limit: int = 5, least: float = 40.0) -> DataFrame:
-    """name, similarity: the nearest names, best first, shorter ones before longer."""
+    """name, similarity: the nearest names, best first, shorter ones before longer, and then as a reader would order
+    them: by letter, accent and case in turn, by the root collation."""
     rows = names.select("name").distinct().filter((F.col("name") != symbol) & (F.length("name") >= 3))
     scored = rows.withColumn("similarity", name_similarity(F.col("name"), F.lit(symbol))).filter(F.col("similarity") >= least)
-    return scored.orderBy(F.desc("similarity"), F.length("name"), F.lower("name"), "name").limit(limit)
+    return scored.orderBy(F.desc("similarity"), F.length("name"), F.collate(F.col("name"), "UNICODE"), "name").limit(limit)
 
 
 def find_symbols(known: DataFrame, name: str | None = None, file: str | None = None, limit: int | None = 500) -> DataFrame:
@@ -222,16 +200,8 @@ def labelled(nodes: DataFrame, known: DataFrame) -> DataFrame:
     return nodes.join(names, "node", "left").withColumn("label", F.coalesce("__name", F.col("node").cast("string"))).drop("__name")
 
 
-def contained(spans: DataFrame) -> DataFrame:
+def contained(spans: DataFrame, most_rows: int = MOST_ROWS) -> DataFrame:
     """span_id, parent_id: the narrowest other span of the file that holds a whole span; of equal spans the next smaller id.
 
-    Spans must nest. The one that starts just before a span is its holder, if it holds it at all; the spans
-    that follow a closed one look for theirs among the wider spans of their file."""
-    order = Window.partitionBy("file").orderBy("start", F.desc("end"), "span_id").rowsBetween(Window.unboundedPreceding, -1)
-    step = spans.withColumn("parent_id", F.last("span_id").over(order)).withColumn("until", F.last("end").over(order))
-    inside = F.col("until").isNotNull() & (F.col("end") <= F.col("until"))
-    nested, rest = step.filter(inside).select("span_id", "parent_id"), step.filter(~inside & F.col("until").isNotNull())
-    wide = spans.select("file", F.col("span_id").alias("parent_id"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
-    above = rest.drop("parent_id", "until").join(wide, "file").filter((F.col("p_start") <= F.col("start")) & (F.col("p_end") >= F.col("end")) & (F.col("p_end") - F.col("p_start") > F.col("end") - F.col("start")))
-    rank = F.struct((F.col("p_end") - F.col("p_start")).alias("width"), (-F.col("parent_id")).alias("late"))
-    return nested.unionByName(above.groupBy("span_id").agg(F.min_by("parent_id", rank).alias("parent_id")))
+    Spans must nest. No pairs of spans are formed (see intervals.holders)."""
+    return holders(spans, most_rows=most_rows)

@@ -30,7 +30,10 @@ def top_tags(observations: DataFrame, limit: int = 10) -> DataFrame:
 
 
 def within_budget(rows: DataFrame, partition: list[str], order: list[Column], length: Column, budget: int) -> DataFrame:
-    """The rows before the first one that would exceed the budget; each costs its length and a line break."""
+    """The rows before the first one that would exceed the budget; each costs its length and a line break.
+
+    As each costs one at least, tasks keep the first ``budget`` + 1 of a partition and shuffle no more."""
+    rows = rows.withColumn("__n", F.row_number().over(Window.partitionBy(*partition).orderBy(*order))).filter(F.col("__n") <= budget + 1).drop("__n")
     before = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     upto = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     spent = rows.withColumn("__spent", F.coalesce(F.sum(length + 1).over(before), F.lit(0)) + length)

@@ -1,25 +1,24 @@
 """Keyword, vector and hybrid retrieval.
 
 Tables are observations: id, project, title, body, tags, created_at, and others that pass through.
-A search reads the table once for statistics and once for scores; only the k best rows move.
+A keyword search answers from the inverted index (see operators.index) where it is given one; without, it reads the
+table once for statistics and once for scores. Only the k best rows move.
 """
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.text import STOPWORDS, best_window, meaningful_tokens, snippet, tokens
 from lorekeep.functions.vectors import dot
+from lorekeep.operators.index import SearchIndex
 
 #: Weights of matches by column, and the two BM25 parameters.
 TITLE_WEIGHT, BODY_WEIGHT, TAGS_WEIGHT, K1, B = 10.0, 1.0, 5.0, 1.2, 0.75
 RRF_K, HALF_LIFE_DAYS, OVERFETCH = 60, 45.0, 3
-#: Folders of the stored index.
-INDEX_BUCKETS = 64
 DAY_MS = 86_400_000
 
 
@@ -29,31 +28,41 @@ def query_terms(text: str) -> list[str]:
     return list(dict.fromkeys(w for w in words if len(w) > 1 and w not in STOPWORDS))
 
 
-def postings(observations: DataFrame) -> DataFrame:
-    """The inverted index: id, project, term, and occurrences in title, body and tags."""
-
-    def part(i: int, text: Column) -> Column:
-        return F.transform(tokens(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("term"), F.lit(i).alias("part")))
-
-    parts = [part(i, c) for i, c in enumerate((F.col("title"), F.col("body"), F.array_join("tags", " ")))]
-    rows = observations.select("id", "project", F.explode(F.concat(*parts)).alias("p"))
-    counts = [F.count_if(F.col("p.part") == i).alias(f"tf_{name}") for i, name in enumerate(("title", "body", "tags"))]
-    return rows.groupBy("id", "project", F.col("p.term").alias("term")).agg(*counts)
-
-
 def _score(tf: Column, df: Column, n: Column, length: Column, average: Column) -> Column:
     idf = F.greatest(F.ln((n - df + 0.5) / (df + 0.5)), F.lit(1e-6))
     return idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / average))
 
 
-def keyword_search(observations: DataFrame, text: str, limit: int | None, project: str | None = None, where: Column | None = None) -> DataFrame:
+def indexed_scores(index: SearchIndex, text: str, project: str | None = None) -> DataFrame:
+    """id, score of all rows that hold a term of ``text``, from the folders of its terms.
+
+    The corpus' size and average length stand in the index's manifest; how many rows hold a term is counted
+    among the postings that are read."""
+    hits = index.matches(query_terms(text))
+    frequencies = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term of the text
+    if project is not None:
+        hits = hits.filter(F.col("project") == project)
+    tf = F.col("tf_title") * TITLE_WEIGHT + F.col("tf_body") * BODY_WEIGHT + F.col("tf_tags") * TAGS_WEIGHT
+    score = _score(tf, F.col("df"), F.lit(index.size), F.col("length"), F.lit(index.average_length))
+    return hits.join(frequencies, "term").groupBy("id").agg(F.sum(score).alias("score"))
+
+
+def keyword_search(observations: DataFrame, text: str, limit: int | None, project: str | None = None, where: Column | None = None, index: SearchIndex | None = None) -> DataFrame:
     """The rows that hold a term of ``text``, with their BM25 score, best first.
 
     Frequencies count over the whole table; the filters choose among its rows. Without a meaningful
-    term, nothing is found."""
+    term, nothing is found. With an ``index`` of the table, its texts aren't read but for the rows found."""
     terms = query_terms(text)
     if not terms:
         return observations.limit(0).withColumn("score", F.lit(0.0))
+    if index is not None:
+        found = indexed_scores(index, text, project)
+        if where is not None:
+            found = found.join(observations.filter(where).select("id"), "id", "left_semi")
+        if limit is None:
+            return observations.join(found, "id").select(*observations.columns, "score")
+        best = found.orderBy(F.desc("score"), "id").limit(limit)  # at most ``limit`` rows, so they are broadcast
+        return observations.join(F.broadcast(best), "id").select(*observations.columns, "score").orderBy(F.desc("score"), "id")
     columns = [(tokens(F.coalesce(c, F.lit(""))), w) for c, w in ((F.col("title"), TITLE_WEIGHT), (F.col("body"), BODY_WEIGHT), (F.array_join("tags", " "), TAGS_WEIGHT))]
     names = [f"__c{i}" for i in range(len(columns))]
     rows = observations.select("*", *(c.alias(n) for (c, _), n in zip(columns, names, strict=True)))
@@ -107,8 +116,10 @@ def recency_boost(score: Column, created_at: Column, now: int, half_life_days: f
 
 
 def hybrid_search(observations: DataFrame, text: str, vector: Sequence[float] | None, limit: int, now: int, **filters) -> DataFrame:
-    """Keyword and vector lists fused by rank, cut, then weighed by recency and sorted again."""
-    keyword_filters = {k: v for k, v in filters.items() if k in ("project", "where")}
+    """Keyword and vector lists fused by rank, cut, then weighed by recency and sorted again.
+
+    ``filters`` are those of the two searches, ``index`` included."""
+    keyword_filters = {k: v for k, v in filters.items() if k in ("project", "where", "index")}
     lists = [keyword_search(observations, text, limit * OVERFETCH, **keyword_filters).select("id", "score")]
     if vector is not None and query_terms(text):
         vector_filters = {k: v for k, v in filters.items() if k in ("embedder", "floor", "newest", "where")}
@@ -136,33 +147,3 @@ def similar_prompts(prompts: DataFrame, observations: DataFrame, least: int) ->
     offered = observations.select("id", F.explode(F.array_distinct(meaningful_tokens(F.concat_ws(" ", "title", "snippet")))).alias("term"))
     return wanted.join(offered, "term").groupBy("prompt_id", "id").agg(F.count("*").alias("shared")).filter(F.col("shared") >= least)
 
-
-def term_bucket(term: Column) -> Column:
-    """The partition of the stored index that holds a term."""
-    return F.pmod(F.crc32(term.cast("binary")), F.lit(INDEX_BUCKETS)).cast("int")
-
-
-def write_index(observations: DataFrame, folder: str) -> None:
-    """Stores the inverted index: postings in folders by term, and the length of every row.
-
-    Each term's postings lie in one folder, so a search reads its terms' folders only."""
-    rows = postings(observations).withColumn("bucket", term_bucket(F.col("term")))
-    rows.repartition("bucket", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{folder}/postings")
-    length = sum((F.size(tokens(F.coalesce(c, F.lit("")))) for c in (F.col("title"), F.col("body"), F.array_join("tags", " "))), F.lit(0))
-    observations.select("id", length.alias("length")).write.parquet(f"{folder}/lengths")
-
-
-def indexed_search(spark: SparkSession, folder: str, text: str, limit: int, project: str | None = None) -> DataFrame:
-    """id, score of the best rows, as keyword_search finds them, from a stored index (see write_index)."""
-    terms = query_terms(text)
-    buckets = [zlib.crc32(t.encode()) % INDEX_BUCKETS for t in terms]
-    hits = spark.read.parquet(f"{folder}/postings").filter(F.col("bucket").isin(buckets) & F.col("term").isin(terms))
-    tf = F.col("tf_title") * TITLE_WEIGHT + F.col("tf_body") * BODY_WEIGHT + F.col("tf_tags") * TAGS_WEIGHT
-    frequencies = F.broadcast(hits.groupBy("term").agg(F.count("*").alias("df")))  # a row for each term of the text
-    lengths = spark.read.parquet(f"{folder}/lengths")
-    stats = F.broadcast(lengths.agg(F.count("*").alias("n"), F.avg("length").alias("average")))  # one row
-    if project is not None:
-        hits = hits.filter(F.col("project") == project)
-    rows = hits.select("id", "term", tf.alias("tf")).join(frequencies, "term").join(lengths, "id").crossJoin(stats)
-    scored = rows.groupBy("id").agg(F.sum(_score(F.col("tf"), F.col("df"), F.col("n"), F.col("length"), F.col("average"))).alias("score"))
-    return scored.orderBy(F.desc("score"), "id").limit(limit)

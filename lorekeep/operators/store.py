@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.ids import FULL, matches_ids
+from lorekeep.operators.running import MOST_ROWS, running
 
 
 def _all(conditions: list[Column]) -> Column:
@@ -103,10 +104,9 @@ def timeline(observations: DataFrame, anchor: str, before: int, after: int) -> D
     return past.union(later).drop("__project", "__at").orderBy("created_at", "id")
 
 
-def timeline_all(observations: DataFrame, anchors: Column, before: int, after: int) -> DataFrame:
-    """anchor_id, id, offset: the timeline of every row that ``anchors`` selects."""
-    order = Window.partitionBy("project").orderBy("created_at", "id")
-    numbered = observations.select("id", "project", F.row_number().over(order).alias("place"), anchors.alias("is_anchor"))
+def timeline_all(observations: DataFrame, anchors: Column, before: int, after: int, most_rows: int = MOST_ROWS) -> DataFrame:
+    """anchor_id, id, offset: the timeline of every row that ``anchors`` selects. A large project's rows are numbered by many tasks."""
+    numbered = running(observations.select("id", "project", "created_at", anchors.alias("is_anchor")), ["project"], ["created_at", "id"], sums={"place": F.lit(1)}, most_rows=most_rows)
     near = numbered.filter("is_anchor").select(F.col("id").alias("anchor_id"), "project", F.explode(F.sequence(F.lit(-before), F.lit(after))).alias("offset"), "place")
     near = near.withColumn("place", F.col("place") + F.col("offset"))
     return near.join(numbered.select("project", "place", "id"), ["project", "place"]).select("anchor_id", "id", "offset")
@@ -135,7 +135,7 @@ def merge_project(observations: DataFrame, source: str, target: str) -> DataFram
 
 
 def last_shown(shown: DataFrame, most: int = 300) -> DataFrame:
-    """The last ``most`` shown ids of each session."""
+    """The last ``most`` shown ids of each session. Tasks keep that many of a session before rows are shuffled."""
     order = Window.partitionBy("session_id").orderBy(F.desc("shown_at"), "id")
     return shown.withColumn("__n", F.row_number().over(order)).filter(F.col("__n") <= most).drop("__n")
 

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.operators import graph, usages
+from lorekeep.operators import graph, paths, usages
+from lorekeep.operators.graph_store import CodeGraph, wipe
 from lorekeep.operators.report import adoption as adoption_counts
 from lorekeep.plans.catalog import query, table
 from lorekeep.session import shared_folder
+from lorekeep.sources.versions import Tables
 
 SYMBOL = "red widget"
 
@@ -109,18 +113,27 @@ def _steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(pair("supplier", "s", "s_suppkey", "n", "s_nationkey")).unionByName(pair("nation", "n", "n_nationkey", "r", "n_regionkey")).distinct()
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """The frontier, cut from its lineage in the shared checkpoint folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 @query(f"""WITH RECURSIVE {_STEPS}, walk AS (SELECT 'c1' AS node, 0 AS distance UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.distance < 6)
     SELECT node, min(distance) AS distance FROM walk GROUP BY node""")
 def shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances of all that a customer reaches over foreign keys."""
     start = spark.createDataFrame([("c1",)], "node string")
-    return graph.shortest_paths(_steps(spark, sf_dir), start, 6, _kept).select("node", "distance")
+    return paths.shortest_paths(_steps(spark, sf_dir), start, 6).select("node", "distance")
+
+
+@query(f"""WITH RECURSIVE {_STEPS}, goal AS (SELECT 'r' || CAST(r_regionkey AS VARCHAR) AS node FROM region),
+    walk AS (SELECT 'c1' AS node, 0 AS distance UNION SELECT e.dst, w.distance + 1 FROM walk w JOIN edges e ON e.src = w.node WHERE w.distance < 6),
+    back AS (SELECT node, 0 AS distance FROM goal UNION SELECT e.src, b.distance + 1 FROM back b JOIN edges e ON e.dst = b.node WHERE b.distance < 6),
+    away AS (SELECT node, min(distance) AS distance FROM walk GROUP BY node), near AS (SELECT node, min(distance) AS distance FROM back GROUP BY node),
+    total AS (SELECT min(a.distance + n.distance) AS steps FROM away a JOIN near n ON a.node = n.node),
+    path AS (SELECT 0 AS step, 'c1' AS node UNION ALL
+        SELECT step + 1, (SELECT min(e.dst) FROM edges e JOIN near n ON n.node = e.dst, total t WHERE e.src = p.node AND n.distance = t.steps - p.step - 1) FROM path p, total t WHERE p.step < t.steps)
+    SELECT CAST(step AS INTEGER) AS step, node FROM path""")
+def shortest_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of a shortest path from a customer to any region, searched from both ends."""
+    start = spark.createDataFrame([("c1",)], "node string")
+    goal = table(spark, sf_dir, "region").select(F.concat(F.lit("r"), F.col("r_regionkey").cast("string")).alias("node"))
+    return paths.shortest_path(_steps(spark, sf_dir), start, goal)
 
 
 _INTERVALS = "spans AS (SELECT o_orderkey AS span_id, o_custkey AS file, o_orderkey AS start, o_orderkey + 400 AS \"end\", o_orderstatus = 'O' AS callable FROM orders)"
@@ -257,3 +270,94 @@ def containment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_usages_total(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many lines hold a word, and whether a page of 20 shows them all."""
     return usages.usage_total(_lines(spark, sf_dir), "track", 20)
+
+
+def _store(spark: SparkSession) -> Tables:
+    return Tables(spark, f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}")
+
+
+#: Source text from parts: the brand is the file, each part a line that declares or calls. The last of three revisions.
+_SOURCE_SQL = """source_lines AS (SELECT p_brand AS file, p_partkey, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS INTEGER) AS line, p_partkey % 3 = 0 AS declares,
+        CASE WHEN p_size > 40 AND p_brand LIKE '%2' THEN 'new_' ELSE '' END || replace(p_name, ' ', '_') || CAST(p_partkey % 40 AS VARCHAR) AS name FROM part WHERE p_brand NOT LIKE '%3'),
+    symbols AS (SELECT *, concat_ws('-', h[1:8], h[9:12], h[13:16], h[17:20], h[21:32]) AS id FROM (
+        SELECT file, name, min(line) AS line, sha256('graph 0 p' || chr(0) || file || chr(0) || name || chr(0) || 'function') AS h FROM source_lines WHERE declares GROUP BY file, name)),
+    by_name AS (SELECT name, count(*) AS n, min(id) AS first FROM symbols GROUP BY name),
+    above AS (SELECT c.file, c.line, c.name, d.id AS src_id, d.name AS src_name FROM (SELECT * FROM source_lines WHERE NOT declares) c ASOF LEFT JOIN symbols d ON c.file = d.file AND c.line >= d.line),
+    edges AS (SELECT a.file, a.line, coalesce(a.src_name, a.file) AS src_name, coalesce(a.src_id, '') AS src_id, a.name AS dst_name, coalesce(o.id, b.first) AS dst_id,
+        CASE WHEN o.id IS NULL THEN 'INFERRED' ELSE 'EXTRACTED' END AS confidence, CASE WHEN o.id IS NOT NULL THEN 1.0 WHEN b.n = 1 THEN 0.95 ELSE 0.85 END AS score
+        FROM above a JOIN by_name b ON a.name = b.name LEFT JOIN symbols o ON o.file = a.file AND o.name = a.name)"""
+
+
+def _source(spark: SparkSession, sf_dir: str, revision: int) -> DataFrame:
+    """file, source, hash of one of three revisions: the second renames parts of some brands, the third drops others."""
+    part = table(spark, sf_dir, "part").filter("p_brand not like '%3'" if revision == 3 else "true")
+    renamed = (F.col("p_size") > 40) & F.col("p_brand").like("%2") if revision > 1 else F.lit(False)
+    name = F.concat(F.when(renamed, "new_").otherwise(""), F.replace("p_name", F.lit(" "), F.lit("_")), (F.col("p_partkey") % 40).cast("string"))
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("def "), name, F.lit("(x):"))).otherwise(F.concat(F.lit("    "), name, F.lit("(x)")))
+    listed = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))
+    return part.groupBy(F.col("p_brand").alias("file")).agg(F.array_join(listed["line"], "\n").alias("source")).withColumn("hash", F.sha2("source", 256))
+
+
+@query(f"WITH {_SOURCE_SQL} SELECT file, line, src_name, src_id, dst_name, dst_id, confidence, CAST(score AS DOUBLE) AS score FROM edges")
+def graph_refresh(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph of source text after three revisions, each of which resolves again only what it touches: the edges of a rebuild."""
+    kept = CodeGraph(spark, _store(spark), "p")
+    for revision in (1, 2, 3):
+        kept.refresh(_source(spark, sf_dir, revision), longest=None, most=None)
+    return kept.read("edges").select("file", "line", "src_name", "src_id", "dst_name", "dst_id", "confidence", "score")
+
+
+@query(f"WITH {_SOURCE_SQL} SELECT id, name, file, line FROM symbols")
+def graph_refresh_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The symbols of the last revision, after the two before it."""
+    kept = CodeGraph(spark, _store(spark), "p")
+    for revision in (1, 2, 3):
+        kept.refresh(_source(spark, sf_dir, revision), longest=None, most=None)
+    return kept.read("symbols").select("id", "name", "file", "line")
+
+
+_THREE = """s AS (SELECT 'symbol' AS kind, p_brand AS file, CAST(p_partkey AS VARCHAR) AS id, p_container AS state FROM part),
+    e AS (SELECT 'edge' AS kind, p_brand AS file, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id, l_linestatus AS state FROM lineitem JOIN part ON l_partkey = p_partkey),
+    f AS (SELECT DISTINCT 'file' AS kind, p_brand AS file, p_brand AS id, '1' AS state FROM part),
+    fresh AS (SELECT * FROM (SELECT * FROM s UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f) WHERE file LIKE '%4'),
+    kept AS (SELECT * FROM (SELECT * FROM s UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f) WHERE file NOT LIKE '%4' AND file NOT LIKE '%5')"""
+
+
+def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Files, symbols and edges as of a scan: brands, parts and line items."""
+    part = table(spark, sf_dir, "part")
+    text = lambda c: F.col(c).cast("string")
+    none = F.lit(None).cast("string")
+    files = part.select(F.col("p_brand").alias("file"), F.lit("1").alias("hash")).distinct()
+    symbols = part.select(text("p_partkey").alias("id"), F.lit("p").alias("project"), F.col("p_name").alias("name"), F.lit("part").alias("kind"), F.col("p_brand").alias("file"), F.lit(1).alias("line"), none.alias("lang"), F.col("p_container").alias("signature"))
+    lines = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file"), "p_name"), "l_partkey")
+    edges = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("edge_id"), text("l_suppkey").alias("src_id"), none.alias("src_name"), text("l_partkey").alias("dst_id"), F.col("p_name").alias("dst_name"), F.lit("sells").alias("relation"), F.col("l_linestatus").alias("confidence"), F.lit(1.0).alias("score"), "file", F.lit(1).alias("line"))
+    return files, symbols, edges
+
+
+def _state(kept: CodeGraph) -> DataFrame:
+    parts = (("files", "file", F.col("file"), F.col("hash")), ("symbols", "symbol", F.col("id"), F.col("signature")), ("edges", "edge", F.col("edge_id"), F.col("confidence")))
+    rows = [kept.read(name).select(F.lit(kind).alias("kind"), "file", i.alias("id"), state.alias("state")) for name, kind, i, state in parts]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
+@query(f"WITH {_THREE} SELECT * FROM kept UNION ALL SELECT kind, file, id, CASE WHEN kind = 'file' THEN '2' ELSE lower(state) END AS state FROM fresh")
+def graph_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three tables changed by one commit: all files' rows, then those of some files replaced and of others removed."""
+    files, symbols, edges = _three(spark, sf_dir)
+    kept = CodeGraph(spark, _store(spark), "p")
+    kept.upsert(files, symbols, edges)
+    some: Column = F.col("file").like("%4")
+    kept.upsert(files.filter(some).withColumn("hash", F.lit("2")), symbols.filter(some).withColumn("signature", F.lower("signature")), edges.filter(some).withColumn("confidence", F.lower("confidence")), removed=files.filter("file like '%5'"))
+    return _state(kept)
+
+
+@query(f"WITH {_THREE} SELECT * FROM s UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f")
+def graph_wipe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All tables without one project, by one commit; the other project's rows stay."""
+    store, scan = _store(spark), _three(spark, sf_dir)
+    kept, gone = CodeGraph(spark, store, "p"), CodeGraph(spark, store, "q")
+    kept.upsert(*scan)
+    gone.upsert(scan[0], scan[1].withColumn("project", F.lit("q")), scan[2])
+    wipe(store, "q")
+    return _state(kept).unionByName(_state(gone))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions import text as T
 from lorekeep.functions.ids import scope_token, short_id
 from lorekeep.functions.vectors import MIN_RELEVANCE, dot, embed
-from lorekeep.operators import report, search
+from lorekeep.operators import index, report, search
+from lorekeep.operators.cells import VectorIndex
 from lorekeep.plans.catalog import DOCUMENTS, EVENTS, NOW, documents, events, query, table
 from lorekeep.session import shared_folder
 
@@ -44,24 +46,62 @@ def _keyword(limit: int | None, where: str = "true") -> str:
     )"""
 
 
+def document_index(spark: SparkSession, sf_dir: str) -> index.SearchIndex:
+    """The stored index of a folder's documents, brought up to them: the first search of a folder builds it, later ones
+    compare hashes and index what has changed since."""
+    folder = f"{shared_folder(spark)}/index-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    return index.SearchIndex(spark, folder).refresh(documents(spark, sf_dir))
+
+
+def _found(spark: SparkSession, sf_dir: str, limit: int | None, **filters) -> DataFrame:
+    return search.keyword_search(documents(spark, sf_dir), TEXT, limit, index=document_index(spark, sf_dir), **filters)
+
+
 @query(f"WITH {_keyword(LIMIT)} SELECT id, project, title, round(score, 6) AS score FROM keyword")
 def keyword_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best documents for a text, by BM25 over title, body and tags."""
+    """The best documents for a text, by BM25 over title, body and tags, from the inverted index."""
+    return _found(spark, sf_dir, LIMIT).select("id", "project", "title", F.round("score", 6).alias("score"))
+
+
+@query(f"WITH {_keyword(LIMIT)} SELECT id, project, title, round(score, 6) AS score FROM keyword")
+def keyword_search_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same search without an index, as a table that is searched once may be."""
     return search.keyword_search(documents(spark, sf_dir), TEXT, LIMIT).select("id", "project", "title", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_keyword(LIMIT)} SELECT id, round(score, 6) AS score FROM keyword")
 def keyword_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same search from a stored inverted index, of which it reads the folders of its terms."""
-    folder = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
-    search.write_index(documents(spark, sf_dir), folder)
-    return search.indexed_search(spark, folder, TEXT, LIMIT).select("id", F.round("score", 6).alias("score"))
+    """The index alone: ids and scores from an index that is written first."""
+    built = index.SearchIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    built.apply(documents(spark, sf_dir))
+    return search.indexed_scores(built, TEXT).orderBy(F.desc("score"), "id").limit(LIMIT).select("id", F.round("score", 6).alias("score"))
+
+
+_CHANGED = f"""{DOCUMENTS.replace('docs AS', 'before AS', 1)}, docs AS (
+    SELECT id, project, kind, CASE WHEN doc_id % 3 = 1 THEN 'reserved ' || title ELSE title END AS title, CASE WHEN doc_id % 3 = 1 THEN split_part(body, chr(10), 1) ELSE body END AS body, tags, created_at, doc_id
+    FROM before WHERE kind IS DISTINCT FROM 'fr')"""
+
+
+@query(f"WITH {_keyword(LIMIT).replace(DOCUMENTS, _CHANGED)} SELECT id, round(score, 6) AS score FROM keyword")
+def index_upkeep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index after all documents came in eight batches, a third of them was replaced in four, and those of a kind were removed.
+
+    The same rows and scores as of an index that is built from what is left."""
+    docs, kept = documents(spark, sf_dir), index.SearchIndex(spark, f"{shared_folder(spark)}/index-{uuid.uuid4().hex}")
+    batch = F.pmod(F.col("doc_id"), F.lit(8))
+    for number in range(8):
+        kept.apply(docs.filter(batch == number))
+    changed = docs.filter("doc_id % 3 = 1").withColumn("title", F.concat(F.lit("reserved "), F.col("title"))).withColumn("body", F.substring_index("body", "\n", 1))
+    for number in range(4):
+        kept.apply(changed.filter(batch % 4 == number))
+    kept.apply(deletes=docs.filter("kind = 'fr'"))
+    return search.indexed_scores(kept, TEXT).orderBy(F.desc("score"), "id").limit(LIMIT).select("id", F.round("score", 6).alias("score"))
 
 
 @query(f"WITH {_keyword(None, chr(112) + 'roject = ' + chr(39) + 'src0' + chr(39))} SELECT id, round(score, 6) AS score FROM keyword")
 def keyword_search_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All hits within one project; frequencies are those of the whole corpus."""
-    return search.keyword_search(documents(spark, sf_dir), TEXT, None, project="src0").select("id", F.round("score", 6).alias("score"))
+    return search.indexed_scores(document_index(spark, sf_dir), TEXT, "src0").select("id", F.round("score", 6).alias("score"))
 
 
 def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +135,24 @@ def vector_search_newest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("id", F.round("score", 6).alias("score"))
 
 
+def _cells(spark: SparkSession, sf_dir: str) -> VectorIndex:
+    return VectorIndex(spark, f"{shared_folder(spark)}/cells-{uuid.uuid4().hex}").build(_vectors(spark, sf_dir))
+
+
+@query(f"WITH {_VECTOR}{LIMIT}) SELECT id, round(score, 6) AS score FROM vector")
+def vector_search_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors from an inverted file, of which only the cells are read that can hold one: an exact search."""
+    found = _cells(spark, sf_dir).search(_query_vector(spark, sf_dir), LIMIT, exact=True, floor=MIN_RELEVANCE)
+    return found.select("id", F.round("score", 6).alias("score"))
+
+
+@query()
+def vector_search_probed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every vector from as many cells as the index measured to need. Approximate: its recall is tested against all cells."""
+    queries = _vectors(spark, sf_dir).select(F.col("id").alias("query_id"), "embedding")
+    return _cells(spark, sf_dir).neighbours(queries, LIMIT).select("query_id", "id", "rank", F.round("score", 6).alias("score"))
+
+
 _FUSE = """fused AS (
     SELECT id, sum(1.0 / (60 + rank)) AS score, min(list * 1000 + rank) AS first FROM (
         SELECT id, 0 AS list, row_number() OVER (ORDER BY score DESC, id) AS rank FROM keyword
@@ -105,7 +163,7 @@ _FUSE = """fused AS (
 @query(f"WITH {_keyword(60)}, {_VECTOR}60), {_FUSE} SELECT id, round(score, 9) AS score FROM fused")
 def rrf_fuse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A keyword list and a vector list fused by reciprocal ranks."""
-    keyword = search.keyword_search(documents(spark, sf_dir), TEXT, 60)
+    keyword = search.indexed_scores(document_index(spark, sf_dir), TEXT).orderBy(F.desc("score"), "id").limit(60)
     vector = search.vector_search(_vectors(spark, sf_dir), _query_vector(spark, sf_dir), 60, floor=MIN_RELEVANCE)
     return search.fuse([keyword, vector], LIMIT).select("id", F.round("score", 9).alias("score"))
 
@@ -120,7 +178,7 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Keyword and vector search, fused, cut and weighed by recency; documents take the vector of their id."""
     vectors = _vectors(spark, sf_dir).select("id", "embedding", "embedder")
     rows = documents(spark, sf_dir).join(vectors, "id", "left")
-    found = search.hybrid_search(rows, TEXT, _query_vector(spark, sf_dir), LIMIT, NOW, floor=MIN_RELEVANCE)
+    found = search.hybrid_search(rows, TEXT, _query_vector(spark, sf_dir), LIMIT, NOW, floor=MIN_RELEVANCE, index=document_index(spark, sf_dir))
     return found.select("id", "title", F.round("score", 9).alias("score"))
 
 
@@ -130,7 +188,7 @@ def hybrid_search_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     vector = spark.createDataFrame([(TEXT,)], "text string").select(embed("text")).head()[0]
     rows = docs.withColumn("embedding", embed(F.concat_ws("\n", "title", "body"))).withColumn("embedder", F.lit("builtin"))
-    found = search.hybrid_search(rows, TEXT, vector, LIMIT, NOW, embedder="builtin", floor=MIN_RELEVANCE)
+    found = search.hybrid_search(rows, TEXT, vector, LIMIT, NOW, embedder="builtin", floor=MIN_RELEVANCE, index=document_index(spark, sf_dir))
     return search.index_entries(found, TEXT)
 
 
@@ -147,7 +205,7 @@ def recency_boost(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT term, count(*) AS documents, CAST(sum(tf_title) AS BIGINT) AS in_title, CAST(sum(tf_body) AS BIGINT) AS in_body, CAST(sum(tf_tags) AS BIGINT) AS in_tags FROM p GROUP BY term""")
 def postings_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The inverted index, summed by term."""
-    rows = search.postings(documents(spark, sf_dir))
+    rows = index.postings(documents(spark, sf_dir))
     return rows.groupBy("term").agg(F.count("*").alias("documents"), F.sum("tf_title").alias("in_title"), F.sum("tf_body").alias("in_body"), F.sum("tf_tags").alias("in_tags"))
 
 
@@ -171,7 +229,7 @@ def snippet_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def search_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What a search shows, with the 14 words around the query's terms. Not in SQL: windows over words."""
-    found = search.keyword_search(documents(spark, sf_dir), TEXT, LIMIT)
+    found = _found(spark, sf_dir, LIMIT)
     return report.index_line(search.index_entries(found, TEXT))
 
 

@@ -7,27 +7,40 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.functions import text as T
-from lorekeep.plans.captures import TURNS
+from lorekeep.plans.captures import TURNS, entries
 from lorekeep.plans.catalog import NOW, query
 from lorekeep.session import shared_folder
+from lorekeep.sources.versions import Tables
+from lorekeep.streaming.flush import flush, recorded
 from lorekeep.streaming.turns import ingest, ingested
 
+#: Micro-batches of a stream: entries come in them without regard to session or order.
+BATCHES = 12
+
+
+def _stream(spark: SparkSession, sf_dir: str, folder: str) -> DataFrame:
+    """The conversations as a stream of log entries, out of order: each file of the log holds entries from everywhere."""
+    rows = entries(spark, sf_dir)
+    rows.repartition(BATCHES, F.xxhash64("session_id", "offset")).write.parquet(f"{folder}/log")
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", "1").parquet(f"{folder}/log")
+
 
 @query(f"""WITH {TURNS} SELECT session_id, turn_no, "offset", prompt, reasoning FROM turns""")
 def streaming_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations streamed into turns: the same rows as the batch query."""
-    source = spark.readStream.schema("conv_id bigint, turn bigint, role string, text string").option("maxFilesPerTrigger", "4").parquet(f"{sf_dir}/conversations.parquet*")
-    entries = source.select(
-        F.col("conv_id").cast("string").alias("session_id"),
-        F.col("turn").alias("offset"),
-        "role",
-        T.trim(F.col("text")).alias("text"),
-        F.array().cast("array<string>").alias("files"),
-        F.array().cast("array<string>").alias("commands"),
-        (F.col("turn") * 1000 + NOW).alias("timestamp"),
-        F.lit(False).alias("compacted"),
-    )
+    """Conversations streamed into turns in twelve batches out of order: the same rows as the batch query."""
     folder = f"{shared_folder(spark)}/turns-{uuid.uuid4().hex}"
-    ingest(entries, folder).awaitTermination()
+    ingest(_stream(spark, sf_dir, folder), folder).awaitTermination()
     return ingested(spark, folder).select("session_id", "turn_no", "offset", "prompt", "reasoning")
+
+
+@query()
+def streaming_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations streamed into observations, vectors and summaries in twelve batches out of order.
+
+    Tested against the batch functions over all conversations."""
+    folder = f"{shared_folder(spark)}/flush-{uuid.uuid4().hex}"
+    store = Tables(spark, f"{folder}/store")
+    flush(_stream(spark, sf_dir, folder), store, f"{folder}/checkpoint", NOW).awaitTermination()
+    sessions = store.read("sessions").select(F.col("id").alias("session_id"), "started_at", "summary")
+    rows = recorded(spark, store).join(sessions, "session_id", "left")
+    return rows.select("id", "session_id", "kind", "title", F.sha2("body", 256).alias("body_sha256"), F.size("embedding").alias("width"), "created_at", "status", "started_at", "summary")

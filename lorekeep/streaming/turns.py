@@ -1,47 +1,112 @@
-"""Turns from a growing log.
+"""Turns from a growing log, by state that is kept for each session.
 
-Each batch keeps its entries under the batch's number and a hash of the session, and assembles the
-turns of every session it touches from all entries of that session so far: an entry may come late, or
-in any order, and is never lost. A batch that is repeated after a failure overwrites its own folders, and a
-turn that grew is written again under the same key, so readers see each turn once, in its last state.
+The state of a session is where its turns begin, and the entries of each turn under its own key. An entry goes to the turn that
+begins last at or before it, whenever it comes; a prompt that comes late splits the turn it falls into. So a
+batch reads and writes the turns that its entries touch, however long the log has become, and its result is the
+touched turns in their present state. An entry that is read again replaces itself.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+from bisect import bisect_right, insort
+from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
-from lorekeep.operators.capture import turns
+from lorekeep.operators.capture import asks
 from lorekeep.operators.store import latest
 
 KEYS = ["session_id", "offset"]
-#: Folders that a batch's entries are dealt to by session; a batch reads those of its own sessions only.
-BUCKETS = 64
+TURN = "session_id string, offset long, timestamp long, prompt string, reasoning string, files array<string>, commands array<string>"
+#: Stands for the entries before a session's first prompt, which are no turn until a prompt comes that precedes them.
+BEFORE = -1
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+
+
+class _Turns(StatefulProcessor):
+    """Per session: ``starts``, the offsets of its prompts, and for each of them the entries of its turn, by offset."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.starts = handle.getValueState("starts", "offsets string")
+        self.turns = handle.getMapState("turns", "start long", "entries string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        starts = json.loads(self.starts.get()[0]) if self.starts.exists() else []
+        known, touched = len(starts), {}
+
+        def turn(start: int) -> dict[str, list]:
+            if start not in touched:
+                touched[start] = json.loads(self.turns.getValue((start,))[0]) if self.turns.containsKey((start,)) else {}
+            return touched[start]
+
+        for row in rows:
+            entry = [row["asks"], row["text"], row["files"], row["commands"], row["timestamp"]]
+            at = bisect_right(starts, row["offset"])
+            start = starts[at - 1] if at else BEFORE
+            if row["asks"] and start != row["offset"]:
+                insort(starts, row["offset"])
+                split, start = turn(start), row["offset"]
+                later = [o for o in split if int(o) > start]
+                turn(start).update({o: split.pop(o) for o in later})
+            turn(start)[str(row["offset"])] = entry
+        if len(starts) > known:
+            self.starts.update((json.dumps(starts),))
+        for start, entries in touched.items():
+            self.turns.updateValue((start,), (json.dumps(entries),))
+            if start != BEFORE:
+                yield self._row(key[0], start, entries)
+
+    def _row(self, session: str, start: int, entries: dict[str, list]) -> Row:
+        """The turn as capture.turns makes it."""
+        prompt, answers = entries[str(start)], [e for _, e in sorted(((int(o), e) for o, e in entries.items()), key=lambda x: x[0]) if not e[0]]
+        joined = [[x for e in answers for x in e[i] or []] for i in (2, 3)]
+        return Row(session_id=session, offset=start, timestamp=prompt[4], prompt=prompt[1], reasoning="\n".join(e[1] for e in answers if e[1]), files=joined[0], commands=joined[1])
+
+    def close(self) -> None:
+        pass
+
+
+def changed_turns(entries: DataFrame) -> DataFrame:
+    """The turns that a stream of log entries (see capture.turns) changes, in their present state (TURN)."""
+    rows = entries.withColumn("asks", asks()).filter(F.col("asks") | (F.col("role") == "assistant"))
+    rows = rows.select("session_id", F.col("offset").cast("long").alias("offset"), "asks", "text", "files", "commands", F.col("timestamp").cast("long").alias("timestamp"))
+    return rows.groupBy("session_id").transformWithState(_Turns(), TURN, "Append", "None")
+
+
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB, which reads single keys."""
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def ingest(entries: DataFrame, folder: str) -> StreamingQuery:
-    """Starts a stream of log entries (see capture.turns) into ``folder``; ends when all there is was read."""
+    """Starts a stream of log entries into ``folder``, which gets each batch's changed turns; ends when all there is was read.
+
+    A batch that is repeated after a failure overwrites its own folder."""
 
-    def absorb(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        bucket = F.pmod(F.xxhash64("session_id"), F.lit(BUCKETS)).cast("int")
-        batch.withColumn("bucket", bucket).write.mode("overwrite").partitionBy("bucket").parquet(f"{folder}/entries/batch={number}")
-        known = spark.read.schema(f"{_ddl(batch)}, batch long, bucket int").parquet(f"{folder}/entries").filter(F.col("batch") <= number)
-        touched = known.filter(F.col("batch") == number).select("session_id", "bucket").distinct()
-        buckets = [r["bucket"] for r in touched.select("bucket").distinct().collect()]  # at most BUCKETS
-        mine = known.filter(F.col("bucket").isin(buckets)).join(touched.select("session_id"), "session_id", "left_semi")
-        found = turns(mine.select(batch.columns).dropDuplicates(KEYS))
-        found.drop("turn_no").write.mode("overwrite").parquet(f"{folder}/turns/batch={number}")
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/turns/batch={number}")
 
-    return entries.writeStream.foreachBatch(absorb).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    with keyed_state(entries.sparkSession):
+        return changed_turns(entries).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 
-def _ddl(rows: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
+def numbered(turns: DataFrame) -> DataFrame:
+    """``turns`` with their numbers within their sessions."""
+    return turns.withColumn("turn_no", F.row_number().over(Window.partitionBy("session_id").orderBy("offset")).cast("long"))
 
 
-def ingested(spark: SparkSession, folder: str) -> DataFrame:
-    """All turns so far, numbered within their sessions."""
-    rows = latest(spark.read.parquet(f"{folder}/turns"), KEYS, [F.col("batch")]).drop("batch")
-    return rows.withColumn("turn_no", F.row_number().over(Window.partitionBy("session_id").orderBy("offset")).cast("long"))
+def ingested(spark: SparkSession, folder: str, batch: Column | None = None) -> DataFrame:
+    """All turns so far in their last state, numbered."""
+    rows = spark.read.schema(f"{TURN}, batch long").parquet(f"{folder}/turns")
+    return numbered(latest(rows if batch is None else rows.filter(batch), KEYS, [F.col("batch")]).drop("batch"))

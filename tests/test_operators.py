@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.functions.ids import SHORT
-from lorekeep.operators import capture, graph, report, search, store, usages
+from lorekeep.operators import capture, graph, index, report, search, store, usages
 
 DAY = search.DAY_MS
 
@@ -61,7 +61,7 @@ def test_hybrid_and_vectors(spark, observations):
 
 
 def test_postings(observations):
-    row = search.postings(observations).filter("term = 'websocket' and id like '1%'").head()
+    row = index.postings(observations).filter("term = 'websocket' and id like '1%'").head()
     assert (row["tf_title"], row["tf_body"], row["tf_tags"]) == (1, 1, 0)
 
 
@@ -169,17 +169,6 @@ def test_resolution(spark):
     assert found == {1: ("1", "EXTRACTED", 1.0), 2: ("1", "INFERRED", 0.85), 3: ("3", "INFERRED", 0.95), 5: (None, "EXTRACTED", 1.0)}
 
 
-def test_paths(spark):
-    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a"), ("x", "y")], "src string, dst string")
-    start, goal = (spark.createDataFrame([(n,)], "node string") for n in "ac")
-    keep = lambda df: df.cache()
-    distances = {r["node"]: r["distance"] for r in graph.shortest_paths(edges, start, 5, keep).collect()}
-    assert distances == {"a": 0, "b": 1, "c": 2}
-    spark.sparkContext.setCheckpointDir("/tmp/lorekeep-tests")
-    assert [r["node"] for r in graph.shortest_path(edges, start, goal).orderBy("step").collect()] == ["a", "b", "c"]
-    assert graph.shortest_path(edges, goal, spark.createDataFrame([("x",)], "node string")).count() == 0
-
-
 def test_suggestions(spark):
     names = spark.createDataFrame([(n,) for n in ("readTranscript", "writeCursor", "readCursor", "transcriptPath", "ab")], "name string")
     found = [r["name"] for r in graph.suggest(names, "readTranscripts").collect()]

@@ -39,6 +39,57 @@ def test_appended_log(spark, tmp_path):
     assert transcripts.sessions_on_disk(spark, str(logs)).head()["session_id"] == "s1"
 
 
+def stream_turns(spark, logs, out):
+    spark.dataSource.register(transcripts.TranscriptSource)
+    ingest(log_entries(spark.readStream.format("transcripts").load(str(logs))), str(out)).awaitTermination()
+    return [tuple(r) for r in ingested(spark, str(out)).orderBy("session_id", "turn_no").select("session_id", "turn_no", "prompt", "reasoning").collect()]
+
+
+@pytest.mark.parametrize("scheme", ["", "file://"])
+def test_rotated_log(spark, tmp_path, scheme):
+    """A log that is replaced by another one, longer or shorter: the turns of both are kept."""
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    log = logs / "s.jsonl"
+    log.write_text(prompt("old question") + "\n" + answer("old answer") + "\n")
+    assert stream_turns(spark, f"{scheme}{logs}", tmp_path / "out") == [("s", 1, "old question", "old answer")]
+    log.write_text(prompt("new question, which is longer than the old one was") + "\n" + answer("a longer answer than before") + "\n" + prompt("one more") + "\n")
+    both = [("s", 1, "old question", "old answer"), ("s", 2, "new question, which is longer than the old one was", "a longer answer than before"), ("s", 3, "one more", "")]
+    assert stream_turns(spark, f"{scheme}{logs}", tmp_path / "out") == both
+    with log.open("a") as file:
+        file.write(answer("and its answer") + "\n")
+    both[2] = ("s", 3, "one more", "and its answer")
+    assert stream_turns(spark, f"{scheme}{logs}", tmp_path / "out") == both
+    log.write_text(prompt("third") + "\n")
+    assert stream_turns(spark, f"{scheme}{logs}", tmp_path / "out") == [*both, ("s", 4, "third", "")]
+    assert stream_turns(spark, f"{scheme}{logs}", tmp_path / "out") == [*both, ("s", 4, "third", "")]
+
+
+def test_sessions_are_named_by_path(spark, tmp_path):
+    for folder in ("a b", "c+d"):
+        (tmp_path / "logs" / folder).mkdir(parents=True)
+        (tmp_path / "logs" / folder / "s.jsonl").write_text(prompt(f"in {folder}") + "\r\n" + answer("é東") + "\n" + answer("x") + "\n")
+    found = stream_turns(spark, tmp_path / "logs", tmp_path / "out")
+    assert found == [("a b/s", 1, "in a b", "é東\nx"), ("c+d/s", 1, "in c+d", "é東\nx")]
+    batch = turns(log_entries(transcripts.transcripts(spark, str(tmp_path / "logs"))))
+    columns = ("session_id", "offset", "prompt", "reasoning")
+    assert sorted(map(tuple, batch.select(*columns).collect())) == sorted(map(tuple, ingested(spark, str(tmp_path / "out")).select(*columns).collect()))
+    assert {r["session_id"] for r in transcripts.sessions_on_disk(spark, str(tmp_path / "logs")).collect()} == {"a b/s", "c+d/s"}
+
+
+def test_pieces_of_a_large_log(tmp_path, monkeypatch):
+    """Lines of any length come once each, however the file is cut."""
+    monkeypatch.setattr(transcripts, "PIECE", 37)
+    monkeypatch.setattr(transcripts, "BLOCK", 16)
+    lines = [("x" * (i * 7 % 90)) + str(i) for i in range(60)]
+    (tmp_path / "a.jsonl").write_text("\n".join(lines) + "\ntorn")
+    reader = transcripts._Tail(str(tmp_path), f"{tmp_path}/notes")
+    end = reader.latestOffset()
+    found = [row for piece in reader.partitions({}, end) for row in reader.read(piece)]
+    assert [v for _, _, v in found] == lines
+    assert [o for _, o, _ in found] == [sum(len(x) + 1 for x in lines[:i]) for i in range(60)]
+
+
 def test_import_export(spark, tmp_path):
     source = tmp_path / "in.jsonl"
     source.write_text('{"id": "a", "project": "p", "title": "t", "tags": ["x"]}\n\n{"id": "b"}\n{"torn\n')
