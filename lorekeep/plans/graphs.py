@@ -316,7 +316,7 @@ def graph_refresh_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.read("symbols").select("id", "name", "file", "line")
 
 
-_THREE = """s AS (SELECT 'symbol' AS kind, p_brand AS file, CAST(p_partkey AS VARCHAR) AS id, p_container AS state FROM part),
+_THREE = """s AS (SELECT 'symbol' AS kind, p_brand AS file, CAST(p_partkey AS VARCHAR) AS id, p_type AS state FROM part),
     e AS (SELECT 'edge' AS kind, p_brand AS file, CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) AS id, l_linestatus AS state FROM lineitem JOIN part ON l_partkey = p_partkey),
     f AS (SELECT DISTINCT 'file' AS kind, p_brand AS file, p_brand AS id, '1' AS state FROM part),
     fresh AS (SELECT * FROM (SELECT * FROM s UNION ALL SELECT * FROM e UNION ALL SELECT * FROM f) WHERE file LIKE '%4'),
@@ -329,7 +329,7 @@ def _three(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     text = lambda c: F.col(c).cast("string")
     none = F.lit(None).cast("string")
     files = part.select(F.col("p_brand").alias("file"), F.lit("1").alias("hash")).distinct()
-    symbols = part.select(text("p_partkey").alias("id"), F.lit("p").alias("project"), F.col("p_name").alias("name"), F.lit("part").alias("kind"), F.col("p_brand").alias("file"), F.lit(1).alias("line"), none.alias("lang"), F.col("p_container").alias("signature"))
+    symbols = part.select(text("p_partkey").alias("id"), F.lit("p").alias("project"), F.col("p_name").alias("name"), F.lit("part").alias("kind"), F.col("p_brand").alias("file"), F.lit(1).alias("line"), none.alias("lang"), F.col("p_type").alias("signature"))
     lines = table(spark, sf_dir, "lineitem").join(part.select(F.col("p_partkey").alias("l_partkey"), F.col("p_brand").alias("file"), "p_name"), "l_partkey")
     edges = lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber").alias("edge_id"), text("l_suppkey").alias("src_id"), none.alias("src_name"), text("l_partkey").alias("dst_id"), F.col("p_name").alias("dst_name"), F.lit("sells").alias("relation"), F.col("l_linestatus").alias("confidence"), F.lit(1.0).alias("score"), "file", F.lit(1).alias("line"))
     return files, symbols, edges
