@@ -161,10 +161,20 @@ def nearest_above(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.nearest_above(_points(spark, sf_dir), spans).select("ref_id", "from_id")
 
 
-@query()
+#: The parts of an identifier.
+_PARTS = r"list_transform(regexp_extract_all({}, '([A-Z]+[a-z0-9]*|[a-z0-9]+)'), lambda part: regexp_replace(lower(part), '^(.{{3,}})s$', '\1'))"
+
+
+@query(f"""WITH n AS (SELECT DISTINCT p_name AS name, 'red widgets' AS wanted FROM part WHERE length(p_name) >= 3 AND p_name <> 'red widgets'),
+    s AS (SELECT name, CASE WHEN length(name) <= length(wanted) THEN lower(name) ELSE lower(wanted) END AS short, CASE WHEN length(name) <= length(wanted) THEN lower(wanted) ELSE lower(name) END AS long,
+        {_PARTS.format('name')} AS parts, {_PARTS.format('wanted')} AS others FROM n),
+    c AS (SELECT *, list_max(list_filter(range(0, length(short) + 1), lambda k: starts_with(long, left(short, k)))) AS start, len(list_filter(parts, lambda p: list_contains(others, p))) AS common FROM s),
+    r AS (SELECT name, CASE WHEN short = long THEN 100.0 ELSE greatest(CASE WHEN start >= 3 THEN 120.0 * start / length(long) ELSE 0.0 END,
+        CASE WHEN common > 0 THEN 100.0 * common / greatest(len(parts), len(others)) ELSE 0.0 END, CASE WHEN contains(long, short) THEN 100.0 * length(short) / length(long) ELSE 0.0 END) END AS similarity FROM c)
+    SELECT name, round(similarity, 6) AS similarity FROM r WHERE similarity >= 40 ORDER BY r.similarity DESC, length(name), lower(name), name LIMIT 5""")
 def suggest_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names like a misspelt one. Tested on fixed names; its scores have no short SQL."""
-    return graph.suggest(_known(spark, sf_dir), "red widgets")
+    """Names like a misspelt one, of all parts."""
+    return graph.suggest(_known(spark, sf_dir), "red widgets").select("name", F.round("similarity", 6).alias("similarity"))
 
 
 _SOURCES = "files AS (SELECT CAST(page_id AS VARCHAR) AS file, html AS source FROM pages)"
@@ -183,29 +193,49 @@ def text_usages_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usages.find_usages(_lines(spark, sf_dir), "track", context=2).drop("is_definition")
 
 
-def _sql_regex(pattern: str) -> str:
-    return pattern.replace("(?<![A-Za-z0-9_])", r"\b").replace("'", "''")
+#: Fixed values, as text: what is no call, what declares, what opens a callable, and what calls.
+_NOT_CALLS = """if for while switch catch return with else elsif unless until when case do end and not or sizeof typeof defined print printf echo assert require import include new delete throw super self this
+    class struct object record actor contract module defmodule namespace interface protocol trait typeclass enum type typedef data newtype def defp defn defun function func fn sub proc method""".split()
+_DECLARING = """class struct object record actor contract module defmodule namespace interface protocol trait typeclass enum type typedef data newtype def defp defn defun function func fn sub proc method""".split()
+_DECLARATION = r"^[\t ]*(?:[A-Za-z0-9_@\[\]]+[\t ]+){0,3}(" + "|".join(_DECLARING) + r")[\t ]+([A-Za-z_][A-Za-z0-9_]*)"
+_CALLABLE = r"^[\t ]*(?:[A-Za-z_][A-Za-z0-9_:<>,.\[\]*&\t ]*[\t *&]+)?([A-Za-z_][A-Za-z0-9_]*)[\t ]*\([^;=]*\)[\t ]*(?:const[\t ]*)?\{[\t ]*$"
+_CALL = r"\b([A-Za-z_][A-Za-z0-9_]{2,})[\t ]*\("
+#: All documents and what parts are as source text, line by line.
+_TEXTS = """src AS (SELECT p_brand AS file, p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'def ' || replace(p_name, ' ', '_') || CAST(p_partkey % 40 AS VARCHAR) || '(x):'
+        WHEN p_partkey % 5 = 0 THEN 'int ' || replace(p_name, ' ', '_') || '(char c) {' ELSE '    ' || replace(p_name, ' ', '_') || CAST(p_partkey % 40 AS VARCHAR) || '(x); if (y) other_' || p_brand[7:] || ' (z)' END AS text FROM part),
+    n AS (SELECT CAST(doc_id AS VARCHAR) AS file, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents
+        UNION ALL SELECT file, text, row_number() OVER (PARTITION BY file ORDER BY p_partkey) FROM src)"""
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of all documents and of source text that parts make."""
+    part, name = table(spark, sf_dir, "part"), F.replace("p_name", F.lit(" "), F.lit("_"))
+    numbered, number = F.concat(name, (F.col("p_partkey") % 40).cast("string")), F.substring("p_brand", 7, 9)
+    called = F.concat(F.lit("    "), numbered, F.lit("(x); if (y) other_"), number, F.lit(" (z)"))
+    line = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("def "), numbered, F.lit("(x):"))).when(F.col("p_partkey") % 5 == 0, F.concat(F.lit("int "), name, F.lit("(char c) {"))).otherwise(called)
+    listed = F.array_sort(F.collect_list(F.struct("p_partkey", line.alias("line"))))
+    source = part.groupBy(F.col("p_brand").alias("file")).agg(F.array_join(listed["line"], "\n").alias("source"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("source"))
+    return graph.source_lines(docs.unionByName(source))
 
 
-@query(f"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS file, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
-    c AS (SELECT file, line, unnest(list_filter(regexp_extract_all(text, '{_sql_regex(graph.CALL)}', 1), lambda n: NOT list_contains({list(graph.NOT_CALLS)}, n))) AS name FROM n
-        WHERE length(text) <= 400 AND NOT regexp_matches(text, '{_sql_regex(graph.DECLARATION)}') AND NOT regexp_matches(text, '{_sql_regex(graph.CALLABLE)}'))
+@query(f"""WITH {_TEXTS},
+    c AS (SELECT file, line, unnest(list_filter(regexp_extract_all(text, '{_CALL}', 1), lambda n: NOT list_contains({_NOT_CALLS}, n))) AS name FROM n
+        WHERE NOT regexp_matches(text, '{_DECLARATION}') AND NOT regexp_matches(text, '{_CALLABLE}'))
     SELECT name, count(*) AS calls FROM c GROUP BY name""")
 def pattern_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What documents call, if they are read as source text."""
-    lines = graph.source_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("source")))
-    return graph.calls(lines).groupBy("name").agg(F.count("*").alias("calls"))
+    """What lines of text and source call: all lines of any length, and all calls of a file."""
+    return graph.calls(_texts(spark, sf_dir), longest=None, most=None).groupBy("name").agg(F.count("*").alias("calls"))
 
 
-@query(f"""WITH n AS (SELECT CAST(doc_id AS VARCHAR) AS file, unnest(string_split(text, chr(10))) AS text, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS line FROM documents),
-    d AS (SELECT file, CAST(line AS INTEGER) AS line, regexp_extract(text, '{_sql_regex(graph.DECLARATION)}', 1) AS word, regexp_extract(text, '{_sql_regex(graph.DECLARATION)}', 2) AS named,
-        regexp_extract(text, '{_sql_regex(graph.CALLABLE)}', 1) AS callable FROM n WHERE length(text) <= 400)
+@query(f"""WITH {_TEXTS},
+    d AS (SELECT file, CAST(line AS INTEGER) AS line, regexp_extract(text, '{_DECLARATION}', 1) AS word, regexp_extract(text, '{_DECLARATION}', 2) AS named,
+        regexp_extract(text, '{_CALLABLE}', 1) AS callable FROM n)
     SELECT file, line, CASE WHEN word <> '' THEN named ELSE callable END AS name FROM d
-    WHERE (word <> '' AND NOT list_contains({list(graph.KEYWORDS)}, named)) OR (word = '' AND callable <> '' AND NOT list_contains({list(graph.NOT_CALLS)}, callable))""")
+    WHERE (word <> '' AND NOT list_contains({_DECLARING}, named)) OR (word = '' AND callable <> '' AND NOT list_contains({_NOT_CALLS}, callable))""")
 def pattern_declarations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What documents declare, if they are read as source text."""
-    lines = graph.source_lines(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file"), F.col("text").alias("source")))
-    return graph.declarations(lines).select("file", "line", "name")
+    """What lines of text and source declare, by words and by form."""
+    return graph.declarations(_texts(spark, sf_dir), longest=None).select("file", "line", "name")
 
 
 @query("""WITH u AS (SELECT p_partkey, CASE WHEN p_size % 3 = 0 THEN 'mcp__memory__search' ELSE 'Bash' END AS name, CASE WHEN p_size % 3 = 1 THEN 'grep -rn ' || split_part(p_name, ' ', 2) || 'Widget src' ELSE 'ls' END AS command FROM part),

@@ -236,17 +236,17 @@ def merge_project(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.merge_project(documents(spark, sf_dir), "src1", "src0").groupBy("project").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {EVENTS}, r AS (SELECT project AS session_id, id, row_number() OVER (PARTITION BY project ORDER BY created_at DESC, id) AS n FROM ev) SELECT session_id, id FROM r WHERE n <= 300""")
+@query(f"""WITH {EVENTS}, r AS (SELECT kind AS session_id, id, row_number() OVER (PARTITION BY kind ORDER BY created_at DESC, id) AS n FROM ev) SELECT session_id, id FROM r WHERE n <= 300""")
 def last_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last 300 shown ids of each session."""
-    shown = events(spark, sf_dir).select(F.col("project").alias("session_id"), "id", F.col("created_at").alias("shown_at"))
+    """The last 300 shown ids of each session; there are as many sessions as types of event, each with more."""
+    shown = events(spark, sf_dir).select(F.col("kind").alias("session_id"), "id", F.col("created_at").alias("shown_at"))
     return store.last_shown(shown).select("session_id", "id")
 
 
-@query(f"""WITH {EVENTS} SELECT id FROM ev WHERE id NOT IN (SELECT CAST(o_orderkey AS VARCHAR) FROM orders)""")
+@query(f"""WITH {EVENTS} SELECT id FROM ev WHERE id NOT IN (SELECT CAST(l_partkey AS VARCHAR) FROM lineitem)""")
 def not_shown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that weren't shown before."""
-    shown = table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("id"))
+    shown = table(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("string").alias("id"))
     return store.not_shown(events(spark, sf_dir), shown).select("id")
 
 

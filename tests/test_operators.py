@@ -169,6 +169,13 @@ def test_resolution(spark):
     assert found == {1: ("1", "EXTRACTED", 1.0), 2: ("1", "INFERRED", 0.85), 3: ("3", "INFERRED", 0.95), 5: (None, "EXTRACTED", 1.0)}
 
 
+def test_suggestions_in_the_order_of_letters(spark):
+    """Names that are as near and as long follow each other by letter, then accent, then case."""
+    names = spark.createDataFrame([(n,) for n in ("nameZ", "naméa", "nameb", "nameB", "namea", "nameA", "naméB", "Namea")], "name string")
+    found = [r["name"] for r in graph.suggest(names, "name", limit=8).collect()]
+    assert found == ["namea", "nameA", "Namea", "nameb", "nameB", "nameZ", "naméa", "naméB"]
+
+
 def test_suggestions(spark):
     names = spark.createDataFrame([(n,) for n in ("readTranscript", "writeCursor", "readCursor", "transcriptPath", "ab")], "name string")
     found = [r["name"] for r in graph.suggest(names, "readTranscripts").collect()]
