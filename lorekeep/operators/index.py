@@ -31,7 +31,7 @@ from lorekeep.sources.versions import Conflict, Versions
 #: Segments of one size class that are merged, and how classes follow each other.
 FAN = 4
 #: Rows whose postings share a folder of a segment, folders at most, and rows whose postings share a file of a folder.
-FOLDER_ROWS, MOST_FOLDERS, FILE_ROWS = 4000, 4096, 200_000
+FOLDER_ROWS, MOST_FOLDERS, FILE_ROWS = 500, 4096, 50_000
 #: Tombstones of a segment are broadcast up to this number, which their writer counted.
 BROADCAST_ROWS = 500_000
 POSTINGS = "id string, project string, term string, tf_title long, tf_body long, tf_tags long, length long"
@@ -39,8 +39,13 @@ ROWS = "id string, project string, length long, hash long"
 FIELDS = ("title", "body", "tags")
 
 
-def _texts(observations: DataFrame) -> list[Column]:
-    return [tokens(F.coalesce(c, F.lit(""))) for c in (F.col("title"), F.col("body"), F.array_join("tags", " "))]
+def _fields() -> list[Column]:
+    return [F.coalesce(c, F.lit("")) for c in (F.col("title"), F.col("body"), F.array_join("tags", " "))]
+
+
+def _length() -> Column:
+    """How many tokens a row has, without making them."""
+    return sum((F.regexp_count(F.lower(c), F.lit(r"[\p{L}\p{N}_]+")) for c in _fields()), F.lit(0)).cast("long")
 
 
 def _count(batches: Iterator[pa.RecordBatch], stemmed: bool = False) -> Iterator[pa.RecordBatch]:
@@ -67,7 +72,7 @@ def _count(batches: Iterator[pa.RecordBatch], stemmed: bool = False) -> Iterator
 
 def postings(observations: DataFrame, stemmed: bool = False) -> DataFrame:
     """id, project, term, occurrences in title, body and tags, and the row's number of tokens. Nothing is shuffled."""
-    texts = [c.alias(f) for f, c in zip(FIELDS, _texts(observations), strict=True)]
+    texts = [tokens(c).alias(f) for f, c in zip(FIELDS, _fields(), strict=True)]
     return observations.select(F.col("id").cast("string").alias("id"), F.col("project").cast("string").alias("project"), *texts).mapInArrow(lambda batches: _count(batches, stemmed), POSTINGS)
 
 
@@ -117,7 +122,7 @@ class SearchIndex:
     def matches(self, terms: list[str]) -> DataFrame:
         """The live postings of some terms (or their stems), from the folders that hold them."""
         parts = []
-        if self.state["stemmed"]:
+        if self.state.get("stemmed"):
             terms = list(dict.fromkeys(map(stem, terms)))
         for s in self.state["segments"]:
             own = sorted({zlib.crc32(t.encode()) % s["folders"] for t in terms})
@@ -172,9 +177,8 @@ class SearchIndex:
         segments, new = list(self.state["segments"]), None
         ids = [x.select(F.col("id").cast("string").alias("id")) for x in (upserts, deletes) if x is not None]
         if upserts is not None:
-            length = sum((F.size(t) for t in _texts(upserts)), F.lit(0)).cast("long")
-            rows = upserts.select(F.col("id").cast("string").alias("id"), F.col("project").cast("string").alias("project"), length.alias("length"), content_hash().alias("hash"))
-            new = self._segment("batch", postings(upserts, self.state["stemmed"]), rows, upserts.count())
+            rows = upserts.select(F.col("id").cast("string").alias("id"), F.col("project").cast("string").alias("project"), _length().alias("length"), content_hash().alias("hash"))
+            new = self._segment("batch", postings(upserts, self.state.get("stemmed", False)), rows, upserts.count())
         if ids and segments:
             segments = self._bury(segments, reduce(DataFrame.unionByName, ids).distinct())
         state = self.state | {"segments": self._merged([*segments, new] if new else segments)}

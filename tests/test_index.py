@@ -26,7 +26,7 @@ def scores(df):
 
 def same(made, observations):
     assert scores(search.indexed_scores(made, TEXT)) == scores(search.keyword_search(observations, TEXT, None))
-    n, total = observations.select(F.count("*"), F.sum(F.size(F.flatten(F.array(*index._texts(observations)))))).head()
+    n, total = observations.select(F.count("*"), F.sum(F.size(F.flatten(F.array(*map(index.tokens, index._fields())))))).head()
     assert (made.size, round(made.average_length * made.size)) == (n, total or 0)
 
 
