@@ -32,6 +32,8 @@ from lorekeep.sources.versions import Conflict, Versions
 FAN = 4
 #: Rows whose postings share a folder of a segment, folders at most, and rows whose postings share a file of a folder.
 FOLDER_ROWS, MOST_FOLDERS, FILE_ROWS = 500, 4096, 50_000
+#: Batches of so few rows, which may come in one file, are spread over all cores; so many rows to a task.
+SPREAD_ROWS, TASK_ROWS = 200_000, 250
 #: Tombstones of a segment are broadcast up to this number, which their writer counted.
 BROADCAST_ROWS = 500_000
 POSTINGS = "id string, project string, term string, tf_title long, tf_body long, tf_tags long, length long"
@@ -177,8 +179,11 @@ class SearchIndex:
         segments, new = list(self.state["segments"]), None
         ids = [x.select(F.col("id").cast("string").alias("id")) for x in (upserts, deletes) if x is not None]
         if upserts is not None:
+            n = upserts.count()
+            if n <= SPREAD_ROWS:
+                upserts = upserts.repartition(min(self.spark.sparkContext.defaultParallelism, 1 + n // TASK_ROWS))
             rows = upserts.select(F.col("id").cast("string").alias("id"), F.col("project").cast("string").alias("project"), _length().alias("length"), content_hash().alias("hash"))
-            new = self._segment("batch", postings(upserts, self.state.get("stemmed", False)), rows, upserts.count())
+            new = self._segment("batch", postings(upserts, self.state.get("stemmed", False)), rows, n)
         if ids and segments:
             segments = self._bury(segments, reduce(DataFrame.unionByName, ids).distinct())
         state = self.state | {"segments": self._merged([*segments, new] if new else segments)}
