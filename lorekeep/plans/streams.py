@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.plans.captures import TURNS, entries
+from lorekeep.plans.captures import OBSERVED, TURNS, entries
 from lorekeep.plans.catalog import NOW, query
 from lorekeep.session import shared_folder
 from lorekeep.sources.versions import Tables
@@ -33,11 +33,13 @@ def streaming_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingested(spark, folder).select("session_id", "turn_no", "offset", "prompt", "reasoning")
 
 
-@query()
+@query(f"""WITH {OBSERVED}, d AS (SELECT session_id, title, min((list_position(['decision', 'deadend', 'preference', 'bugfix', 'pattern', 'context'], kind), created_at, id)) AS first FROM observed GROUP BY session_id, title),
+    r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY first) AS n FROM d),
+    s AS (SELECT session_id, string_agg(title, ' | ' ORDER BY n) AS summary FROM r WHERE n <= 3 GROUP BY session_id)
+    SELECT o.id, o.session_id, o.kind, o.title, sha256(o.body) AS body_sha256, 256 AS width, o.created_at, o.status, min(o.created_at) OVER (PARTITION BY o.session_id) AS started_at, s.summary
+    FROM observed o JOIN s ON o.session_id = s.session_id""")
 def streaming_flush(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations streamed into observations, vectors and summaries in twelve batches out of order.
-
-    Tested against the batch functions over all conversations."""
+    """Conversations streamed into observations, vectors and summaries in twelve batches out of order: what the batch functions give."""
     folder = f"{shared_folder(spark)}/flush-{uuid.uuid4().hex}"
     store = Tables(spark, f"{folder}/store")
     flush(_stream(spark, sf_dir, folder), store, f"{folder}/checkpoint", NOW).awaitTermination()
