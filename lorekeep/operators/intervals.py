@@ -56,7 +56,8 @@ def best_around(points: DataFrame, intervals: DataFrame, key: str, value: str, r
     dealt = cells.select("*", F.explode(F.sequence(F.lit(0), _splits(F.col("level")) - 1)).alias("split"))
     asked = points.select(key, group, F.col(at).cast("long").alias("at"), F.explode(F.array(*map(F.lit, sorted(sizes)))).alias("level"))
     asked = asked.select(key, group, "level", _right(F.col("at"), F.col("level")).alias("cell"), F.pmod(F.xxhash64(key), _splits(F.col("level"))).cast("int").alias("split"))
-    hits = asked.join(dealt, [group, "level", "cell", "split"])
+    # Spark estimates both sides without what explode adds, and would broadcast cells that the driver can't hold.
+    hits = asked.join(dealt.hint("merge"), [group, "level", "cell", "split"])
     return hits.groupBy(key).agg(F.min("best").alias("best")).select(key, F.col("best.value").alias(value))
 
 

@@ -118,3 +118,12 @@ def test_hot_files_and_projects(spark, most_rows):
         lines.setdefault(key, []).append(str(i))
     near = [(a, ids[p + o], o) for key, ids in lines.items() if key is not None for p, a in enumerate(ids) if int(a) % 50 == 0 for o in (-1, 0, 1) if 0 <= p + o < len(ids)]
     assert rows(store.timeline_all(seen, F.col("anchor"), 1, 1, most_rows).select("anchor_id", "id", "offset")) == sorted(near, key=str)
+
+
+def test_cells_are_not_broadcast_by_the_size_of_their_intervals(spark):
+    """A small table of wide intervals has many cells; Spark doesn't count what explode adds."""
+    spans = spark.range(50).select(F.lit("f").alias("file"), F.col("id").alias("start"), (F.col("id") + 400).alias("end"), F.col("id").alias("span_id"))
+    points = spark.range(50).select(F.col("id").alias("ref_id"), F.lit("f").alias("file"), F.col("id").alias("line"))
+    found = intervals.best_around(points, spans, "ref_id", "span_id", ["span_id"])
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {(r["ref_id"], r["span_id"]) for r in found.collect()} == {(i, 0) for i in range(50)}
