@@ -59,13 +59,13 @@ def _summed(rows: DataFrame) -> DataFrame:
     return rows.groupBy("session_id").transformWithState(_Titles(), schema, "Append", "None")
 
 
-def flush(entries: DataFrame, store: Tables, checkpoint: str, now: int, project: Column | None = None, dirty: DataFrame | None = None) -> StreamingQuery:
+def flush(entries: DataFrame, store: Tables, checkpoint: str, now: int, project: Column | None = None, dirty: DataFrame | None = None, tasks: int | None = None) -> StreamingQuery:
     """Starts a stream of log entries (see capture.turns) into the tables ``observations``, ``sessions``, ``open_work`` and ``done``
     of ``store``; ends when all there is was read.
 
     ``project`` is the project of a turn's session (the session itself if None). ``dirty`` (project, files) has the files with
     changes that haven't landed, one row a project: before a batch is recorded, open work none of whose files is dirty is closed;
-    nothing is closed if it is None."""
+    nothing is closed if it is None. ``tasks`` are those of its states (see turns.keyed_state)."""
 
     def record(batch: DataFrame, number: int) -> None:
         after, rows = store.versions.latest(), stored(batch, "flush")  # the states are read, and written, once
@@ -88,7 +88,7 @@ def flush(entries: DataFrame, store: Tables, checkpoint: str, now: int, project:
 
     turns = changed_turns(entries)
     made = candidates(turns, F.col("session_id") if project is None else project, now).withColumn("rank", kind_rank(F.col("kind")))
-    with keyed_state(entries.sparkSession):
+    with keyed_state(entries.sparkSession, tasks):
         return _summed(made).writeStream.foreachBatch(record).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 

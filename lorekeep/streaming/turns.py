@@ -25,7 +25,9 @@ KEYS = ["session_id", "offset"]
 TURN = "session_id string, offset long, timestamp long, prompt string, reasoning string, files array<string>, commands array<string>"
 #: Stands for the entries before a session's first prompt, which are no turn until a prompt comes that precedes them.
 BEFORE = -1
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PROVIDER, _TASKS = "spark.sql.streaming.stateStore.providerClass", "spark.sql.shuffle.partitions"
+#: Tasks that a stream's state is dealt over at least.
+MIN_TASKS = 8
 
 
 class _Turns(StatefulProcessor):
@@ -79,25 +81,35 @@ def changed_turns(entries: DataFrame) -> DataFrame:
 
 
 @contextmanager
-def keyed_state(spark: SparkSession) -> Iterator[None]:
-    """Queries that start within keep their state in RocksDB, which reads single keys."""
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def keyed_state(spark: SparkSession, tasks: int | None = None) -> Iterator[None]:
+    """Queries that start within keep their state in RocksDB, which reads single keys, dealt over ``tasks`` (see state_tasks).
+
+    Each batch opens and commits the state of every task, also of those that it has no rows for."""
+    own = {_PROVIDER: "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider", _TASKS: str(tasks or state_tasks(spark))}
+    before = {k: spark.conf.get(k) for k in own}
+    for k, v in own.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def ingest(entries: DataFrame, folder: str) -> StreamingQuery:
+def state_tasks(spark: SparkSession) -> int:
+    """One task a core, MIN_TASKS at least, but no more than a shuffle has. A stream keeps the number that it first started with."""
+    return min(int(spark.conf.get(_TASKS)), max(MIN_TASKS, spark.sparkContext.defaultParallelism))
+
+
+def ingest(entries: DataFrame, folder: str, tasks: int | None = None) -> StreamingQuery:
     """Starts a stream of log entries into ``folder``, which gets each batch's changed turns; ends when all there is was read.
 
-    A batch that is repeated after a failure overwrites its own folder."""
+    A batch that is repeated after a failure overwrites its own folder. ``tasks`` are those of its state (see keyed_state)."""
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/turns/batch={number}")
 
-    with keyed_state(entries.sparkSession):
+    with keyed_state(entries.sparkSession, tasks):
         return changed_turns(entries).writeStream.foreachBatch(keep).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
 
 

@@ -161,3 +161,21 @@ def test_conversations(spark, sf, tmp_path):
     assert found.count() > 0 and rows_of(found, *columns) == rows_of(made, *columns)
     assert rows_of(found, "session_id", "summary") == rows_of(made.join(capture.session_summaries(made), "session_id"), "session_id", "summary")
     shutil.rmtree(tmp_path, ignore_errors=True)
+
+
+def test_state_is_dealt_over_cores_not_over_shuffle_partitions(spark, tmp_path):
+    """Each batch opens the state of every task, so many empty ones cost time."""
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "40")
+    try:
+        ingest(stream(spark, str(tmp_path), log(sessions=2, length=5), 1), str(tmp_path)).awaitTermination()
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "40"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    kept = [p for p in (tmp_path / "checkpoint/state/0").iterdir() if p.name.isdigit()]
+    assert len(kept) == min(40, max(8, spark.sparkContext.defaultParallelism))
+    assert ingested(spark, str(tmp_path)).count() == rows_in_batch(spark)
+
+
+def rows_in_batch(spark):
+    return capture.turns(spark.createDataFrame(log(sessions=2, length=5), SCHEMA)).count()
