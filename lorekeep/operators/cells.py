@@ -28,6 +28,8 @@ SAMPLE, STEPS, MOST_CELLS = 128, 8, 1 << 14
 RECALL, NEAREST, MEASURED = 0.95, 20, 128
 #: Products of vectors and centres that are held at once.
 BLOCK = 1 << 21
+#: Queries and vectors that are compared at once, and blocks of them that a task passes on at once.
+QUERIES, VECTORS, SENT = 256, 1024, 8
 #: Seeds the choice of the sample and of the first centres.
 SEED = 17
 
@@ -107,6 +109,53 @@ def centres_of(vectors: DataFrame, width: int, cells: int, sample: int = SAMPLE,
     return centres, _probes(chosen, centres)
 
 
+def _blocks(rows: DataFrame, key: str, size: int, schema: str) -> DataFrame:
+    """Rows (``key``, embedding, cell) as lists of at most ``size`` rows of one cell, by ``key``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cells = batch.column("cell").to_numpy()
+            starts = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1)) if len(cells) else []
+            cuts = [c for a, b in zip(starts, [*starts[1:], len(cells)], strict=True) for c in range(a, b, size)]
+            if not cuts:
+                continue
+            offsets = pa.array([*cuts, len(cells)], pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in (key, "embedding")]
+            for at in range(0, len(cuts), SENT):
+                yield pa.RecordBatch.from_arrays([pa.array(cells[cuts[at : at + SENT]]), *(x.slice(at, SENT) for x in lists)], names)
+
+    names = [c.split()[0] for c in schema.split(", ")]
+    return rows.select(key, "embedding", "cell").repartition("cell").sortWithinPartitions("cell", key).mapInArrow(run, schema)
+
+
+def _best_of(width: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For rows of a block of queries and a block of vectors in the order of their ids: the ``limit`` best vectors of each query.
+
+    A matrix product finds all that may be among them; their scores are summed in the order of components, so that equal
+    vectors have equal scores wherever they lie."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(batch.num_rows):
+                query_id, asked, ids, held = (batch.column(c)[at].values for c in ("query_id", "asked", "id", "embedding"))
+                a, v = _matrix(asked, width), _matrix(held, width)
+                near, most = a @ v.T, min(limit, len(v))
+                error = 1e-15 * width * np.linalg.norm(a, axis=1) * np.linalg.norm(v, axis=1).max()
+                least = np.partition(near, len(v) - most, axis=1)[:, len(v) - most] - 4 * error
+                own, other = np.nonzero(near >= least[:, None])
+                score = np.zeros(len(own))
+                for i in range(width):
+                    score += a[own, i] * v[other, i]
+                order = np.lexsort((other, -score, own))
+                own, other, score = own[order], other[order], score[order]
+                place = np.arange(len(own)) - np.searchsorted(own, own)
+                kept = place < limit
+                own, other = pa.array(own[kept]), pa.array(other[kept])
+                yield pa.RecordBatch.from_arrays([query_id.take(own), ids.take(other), pa.array(score[kept])], ["query_id", "id", "score"])
+
+    return run
+
+
 class VectorIndex:
     """The stored cells of a table of vectors (id, embedding, and others that pass through)."""
 
@@ -184,7 +233,8 @@ class VectorIndex:
     def neighbours(self, queries: DataFrame, limit: int, probes: int | None = None) -> DataFrame:
         """query_id, id, score, rank of the ``limit`` nearest of each query (query_id, embedding) among its first cells.
 
-        Queries are dealt to the cells they search; a cell's vectors meet only those."""
+        Queries are dealt to the cells they search; a cell's vectors meet only those, block by block, and ``limit`` rows of a
+        query leave a block."""
         width, probes = self.state["width"], probes or self.state["probes"]
         rows = self.spark.read.parquet(self.versions.path(self.state["centres"])).select("cell", "centre").toArrow()  # a row for each cell
         cell = rows["cell"].to_numpy()
@@ -198,7 +248,14 @@ class VectorIndex:
                 yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(own)), batch.column("embedding").take(pa.array(own)), pa.array(cell[first.ravel()])], ["query_id", "asked", "cell"])
 
         own = queries.filter(F.size("embedding") == width).select("query_id", "embedding")
-        dealt = own.mapInArrow(deal, f"query_id {own.schema['query_id'].dataType.simpleString()}, asked {own.schema['embedding'].dataType.simpleString()}, cell int")
-        scored = dealt.join(self._stored().select("id", "embedding", "cell"), "cell").select("query_id", "id", dot(F.col("embedding"), F.col("asked")).alias("score"))
+        kind, vector = own.schema["query_id"].dataType.simpleString(), own.schema["embedding"].dataType.simpleString()
+        dealt = own.mapInArrow(deal, f"query_id {kind}, asked {vector}, cell int").withColumnRenamed("asked", "embedding")
+        held = self._stored().select("id", "embedding", "cell")
+        id_type, width_of = held.schema["id"].dataType.simpleString(), held.schema["embedding"].dataType.simpleString()
+        asked = _blocks(dealt, "query_id", QUERIES, f"cell int, query_id array<{kind}>, asked array<{vector}>")
+        found = _blocks(held, "id", VECTORS, f"cell int, id array<{id_type}>, embedding array<{width_of}>")
+        # What a block holds isn't in Spark's estimates, so neither side may be broadcast by them.
+        met = asked.join(found.hint("merge"), "cell").select("query_id", "asked", "id", "embedding")
+        scored = met.mapInArrow(_best_of(width, limit), f"query_id {kind}, id {id_type}, score double")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)

@@ -1,11 +1,12 @@
 """The inverted file against a search of all vectors."""
 
 import random
+import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators import search
+from lorekeep.operators import cells, search
 from lorekeep.operators.cells import VectorIndex
 
 SCHEMA = "id string, kind string, embedding array<float>"
@@ -95,3 +96,21 @@ def test_odd_tables(spark, tmp_path):
         VectorIndex(spark, f"{tmp_path}/c").build(table(spark).unionByName(spark.createDataFrame([("x", "k", [1.0])], SCHEMA)))
     same = VectorIndex(spark, f"{tmp_path}/d").build(table(spark).filter("id like 'same%'"), cells=4)
     assert same.search([1.0] * 8, 500, exact=True).count() == 200
+
+
+def test_neighbours_of_copies_by_block(spark, tmp_path, monkeypatch):
+    """Equal vectors have equal scores in whatever block they lie, so that the smaller id wins; no side is broadcast by its estimate."""
+    monkeypatch.setattr(cells, "VECTORS", 7)
+    monkeypatch.setattr(cells, "QUERIES", 3)
+    draw = random.Random(3)
+    kinds = [[struct.unpack("f", struct.pack("f", draw.gauss(0, 1)))[0] for _ in range(8)] for _ in range(4)]
+    rows = spark.createDataFrame([(f"v{i:03d}", "k", kinds[i % 4]) for i in range(120)], SCHEMA)
+    index = VectorIndex(spark, str(tmp_path)).build(rows, cells=2)
+    found = index.neighbours(rows.select(F.col("id").alias("query_id"), "embedding"), 9, probes=2)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    got = {}
+    for r in found.orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["id"], r["score"]))
+    for i in range(120):
+        expected = search.vector_search(rows, kinds[i % 4], 9).select("id", "score") if i < 4 else got[f"v{i % 4:03d}"]
+        assert got[f"v{i:03d}"] == (expected if i >= 4 else [tuple(r) for r in expected.collect()])
