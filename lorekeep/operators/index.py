@@ -32,6 +32,8 @@ from lorekeep.sources.versions import Conflict, Versions
 FAN = 4
 #: Rows whose postings share a folder of a segment, folders at most, and rows whose postings share a file of a folder.
 FOLDER_ROWS, MOST_FOLDERS, FILE_ROWS = 500, 4096, 50_000
+#: Tokens that are counted at once.
+MOST_TOKENS = 1 << 18
 #: Batches of so few rows, which may come in one file, are spread over all cores; so many rows to a task.
 SPREAD_ROWS, TASK_ROWS = 200_000, 250
 #: Tombstones of a segment are broadcast up to this number, which their writer counted.
@@ -50,13 +52,24 @@ def _length() -> Column:
     return sum((F.regexp_count(F.lower(c), F.lit(r"[\p{L}\p{N}_]+")) for c in _fields()), F.lit(0)).cast("long")
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch cut where its rows' tokens reach another MOST_TOKENS, so that a long batch needs no more memory than a short one."""
+    upto = sum((batch.column(f).value_lengths().fill_null(0).to_numpy().cumsum(dtype=np.int64) for f in FIELDS), np.zeros(batch.num_rows, np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = upto[start - 1] if start else 0
+        end = max(start + 1, int(np.searchsorted(upto, before + MOST_TOKENS, side="right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 def _count(batches: Iterator[pa.RecordBatch], stemmed: bool = False) -> Iterator[pa.RecordBatch]:
     """Postings of rows with their tokens by field: equal tokens of a row are counted where the row is.
 
-    Stems are worked out once for each word of a batch."""
-    for batch in batches:
+    Stems are worked out once for each word of a batch. Rows are counted by runs of at most MOST_TOKENS, or one by one."""
+    for batch in (part for whole in batches for part in _runs(whole)):
         lists = [batch.column(f) for f in FIELDS]
-        sizes = [np.diff(x.offsets.to_numpy()) for x in lists]
+        sizes = [np.diff(x.offsets.to_numpy()) for x in lists]  # of a slice, the offsets of its rows
         flat = pa.chunked_array([x.flatten() for x in lists], pa.string()).combine_chunks().dictionary_encode()
         if stemmed:
             stems = pa.array([stem(w) for w in flat.dictionary.to_pylist()], pa.string()).dictionary_encode()

@@ -1,5 +1,6 @@
 """The inverted index under change: the same answers as a scan, at the cost of the change."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,3 +128,18 @@ def test_nothing_to_index(spark, tmp_path):
     assert made.size == 0 and search.indexed_scores(made, TEXT).count() == 0
     made.apply(deletes=table(spark, [1]))
     same(made.refresh(table(spark, [4])), table(spark, [4]))
+
+
+@pytest.mark.parametrize("stemmed", [False, True])
+def test_long_batches_are_counted_by_runs(monkeypatch, stemmed):
+    """What is held at once doesn't grow with the batch; a row that is longer than a run is one by itself."""
+    words = [["a", "b", "a"], [], ["c"] * 9, ["b", "a"], ["d"], []]
+    lists = {f: pa.array(words[i:] + words[:i], pa.list_(pa.string())) for i, f in enumerate(index.FIELDS)}
+    batch = pa.RecordBatch.from_pydict({"id": [str(i) for i in range(6)], "project": ["p"] * 6, **lists}).slice(1)
+    monkeypatch.setattr(index, "MOST_TOKENS", 1 << 18)
+    whole = pa.Table.from_batches(index._count([batch], stemmed)).to_pylist()
+    monkeypatch.setattr(index, "MOST_TOKENS", 5)
+    runs = list(index._count([batch], stemmed))
+    assert len(runs) > 1 and all(len(set(r.column("id").to_pylist())) == 1 or sum(dict(zip(r.column("id").to_pylist(), r.column("length").to_pylist(), strict=True)).values()) <= 5 for r in runs)
+    key = lambda r: (r["id"], r["term"])
+    assert sorted(pa.Table.from_batches(runs).to_pylist(), key=key) == sorted(whole, key=key)
