@@ -190,7 +190,7 @@ def without_files(rows: DataFrame, project: str, files: DataFrame | None = None,
     """A table of the graph without a project's rows, or without those of the ``files`` (file) of it."""
     if files is None:
         return rows.filter(~F.col("project").eqNullSafe(F.lit(project)))
-    gone = files.select(F.col("file").alias(column), F.lit(project).alias("project"))
+    gone = files.select(F.col("file").alias(column), F.lit(project).alias("project")).distinct()  # a row that stays would be held against each copy
     return rows.join(gone, ["project", column], "left_anti").select(rows.columns)
 
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lorekeep.operators import graph
 from lorekeep.operators.graph_store import CodeGraph, wipe
 from lorekeep.sources.versions import Tables
 
@@ -86,3 +87,11 @@ def test_removal_and_wipe(spark, tmp_path):
     assert q.read("symbols").count() == q.read("files").count() == 0 and p.read("symbols").count() == 5 and store.read("cursors").count() == 1
     wipe(store)
     assert all(store.read(name).count() == 0 for name in store.names())
+
+
+def test_removed_files_are_joined_once(spark):
+    """Many rows may name one file; each row of the graph that isn't removed would meet them all."""
+    rows = spark.createDataFrame([(1, "p", "a"), (2, "p", "b"), (3, "q", "a"), (4, "p", None), (5, None, "a")], "id int, project string, file string")
+    left = graph.without_files(rows, "p", spark.createDataFrame([("a",)] * 50 + [(None,)], "file string"))
+    assert sorted(r["id"] for r in left.collect()) == [2, 3, 4, 5]
+    assert "Aggregate" in left._jdf.queryExecution().executedPlan().toString()
