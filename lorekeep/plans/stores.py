@@ -146,12 +146,20 @@ _OLD = "o AS (SELECT o_orderkey AS id, o_orderstatus AS status, o_totalprice AS
 _NEW = "n AS (SELECT o_orderkey AS id, 'new' AS status, max(l_extendedprice) AS price FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderdate >= TIMESTAMP '1998-01-01' GROUP BY o_orderkey)"
 
 
+#: Rows of line items whose orders a task gets.
+_TASK_ROWS = 500_000
+
+
 def _old_and_new(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    orders, date = table(spark, sf_dir, "orders"), F.col("o_orderdate").cast("date")
+    """Both sides are dealt by id over tasks of bounded size, so that joins and groups by id need no further shuffle, and no
+    side is broadcast because its file is small."""
+    orders, lines, date = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"), F.col("o_orderdate").cast("date")
+    tasks = 1 + lines.count() // _TASK_ROWS
     old = orders.filter(date < F.lit("1999-01-01").cast("date")).select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), F.col("o_totalprice").alias("price"))
-    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_extendedprice")
-    new = orders.filter(date >= F.lit("1998-01-01").cast("date")).join(lines, "o_orderkey")
-    return old, new.groupBy(F.col("o_orderkey").alias("id")).agg(F.lit("new").alias("status"), F.max("l_extendedprice").alias("price"))
+    lines = lines.select(F.col("l_orderkey").alias("id"), "l_extendedprice").repartition(tasks, "id")
+    wanted = orders.filter(date >= F.lit("1998-01-01").cast("date")).select(F.col("o_orderkey").alias("id")).repartition(tasks, "id")
+    new = wanted.join(lines.hint("merge"), "id").groupBy("id").agg(F.lit("new").alias("status"), F.max("l_extendedprice").alias("price"))
+    return old.repartition(tasks, "id").hint("merge"), new.hint("merge")
 
 
 @query(f"WITH {_OLD}, {_NEW} SELECT * FROM o WHERE id NOT IN (SELECT id FROM n) UNION ALL SELECT * FROM n")
