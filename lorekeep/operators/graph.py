@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lorekeep.functions.ids import edge_id, symbol_id
@@ -124,16 +124,18 @@ def resolve(references: DataFrame, known: DataFrame) -> DataFrame:
 
 def merge_member_calls(edges: DataFrame) -> DataFrame:
     """Edges (edge_id, file, line, dst_name, dst_id, relation, confidence, score) where a call ``x.f`` takes over
-    what the bare ``f`` of the same line and relation resolved to, and the bare one goes."""
-    tail = F.substring_index("dst_name", ".", -1)
-    bare = edges.groupBy("file", "line", "relation", F.col("dst_name").alias("tail")).agg(F.min(F.when(F.col("dst_id").isNotNull(), F.struct("edge_id", "dst_id", "confidence", "score"))).alias("bare"))
-    qualified = edges.filter(F.col("dst_name").contains("."))
-    gone = qualified.select("file", "line", "relation", tail.alias("dst_name")).distinct()
-    taken = qualified.withColumn("tail", tail).join(bare, ["file", "line", "relation", "tail"], "left")
-    fresh = F.col("dst_id").isNull() & F.col("bare").isNotNull()
-    merged = [F.when(fresh, F.col(f"bare.{c}")).otherwise(F.col(c)).alias(c) if c in ("dst_id", "confidence", "score") else F.col(c) for c in edges.columns]
-    rest = edges.filter(~F.col("dst_name").contains(".")).join(gone, ["file", "line", "relation", "dst_name"], "left_anti")
-    return taken.select(*merged).unionByName(rest.select(*edges.columns))
+    what the bare ``f`` of the same line and relation resolved to, and the bare one goes.
+
+    The edges are sorted once, by file, line, relation and tail; where one of these is null, none meets another."""
+    qualified, key = F.col("dst_name").contains("."), ["file", "line", "relation", "__tail"]
+    known = F.col("file").isNotNull() & F.col("line").isNotNull() & F.col("relation").isNotNull()
+    group = Window.partitionBy(*key)
+    bare = F.when(known & ~qualified & F.col("dst_id").isNotNull(), F.struct("edge_id", "dst_id", "confidence", "score"))
+    rows = edges.filter("dst_name is not null").withColumn("__tail", F.substring_index("dst_name", ".", -1))
+    met = rows.select("*", F.min(bare).over(group).alias("__bare"), F.max(known & qualified).over(group).alias("__taken"))
+    fresh = F.col("dst_id").isNull() & F.col("__bare").isNotNull() & qualified
+    merged = [F.when(fresh, F.col(f"__bare.{c}")).otherwise(F.col(c)).alias(c) if c in ("dst_id", "confidence", "score") else F.col(c) for c in edges.columns]
+    return met.filter(qualified | ~F.col("__taken")).select(*merged)
 
 
 def edges_of(references: DataFrame, known: DataFrame, project: str) -> DataFrame:

@@ -78,7 +78,8 @@ def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT edge_id, dst_name, dst_id, confidence, score FROM edges e WHERE NOT contains(dst_name, '.') AND NOT EXISTS (SELECT 1 FROM edges q WHERE q.line = e.line AND q.dst_name = 'x.' || e.dst_name)""")
 def member_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Qualified calls take over what the bare call of the same line resolved to."""
-    return graph.merge_member_calls(_edges(spark, sf_dir).distinct()).select("edge_id", "dst_name", "dst_id", "confidence", "score")
+    edges = _edges(spark, sf_dir).repartition("file", "line", "relation").distinct()  # the one shuffle that the merge needs too
+    return graph.merge_member_calls(edges).select("edge_id", "dst_name", "dst_id", "confidence", "score")
 
 
 _GRAPH = f"{_RESOLVED}, g AS (SELECT ref_id, line % 2000 AS src_id, dst_id, name AS dst_name, relation FROM resolved)"

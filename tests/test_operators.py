@@ -233,3 +233,16 @@ def test_prompt_block_and_view(spark):
     assert [r["id"][0] for r in report.viewed(entries, "p", 3).collect()] == ["a", "b", "c"]
     assert report.viewed(entries, "p", None).count() == 4
     assert [r["id"][0] for r in report.view_page(report.viewed(entries, "p", 3), 2).collect()] == ["a", "b"]
+
+
+def test_members_by_one_sort(spark):
+    """Calls are merged by one sort; a null line, file or relation meets none."""
+    rows = [
+        ("a", "f", 1, "x.go", None, "calls", "low", 0.1), ("b", "f", 1, "go", "s2", "calls", "high", 0.9), ("c", "f", 1, "go", "s1", "calls", "mid", 0.5), ("d", "f", 2, "go", "s3", "calls", "high", 0.9),
+        ("e", "f", None, "y.go", None, "calls", "low", 0.1), ("g", "f", None, "go", "s4", "calls", "high", 0.9), ("h", "f", 1, "z.go", "own", "calls", "low", 0.1), ("i", "f", 1, "go", "s5", "reads", "high", 0.9),
+    ]
+    edges = spark.createDataFrame(rows, "edge_id string, file string, line int, dst_name string, dst_id string, relation string, confidence string, score double")
+    merged = graph.merge_member_calls(edges)
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert {r["edge_id"]: (r["dst_id"], r["confidence"]) for r in merged.collect()} == {"a": ("s2", "high"), "d": ("s3", "high"), "e": (None, "low"), "g": ("s4", "high"), "h": ("own", "low"), "i": ("s5", "high")}
