@@ -4,7 +4,7 @@ A change writes one new segment with the postings of its rows, and tombstones fo
 nothing else is written. Segments of like size are merged when there are FAN of them, and one whose rows are mostly dead is
 written again, so that there are some FAN log(n) segments. A segment knows how many rows and tokens it and its
 tombstones hold: the corpus' size and average length are sums over segments, without reading any. A term's postings lie in one
-folder of each segment, in order of terms, so a search reads those folders only; the number of a term's rows is counted
+folder of each segment, in order of their hashes, so a search reads those folders only; the number of a term's rows is counted
 among the live ones it reads.
 
 All of it is named by one manifest (sources.versions): a change becomes visible at once, and readers pin a version.
@@ -30,8 +30,9 @@ from lorekeep.sources.versions import Conflict, Versions
 
 #: Segments of one size class that are merged, and how classes follow each other.
 FAN = 4
-#: Rows whose postings share a folder of a segment, folders at most, and rows whose postings share a file of a folder.
-FOLDER_ROWS, MOST_FOLDERS, FILE_ROWS = 500, 4096, 50_000
+#: Rows whose postings share a folder of a segment, folders at most, and rows whose postings share a file of a folder: folders
+#: get more files only when there are no more folders, so that a segment's files are in proportion to its rows.
+FOLDER_ROWS, MOST_FOLDERS, FILE_ROWS = 500, 4096, 500 * 4096
 #: Tokens that are counted at once.
 MOST_TOKENS = 1 << 18
 #: Batches of so few rows, which may come in one file, are spread over all cores; so many rows to a task.
@@ -96,6 +97,11 @@ def content_hash() -> Column:
     return F.xxhash64("project", "title", "body", "tags")
 
 
+def _layout(n: int) -> tuple[int, int]:
+    """Folders of a segment of ``n`` rows, and files of a folder: a frequent term's postings fill as many files as it takes."""
+    return min(MOST_FOLDERS, 1 << max(0, math.ceil(math.log2(max(1, n) / FOLDER_ROWS)))), 1 + n // FILE_ROWS
+
+
 class SearchIndex:
     """The index in a folder. ``state`` is the pinned version; ``apply`` and ``refresh`` move on to the next.
 
@@ -141,19 +147,21 @@ class SearchIndex:
             terms = list(dict.fromkeys(map(stem, terms)))
         for s in self.state["segments"]:
             own = sorted({zlib.crc32(t.encode()) % s["folders"] for t in terms})
-            found = self._read(s["postings"], f"{POSTINGS}, folder int").filter(F.col("folder").isin(own) & F.col("term").isin(terms))
-            parts.append(self._alive(s, found.drop("folder")))
+            there = set(self.versions.files.names(s["postings"]))  # no other folder is listed
+            if paths := [self.versions.path(f"{s['postings']}/folder={f}") for f in own if f"folder={f}" in there]:
+                found = self.spark.read.schema(f"{POSTINGS}, folder int").option("basePath", self.versions.path(s["postings"])).parquet(*paths)
+                parts.append(self._alive(s, found.filter(F.col("folder").isin(own) & F.col("term").isin(terms)).drop("folder")))
         return self._union(parts, POSTINGS)
 
     # Writing
 
     def _segment(self, name: str, found: DataFrame, rows: DataFrame, n: int) -> dict[str, Any]:
         """Writes a segment of postings and rows; ``n`` sets how many folders it gets."""
-        folders = min(MOST_FOLDERS, 1 << max(0, math.ceil(math.log2(max(1, n) / FOLDER_ROWS))))
+        folders, parts = _layout(n)
         segment = {"postings": self.versions.new_folder("postings"), "rows": self.versions.new_folder("rows"), "folders": folders, "dead": [], "n_dead": 0, "length_dead": 0, "name": name}
-        dealt = found.withColumn("folder", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(folders)).cast("int"))
-        parts = 1 + n // FILE_ROWS  # a frequent term's postings fill as many files as it takes
-        dealt = dealt.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions("folder", "term", "id")
+        hashed = F.crc32(F.col("term").cast("binary"))
+        dealt = found.withColumn("folder", F.pmod(hashed, F.lit(folders)).cast("int"))
+        dealt = dealt.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions(hashed)  # a number is sorted much faster than words; the write sorts by folder
         dealt.write.partitionBy("folder").parquet(self.versions.path(segment["postings"]))
         rows.write.parquet(self.versions.path(segment["rows"]))
         count, length = self._read(segment["rows"], ROWS).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).head()
