@@ -27,10 +27,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
 from lorekeep.llm.common import BROADCAST_BYTES, discard, mix64, row_numbers, row_tie, slices, small, stored, text_of, tidy
 from lorekeep.llm.linking import SKETCH, SKETCHED, link, shared_buckets, sketches
@@ -115,11 +116,17 @@ def _hashed_sets(lines: list[str]) -> list[np.ndarray]:
     return found
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _with_text(batches: Iterator[pa.RecordBatch], place: int) -> Iterator[pa.RecordBatch]:
+    """Batches with the documents' field of that place as their text, null as empty."""
+    for batch in batches:
+        yield batch.append_column("text", pc.fill_null(pc.struct_field(batch.column("doc"), [place]), ""))
+
+
+def _read(batches: Iterator[pa.RecordBatch], place: int | None = None) -> Iterator[pa.RecordBatch]:
     """A numbered row for each document, with hashes of its lines (null for blank ones), and a row for
-    each of a slice's distinct lines, with its bands."""
+    each of a slice's distinct lines, with its bands. The text is the document's field at ``place``, or a column by itself (None)."""
     number = row_numbers()
-    for batch in slices(batches, "text", 1 << 20):
+    for batch in slices(batches if place is None else _with_text(batches, place), "text", 1 << 20):
         index: dict[str, int] = {}
         given = [[index.setdefault(x, len(index)) if (x := line.strip(BLANK)) else -1 for line in t.split("\n")] for t in batch.column("text").to_pylist()]
         lines = list(index)
@@ -185,7 +192,10 @@ def _decided(docs: DataFrame) -> DataFrame:
     given = docs.select(F.struct("*").alias("doc"), docs["doc_id"].cast("long").alias("doc_id"), row_tie(docs).alias("tie"), text_of(docs).alias("text"))
     kinds = {"doc_id": LongType(), "tie": LongType(), "row": LongType(), "nodes": ArrayType(LongType()), "checks": ArrayType(LongType()), "node": LongType(), "bands": ArrayType(LongType())}
     schema = StructType([StructField("doc", given.schema["doc"].dataType), *(StructField(c, k) for c, k in kinds.items())])
-    read = stored(given.mapInArrow(tidy(_read), schema), "lines")
+    # Python gets each text once: as a field of its document, if it is a string there.
+    place = next((i for i, f in enumerate(docs.schema.fields) if f.name.lower() == "text" and f.dataType == StringType()), None)
+    given = given if place is None else given.drop("text")
+    read = stored(given.mapInArrow(tidy(lambda batches: _read(batches, place)), schema), "lines")
     whole = read.filter("row is not null")
     lines = whole.select("row", "doc_id", "tie", F.posexplode(F.arrays_zip("nodes", "checks")).alias("line_no", "hashes"))
     lines = lines.select("row", "doc_id", "tie", "line_no", F.col("hashes.nodes").alias("node"), F.col("hashes.checks").alias("check")).filter("node is not null")
@@ -215,15 +225,13 @@ def _decided(docs: DataFrame) -> DataFrame:
     if gone.count() * 16 <= BROADCAST_BYTES:
         removed = F.broadcast(removed)
 
-    breaks = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-
     def without(split: Column) -> Column:
         return F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(split) - 1), "removed"), lambda i: F.get(split, i)), "\n")
 
     # The text is split once, as an argument. Documents that keep all their lines, the most, are not put together again.
     left = F.element_at(F.transform(F.array(F.split(text, "\n")), without), 1)
     found = whole.join(removed, "row", "left")
-    return found.select("doc", (breaks + 1).alias("n_lines"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_removed"), F.when(F.col("removed").isNull(), text).otherwise(left).alias("kept_text"))
+    return found.select("doc", F.size("nodes").alias("n_lines"), F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).alias("n_removed"), F.when(F.col("removed").isNull(), text).otherwise(left).alias("kept_text"))
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
