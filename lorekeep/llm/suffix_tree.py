@@ -14,10 +14,13 @@ That log probability is a sum: the root's, plus for each state on the way to the
 and a text's score the sum of the values of its keys; no context has to be looked up before another one.
 
 Counting is one pass over the training texts a level: tasks count the pairs of a slice of texts, which are dealt by
-context (and by word too for the at most 1024 contexts that hold 1/1024 of all tokens) and added. Every pass skips
-what an earlier level ruled out, by a bitmap of fixed size whose false hits are removed by exact joins.
+context (by word for the at most 1024 contexts that hold 1/1024 of all tokens) into parts of bounded size, in rows of
+arrays that name a word once, and added. Every pass skips
+what an earlier level ruled out, contexts and next words alike, by bitmaps of fixed size whose false hits are removed by
+exact joins: a word that follows a context often follows the shorter one often.
 Scoring looks up the at most ``HOT`` most frequent keys in a broadcast array; of the others those that the bitmap may
-hold are joined. The bitmap and the array don't grow with the data; counts and the model are never sent whole.
+hold meet the rest of the model, which is dealt by the keys' first bits into parts of some ``PART_KEYS`` keys. A slice of texts asks
+a part in one row of arrays. The bitmap and the array don't grow with the data; counts and the model are never sent whole.
 
 Words, contexts and pairs are known by 64-bit hashes; with 10^9 of them some 0.03 are expected to share one.
 
@@ -34,10 +37,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast, TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from lorekeep.llm.common import discard, slices, small, stored, text_of, tidy
 from lorekeep.llm.words import BLANKS, hashed_words, joined, table_of
@@ -46,14 +51,22 @@ from lorekeep.llm.words import BLANKS, hashed_words, joined, table_of
 DEPTH, LEAST_CONTEXT, LEAST_PAIR = 3, 16, 4
 #: Bits of the bitmaps, as a power of two, and keys in the broadcast array at most.
 BITMAP_BITS, HOT = 27, 1 << 20
-#: A context with this share of all tokens is dealt by its next word too, into so many parts.
-HEAVY, PARTS = 1 / 1024, 64
+#: A context with this share of all tokens is dealt by its next word; pairs are dealt into so many parts, or more for more tokens than so many a part.
+HEAVY, PARTS, PART_TOKENS = 1 / 1024, 128, 1 << 23
+#: Pairs in a row of arrays at most, as places in it are 16-bit.
+BLOCK = 1 << 15
+#: Keys of the model, on average, that meet the texts' keys in one group.
+PART_KEYS = 1 << 18
 #: Bytes of text that are counted together.
 COUNT_BYTES = 8 << 20
 #: Stands for a word in a state's own key; the words are hashes.
 STATE = -1
-#: Columns of a row on its way through the join.
-NAMES = ["row", "key", "n", "is_word", "own"]
+#: Columns of the pairs that a slice gives to a part: distinct contexts and words, and of each pair their places and how often it was seen.
+PAIRS = pa.schema([("part", pa.int64()), ("contexts", pa.list_(pa.int64())), ("words", pa.list_(pa.int64())), ("context_at", pa.list_(pa.int16())), ("word_at", pa.list_(pa.int16())), ("n", pa.list_(pa.int32()))])
+#: Columns of what a slice asks of a part (texts from ``row`` on, keys, how often), or of a text's own row; and of what a text's sums are made of.
+_OWN = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("gain", pa.float64())]
+ASKED = pa.schema([("part", pa.int64()), ("row", pa.int64()), ("is_word", pa.bool_()), ("at", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64())), ("n", pa.list_(pa.int32())), *_OWN])
+SUMS = pa.schema([("row", pa.int64()), *_OWN])
 #: The end of a text: the hash of the empty word.
 END = xxhash.xxh64_intdigest(b"", 42)
 
@@ -121,8 +134,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([_signed(keys), pa.array(n.astype(np.int64))], ["key", "n"])
 
 
-def _count_pairs(level: int, bits: Broadcast, heavy: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """The next words of the contexts of ``level`` words that the bitmap may hold."""
+def _count_pairs(level: int, parts: int, bits: Broadcast, lower: Broadcast, heavy: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The next words of the contexts of ``level`` words that the bitmap may hold, if ``lower`` may hold them after the shorter context."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table_of(BLANKS)
@@ -134,18 +147,60 @@ def _count_pairs(level: int, bits: Broadcast, heavy: Broadcast) -> Callable[[Ite
                     at = np.flatnonzero((found.place >= level) & _within(bits.value, context))
                 else:
                     shorter = context
+            at = at[_within(lower.value, found.hashes[at] if shorter is None else joined(shorter[at], found.hashes[at]))]
             context, word = context[at], found.hashes[at]
-            shorter = np.zeros_like(context) if shorter is None else shorter[at]
             _, first, counts = np.unique(joined(context, word), return_index=True, return_counts=True)
-            order = np.argsort(context[first], kind="stable")  # rows of one context side by side: they are packed best so
-            first, counts = first[order], counts[order]
-            context, word, shorter = context[first], word[first], shorter[first]
-            part = np.where(np.isin(context, heavy.value), (word % np.uint64(PARTS)).astype(np.int32), 0).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([_signed(shorter), _signed(context), pa.array(part), _signed(word), pa.array(counts.astype(np.int64))], ["shorter", "context", "part", "word", "n"])
+            context, word = context[first], word[first]
+            if not len(counts):
+                continue
+            part = (np.where(np.isin(context, heavy.value), word, context) % np.uint64(parts)).astype(np.int64)
+            order = np.lexsort((context, part))
+            yield _blocks(part[order], context[order], word[order], counts[order])
 
     return tidy(run)
 
 
+def _blocks(part: np.ndarray, context: np.ndarray, word: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+    """Pairs in order of part and context as PAIRS, a row for each part, or more for more than BLOCK pairs."""
+    begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+    cut = (np.arange(len(part)) - np.repeat(begins, np.diff(np.append(begins, len(part))))) % BLOCK == 0
+    begins, block = np.flatnonzero(cut), np.cumsum(cut) - 1
+
+    def named(order: np.ndarray, x: np.ndarray) -> tuple[pa.Array, pa.Array]:
+        """The distinct values of each block, and each value's place among them; ``order`` has equal ones of a block side by side."""
+        fresh = cut.copy()  # blocks begin at the same places in any order within them
+        fresh[1:] |= x[order][1:] != x[order][:-1]
+        number = np.cumsum(fresh) - 1
+        place = np.empty(len(x), np.int16)
+        place[order] = number - number[begins][block]
+        return pa.ListArray.from_arrays(pa.array(np.append(number[begins], number[-1] + 1).astype(np.int32)), _signed(x[order][fresh])), ends(pa.array(place))
+
+    def ends(values: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(begins, len(part)).astype(np.int32)), values)
+
+    contexts, context_at = named(np.arange(len(context)), context)
+    words, word_at = named(np.lexsort((word, block)), word)
+    return pa.RecordBatch.from_arrays([pa.array(part[begins]), contexts, words, context_at, word_at, ends(pa.array(n.astype(np.int32)))], schema=PAIRS)
+
+
+def _adding(least: int) -> Callable[[pa.Table], pa.Table]:
+    """The pairs of a part that are seen ``least`` times, with how often."""
+
+    def run(blocks: pa.Table) -> pa.Table:
+        columns = {c: blocks[c].combine_chunks() for c in PAIRS.names[1:]}
+        flat = {c: x.flatten().to_numpy(zero_copy_only=False) for c, x in columns.items()}
+        sizes = {c: pc.list_value_length(x).to_numpy(zero_copy_only=False) for c, x in columns.items()}
+        context, word = (flat[c][np.repeat(np.cumsum(sizes[c]) - sizes[c], sizes["n"]) + flat[at]] for c, at in (("contexts", "context_at"), ("words", "word_at")))
+        key = joined(context.view(np.uint64), word.view(np.uint64))
+        order = np.argsort(key)
+        starts = np.flatnonzero(np.r_[True, key[order][1:] != key[order][:-1]])
+        n = np.add.reduceat(flat["n"][order].astype(np.int64), starts)
+        kept = order[starts[n >= least]]
+        return pa.table({"context": context[kept], "word": word[kept], "n": n[n >= least]})
+
+    return run
+
+
 @dataclass
 class Model:
     """``table`` (key, value, weight) with all words, states and pairs; ``tokens`` and ``distinct`` of the training texts."""
@@ -170,28 +225,37 @@ def _tested(pairs: DataFrame, tokens: int) -> DataFrame:
     return sums.filter(divergence >= F.col("k") * (math.log(max(tokens, 2)) / 2)).select("context", "times", ((rest + F.col("k")) / (times + F.col("k"))).alias("share"), (times + F.col("k")).alias("weight"))
 
 
+def pairs_of(texts: DataFrame, level: int, candidates: DataFrame, lower: DataFrame, tokens: int) -> tuple[DataFrame, list[Broadcast]]:
+    """Rows of PAIRS: the words after the contexts ``candidates`` (key, times) that ``lower`` (key) holds after the shorter context, and few others.
+
+    The broadcasts are in use until the rows are read."""
+    context = texts.sparkSession.sparkContext
+    heavy = candidates.filter(F.col("times") >= max(1.0, tokens * HEAVY)).select("key").toArrow()["key"].to_numpy()  # at most 1 / HEAVY
+    sent = [context.broadcast(x) for x in (bitmap(candidates), bitmap(lower), heavy.view(np.uint64))]
+    return texts.mapInArrow(_count_pairs(level, max(PARTS, tokens // PART_TOKENS), *sent), from_arrow_schema(PAIRS)), sent
+
+
 def fit(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_pair: int = LEAST_PAIR) -> Model:
     """The suffix tree of all texts of ``docs`` (text), as a table of keys and values."""
-    spark, texts = docs.sparkSession, docs.select(text_of(docs).alias("text"))
+    texts = docs.select(text_of(docs).alias("text"))
     vocabulary = stored(texts.mapInArrow(tidy(_count_words), "key long, n long").groupBy("key").agg(F.sum("n").alias("n")), "words")
     tokens, distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     model = Model(vocabulary, tokens, distinct)
     known = F.log10((F.col("n") + 0.5) / (tokens + 0.5 * (distinct + 1)))
     parts = [vocabulary.select("key", (known - model.unknown).alias("value"), F.col("n").alias("weight"))]
     end = F.lit(int(np.uint64(END).astype(np.int64)))
-    candidates = vocabulary.filter((F.col("n") >= least_context) & (F.col("key") != end)).select("key", F.col("n").alias("times"))
+    candidates = vocabulary.filter((F.col("n") >= least_context) & (F.col("key") != end)).select("key", F.col("n").alias("times"), F.lit(0).cast("long").alias("shorter"))
+    lower = vocabulary.filter(F.col("n") >= least_pair)
     below = vocabulary.select(F.lit(0).cast("long").alias("shorter"), F.col("key").alias("word"), F.pow(F.lit(10.0), known).alias("low"))
     used = [vocabulary]
     for level in range(1, depth + 1):
         candidates = stored(candidates, f"candidates{level}")
-        heavy = candidates.filter(F.col("times") >= max(1.0, tokens * HEAVY)).select("key").toArrow()["key"].to_numpy()  # at most 1 / HEAVY
-        bits, many = spark.sparkContext.broadcast(bitmap(candidates)), spark.sparkContext.broadcast(heavy.view(np.uint64))
-        rows = texts.mapInArrow(_count_pairs(level, bits, many), "shorter long, context long, part int, word long, n long")
-        added = rows.repartition("context", "part").groupBy("shorter", "context", "part", "word").agg(F.sum("n").alias("n")).filter(F.col("n") >= least_pair).drop("part")
-        priced = added.join(small(below, 96).hint("shuffle_hash"), ["shorter", "word"]).join(small(candidates.withColumnRenamed("key", "context"), 64), "context")
+        rows, sent = pairs_of(texts, level, candidates, lower, tokens)
+        added = rows.groupBy("part").applyInArrow(_adding(least_pair), "context long, word long, n long")
+        priced = added.join(small(candidates.withColumnRenamed("key", "context"), 80), "context").join(small(below, 96).hint("shuffle_hash"), ["shorter", "word"])
         pairs = stored(priced, f"pairs{level}")
-        bits.destroy()
-        many.destroy()
+        for x in sent:
+            x.destroy()
         states = stored(_tested(pairs, tokens), f"states{level}")
         p = (F.col("n") + F.col("share") * F.col("weight") * F.col("low")) / F.col("weight")
         nexts = stored(pairs.join(small(states.drop("times"), 64), "context").select("context", "word", "n", "share", "low", p.alias("p")), f"nexts{level}")
@@ -201,7 +265,8 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
         ending = F.col("word") if level == 1 else F.xxhash64("shorter", "word")
         longer = pairs.filter((F.col("n") >= least_context) & (F.col("word") != end)).select(F.xxhash64("context", "word").alias("key"), F.col("n").alias("times"), ending.alias("ending"))
         used += [candidates, pairs, states, nexts]
-        candidates = longer.join(small(states.select(F.col("context").alias("ending")), 48), "ending", "left_semi").select("key", "times")
+        candidates = longer.join(small(states.select(F.col("context").alias("ending")), 48), "ending", "left_semi").select("key", "times", F.col("ending").alias("shorter"))
+        lower = nexts.select(F.xxhash64("context", "word").alias("key"))
         below = nexts.select(F.col("context").alias("shorter"), "word", F.col("p").alias("low"))
     for part in parts[1:]:
         parts[0] = parts[0].unionByName(part)
@@ -210,35 +275,44 @@ def fit(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT,
     return model
 
 
-def _hottest(table: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Keys in order and values of the rows of greatest weight, at most ``most``: as many steps of weight as fit."""
+def _hottest(table: DataFrame, most: int) -> tuple[tuple[np.ndarray, np.ndarray], DataFrame | None, int]:
+    """Keys in order and values of the rows of greatest weight, at most ``most``: as many steps of weight as fit; the other rows (None: there are none), and their number."""
     step = F.floor(F.log2(F.col("weight")) * 8)
     sizes = table.groupBy(step.alias("step")).count().orderBy(F.desc("step")).collect()  # at most 8 * 64 rows
-    least = None
+    least, own = None, 0
     for row, held in zip(sizes, itertools.accumulate(r["count"] for r in sizes), strict=True):
         if held > most:
             break
-        least = row["step"]
+        least, own = row["step"], held
     rows = (table.filter(step >= least) if least is not None else table.limit(0)).select("key", "value").toArrow()
     keys = rows["key"].to_numpy().view(np.uint64)
-    order = np.argsort(keys)
-    return keys[order], rows["value"].to_numpy()[order]
+    order, left = np.argsort(keys), sum(r["count"] for r in sizes) - own
+    others = None if not left else table if least is None else table.filter(step < least)
+    return (keys[order], rows["value"].to_numpy()[order]), others, left
 
 
-def _score(depth: int, bits: Broadcast, hot: Broadcast) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sums over the keys of each text that the broadcast array holds, and the keys, with counts, that have to be joined."""
+def _score(depth: int, bits: Broadcast, hot: Broadcast, part_bits: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Sums over the keys of each text that the broadcast array holds, and the keys, with counts, that have to be asked of the model's parts.
+
+    ``part_bits`` are the first bits of a key that name its part; None: the array holds the whole model."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, first = table_of(BLANKS), itertools.count(TaskContext.get().partitionId() << 33)
 
+        def made(n: int, columns: dict[str, pa.Array]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) if f.name in columns else pa.nulls(n, f.type) for f in ASKED], schema=ASKED)
+
         def look(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            """Value (0 if unknown), whether the model may hold it, and whether that needs a join."""
+            """Value (0 if unknown), whether the model may hold it, and whether a part must be asked."""
             value, may = np.zeros(len(keys)), _within(bits.value, keys)
             held, values = hot.value
             at = np.flatnonzero(may)
             place = np.minimum(np.searchsorted(held, keys[at]), len(held) - 1)
             own = held[place] == keys[at] if len(held) else np.zeros(len(at), bool)
             value[at[own]] = values[place[own]]
+            if part_bits is None:
+                may[at[~own]] = False
+                return value, may, np.zeros(len(keys), bool)
             cold = may.copy()
             cold[at[own]] = False
             return value, may, cold
@@ -261,34 +335,68 @@ def _score(depth: int, bits: Broadcast, hot: Broadcast) -> Callable[[Iterator[pa
                     if word is not None:
                         at, context = at[may], context[may]  # a longer context is a state only if this one is
             rows = np.fromiter(itertools.islice(first, n), np.int64, n)
-            own = pa.StructArray.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(found.sizes.astype(np.int64)), pa.array(known), pa.array(base), pa.array(gain)], ["doc_id", "held_out", "n_tokens", "known", "base", "gain"])
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(rows), pa.nulls(n, pa.int32()), pa.nulls(n, pa.bool_()), own], NAMES)
+            own = {"row": rows, "n_tokens": found.sizes.astype(np.int64), "known": known, "base": base, "gain": gain, "part": rows % (1 << (part_bits or 0))}
+            yield made(n, {k: pa.array(v) for k, v in own.items()} | {c: batch.column(c) for c in ("doc_id", "held_out")})
             for is_word in (1, 0):
                 text, key = (np.concatenate([x[i] for x in later if x[0] == is_word]) for i in (1, 2))
-                order = np.lexsort((key, text))
-                text, key = text[order], key[order]
-                starts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])]) if len(key) else np.zeros(0, np.int64)
-                counts = np.diff(np.append(starts, len(key)))
-                yield pa.RecordBatch.from_arrays([pa.array(rows[text[starts]]), _signed(key[starts]), pa.array(counts.astype(np.int32)), pa.array(np.full(len(starts), bool(is_word))), pa.nulls(len(starts), own.type)], NAMES)
+                if not len(key):
+                    continue
+                part = (key >> np.uint64(64 - part_bits)).astype(np.int64)
+                order = np.lexsort((key, text, part))
+                text, key, part = text[order], key[order], part[order]
+                starts = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (key[1:] != key[:-1])])
+                counts, text, key, part = np.diff(np.append(starts, len(key))).astype(np.int32), text[starts], key[starts], part[starts]
+                begins = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+                ends = pa.array(np.append(begins, len(part)).astype(np.int32))
+                lists = {"at": pa.array(text), "keys": _signed(key), "n": pa.array(counts)}
+                scalars = {"part": part[begins], "row": np.full(len(begins), rows[0]), "is_word": np.full(len(begins), bool(is_word))}
+                yield made(len(begins), {k: pa.ListArray.from_arrays(ends, v) for k, v in lists.items()} | {k: pa.array(v) for k, v in scalars.items()})
 
     return tidy(run)
 
 
+def _answered(asked: pa.Table, part: pa.Table) -> pa.Table:
+    """The sums of each text over the keys of a part of the model (part, key, value), and the texts' own rows as they are."""
+    whole = asked["keys"].is_null()
+    own, blocks = asked.filter(whole), asked.filter(pc.invert(whole))
+    keys, n, at = (blocks[c].combine_chunks().flatten().to_numpy(zero_copy_only=False) for c in ("keys", "n", "at"))
+    sizes = pc.list_value_length(blocks["keys"]).to_numpy()
+    row, is_word = np.repeat(blocks["row"].to_numpy(), sizes) + at, np.repeat(blocks["is_word"].to_numpy(), sizes)
+    held, values = part["key"].to_numpy(), part["value"].to_numpy()
+    order = np.argsort(held)
+    held, values = held[order], values[order]
+    place = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+    hit = np.flatnonzero(held[place] == keys) if len(held) else np.zeros(0, np.int64)
+    texts, of = np.unique(row[hit], return_inverse=True)
+    amount, is_word = n[hit] * values[place[hit]] if len(hit) else np.zeros(0), is_word[hit]
+    sums = {"row": texts, "known": np.bincount(of, n[hit] * is_word, len(texts)).astype(np.int64), "base": np.bincount(of, amount * is_word, len(texts)), "gain": np.bincount(of, amount * ~is_word, len(texts))}
+    found = pa.Table.from_arrays([pa.array(sums[f.name]) if f.name in sums else pa.nulls(len(texts), f.type) for f in SUMS], schema=SUMS)
+    return pa.concat_tables([own.select(SUMS.names).cast(SUMS), found])
+
+
+def asked(docs: DataFrame, table: DataFrame, depth: int = DEPTH) -> tuple[DataFrame, DataFrame | None]:
+    """A row for each text with its sums over the keys of the broadcast array, and one for each slice of texts and part of the
+    model (see ASKED); the model's other rows with their part, or None if the array holds all."""
+    context = docs.sparkSession.sparkContext
+    hot, others, left = _hottest(table, HOT)
+    part_bits = max(1, math.ceil(math.log2(max(left / PART_KEYS, 1)))) if left else None
+    sent = context.broadcast(bitmap(table)), context.broadcast(hot)
+    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_of(docs).alias("text"))
+    rows = texts.mapInArrow(_score(depth, *sent, part_bits), from_arrow_schema(ASKED))
+    return rows, None if others is None else others.select(F.shiftrightunsigned("key", 64 - part_bits).alias("part"), "key", "value")
+
+
 def score(docs: DataFrame, model: Model, depth: int = DEPTH) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of ``docs`` (doc_id, text).
 
     ``base_score`` is the root's log10 probability of the text, ``score`` the tree's; ``n_known`` counts tokens of training texts.
-    A text's own row goes through the join with the keys that it asks for, under a key that spreads them, so the texts are read once."""
-    spark = docs.sparkSession
-    bits, hot = spark.sparkContext.broadcast(bitmap(model.table)), spark.sparkContext.broadcast(_hottest(model.table, HOT))
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), held_out(docs["doc_id"]).alias("held_out"), text_of(docs).alias("text"))
-    rows = texts.mapInArrow(_score(depth, bits, hot), "row long, key long, n int, is_word boolean, own struct<doc_id:long,held_out:boolean,n_tokens:long,known:long,base:double,gain:double>")
-    met = rows.join(model.table.select("key", "value").hint("shuffle_hash"), "key", "left").filter("own is not null or value is not null")
-    amount = F.col("n") * F.col("value")
-    of = lambda is_word, what: F.coalesce(F.sum(F.when(F.col("own").isNull() & (F.col("is_word") == is_word), what)), F.lit(0))
-    found = met.groupBy("row").agg(F.max("own").alias("own"), of(True, F.col("n")).alias("more"), of(True, amount).alias("more_base"), of(False, amount).alias("more_gain"))
-    base = F.col("own.n_tokens") * model.unknown + F.col("own.base") + F.col("more_base")
-    return found.select("own.doc_id", "own.held_out", "own.n_tokens", (F.col("own.known") + F.col("more")).alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("own.gain") + F.col("more_gain")).alias("score"))
+    A text's own row goes with the keys that its slice asks for, to a part that spreads such rows, so the texts are read once."""
+    rows, others = asked(docs, model.table, depth)
+    if others is not None:
+        met = rows.groupBy("part").cogroup(others.groupBy("part")).applyInArrow(_answered, from_arrow_schema(SUMS))
+        rows = met.groupBy("row").agg(*(F.max(c).alias(c) for c in ("doc_id", "held_out", "n_tokens")), *(F.sum(c).alias(c) for c in ("known", "base", "gain")))
+    base = F.col("n_tokens") * model.unknown + F.col("base")
+    return rows.select("doc_id", "held_out", "n_tokens", F.col("known").alias("n_known"), F.lit(model.tokens).cast("long").alias("train_tokens"), base.alias("base_score"), (base + F.col("gain")).alias("score"))
 
 
 def suffix_tree_scores(docs: DataFrame, depth: int = DEPTH, least_context: int = LEAST_CONTEXT, least_pair: int = LEAST_PAIR) -> DataFrame:
