@@ -52,16 +52,20 @@ class CodeGraph:
         return self.store.change(change, after)
 
     def refresh(self, files: DataFrame, longest: int | None = graph.LONGEST_LINE, most: int | None = graph.MOST_CALLS) -> dict[str, int]:
-        """Brings the graph up to ``files`` (file, source, hash); how many files were read and dropped, and references resolved."""
+        """Brings the graph up to ``files`` (file, source, hash); how many files were read and dropped, and references resolved.
+
+        ``files`` is worked out twice, for the hashes and for the lines; lines are dealt over all tasks, however few files there are."""
         after = self.store.versions.latest()
-        known = stored(changes(self.read("files", after), files, "file", "hash"), "changed")
+        hashes = stored(files.select("file", "hash"), "hashes")
+        known = stored(changes(self.read("files", after), hashes, "file", "hash"), "changed")
         sizes = {r["change"]: r["n"] for r in known.groupBy("change").agg(F.count("*").alias("n")).collect()}  # three values
         if not sizes:
             return {"read": 0, "dropped": 0, "resolved": 0}
-        fresh, dropped = files.join(known.filter("change <> 'deleted'").select("file"), "file", "left_semi"), known.filter("change = 'deleted'").select("file")
-        lines = graph.source_lines(fresh)
+        changed, dropped = known.filter("change <> 'deleted'").select("file"), known.filter("change = 'deleted'").select("file")
+        fresh = hashes.join(changed, "file", "left_semi")
+        lines = stored(graph.source_lines(files.join(changed, "file", "left_semi")).repartition("file", "line"), "lines")
         symbols = stored(graph.symbols(graph.declarations(lines, longest), self.project), "symbols")
-        called = graph.calls(lines, longest, most).select("file", "line", "name", F.lit("calls").alias("relation"), F.lit(True).alias("weak"))
+        called = stored(graph.calls(lines, longest, most).select("file", "line", "name", F.lit("calls").alias("relation"), F.lit(True).alias("weak")), "called")
         refs = stored(graph.nearest_above(called, symbols), "refs")
 
         # A name resolves anew where its set of symbols is no longer the same.
