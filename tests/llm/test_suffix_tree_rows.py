@@ -1,10 +1,12 @@
 """What the suffix tree's passes over the texts hand on: few rows, and pairs that can matter."""
 
+import time
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_schema
 
 from lorekeep.llm import suffix_tree
 from lorekeep.llm.words import joined
@@ -49,3 +51,39 @@ def test_only_pairs_that_a_shorter_context_holds_are_counted(spark):
         for c, w, n in zip(r["context_at"], r["word_at"], r["n"], strict=True):
             seen[r["contexts"][c], r["words"][w] % 2**64] += n
     assert seen == {(pair("a", "b"), key["c"]): 2}
+
+
+def test_answers_are_rows_by_slice_and_part(spark, monkeypatch):
+    """Not by text and part, of which there are more with each part."""
+    rows = docs(spark)
+    monkeypatch.setattr(suffix_tree, "HOT", 3)
+    model = suffix_tree.fit(rows.filter(~suffix_tree.held_out(F.col("doc_id"))), 3, 4, 2)
+    monkeypatch.setattr(suffix_tree, "PART_KEYS", -(-model.table.count() // 8))
+    asked, others = suffix_tree.asked(rows, model.table)
+    sums = asked.groupBy("part").cogroup(others.groupBy("part")).applyInArrow(suffix_tree._answered, from_arrow_schema(suffix_tree.SUMS))
+    assert 120 < sums.count() <= 120 + 3 * 2 * 8
+
+
+def shuffle_files(spark):
+    files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+
+def test_shuffle_files_go_with_the_query_that_wrote_them(spark, monkeypatch):
+    monkeypatch.setattr(suffix_tree, "HOT", 3)
+    rows, setting = docs(spark), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows.count()
+    before, as_set = shuffle_files(spark), spark.conf.get(setting, None)
+    scored = suffix_tree.suffix_tree_scores(rows, 3, 4, 2)
+    for _ in range(20):  # Spark doesn't wait until they are gone
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.5)
+    assert not left and spark.conf.get(setting, None) == as_set and scored.count() == 120
+
+
+def test_pairs_gathered_from_slices_and_shares_change_nothing(spark, monkeypatch):
+    for name, value in {"HELD_PAIRS": 60, "GIVEN_PAIRS": 9, "COUNT_BYTES": 500, "SHARES": {1: 3, 3: 2}, "ROUNDS": 3, "HOT": 3, "PART_KEYS": 40}.items():
+        monkeypatch.setattr(suffix_tree, name, value)
+    rows = docs(spark)
+    same(rows, rows_of(rows), 3, 4, 2)
