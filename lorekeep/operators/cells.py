@@ -10,11 +10,13 @@ k-th best score so far, which gives what a search of all vectors gives.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -28,8 +30,10 @@ SAMPLE, STEPS, MOST_CELLS = 128, 8, 1 << 14
 RECALL, NEAREST, MEASURED = 0.95, 20, 128
 #: Products of vectors and centres that are held at once.
 BLOCK = 1 << 21
-#: Queries and vectors that are compared at once, and blocks of them that a task passes on at once.
-QUERIES, VECTORS, SENT = 256, 1024, 8
+#: Queries and vectors that are compared at once; queries of a task, and vectors that it reads.
+QUERIES, VECTORS, TASK_QUERIES, TASK_VECTORS = 2048, 1024, 1 << 13, 1 << 19
+#: Found rows whose scores are summed at once.
+SUMMED = 1 << 15
 #: Seeds the choice of the sample and of the first centres.
 SEED = 17
 
@@ -109,49 +113,143 @@ def centres_of(vectors: DataFrame, width: int, cells: int, sample: int = SAMPLE,
     return centres, _probes(chosen, centres)
 
 
-def _blocks(rows: DataFrame, key: str, size: int, schema: str) -> DataFrame:
-    """Rows (``key``, embedding, cell) as lists of at most ``size`` rows of one cell, by ``key``."""
+def _packed(batch: pa.RecordBatch) -> bytes:
+    """Rows as one value, which Spark passes on without looking at their components."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema) as writer:
+        writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(value: pa.Scalar) -> pa.RecordBatch:
+    return pa.ipc.open_stream(value.as_buffer()).read_next_batch()
+
+
+def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Queries (query_id, embedding) as blocks of at most QUERIES."""
+    for batch in batches:
+        n = -(-batch.num_rows // QUERIES)
+        for i in range(n):
+            start, end = batch.num_rows * i // n, batch.num_rows * (i + 1) // n
+            yield pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().hex]), pa.array([_packed(batch.slice(start, end - start))], pa.binary())], ["block", "asked"])
+
+
+def _first_copies(vectors: np.ndarray, limit: int) -> np.ndarray:
+    """Places of the first ``limit`` of equal vectors. Equal vectors have equal scores, so that of those in the order of
+    their ids no later one can be among the ``limit`` best of any query."""
+    rows = np.ascontiguousarray(vectors)
+    _, same = np.unique(rows.view(np.dtype((np.void, rows.dtype.itemsize * rows.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(same, kind="stable")
+    return np.sort(order[np.arange(len(order)) - np.searchsorted(same[order], same[order]) < limit])
+
+
+def _held(width: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Stored vectors (id, embedding, cell) as blocks of at most VECTORS of one cell, by id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cells = batch.column("cell").to_numpy()
             starts = np.flatnonzero(np.diff(cells, prepend=cells[:1] - 1)) if len(cells) else []
-            cuts = [c for a, b in zip(starts, [*starts[1:], len(cells)], strict=True) for c in range(a, b, size)]
-            if not cuts:
-                continue
-            offsets = pa.array([*cuts, len(cells)], pa.int32())
-            lists = [pa.ListArray.from_arrays(offsets, batch.column(c)) for c in (key, "embedding")]
-            for at in range(0, len(cuts), SENT):
-                yield pa.RecordBatch.from_arrays([pa.array(cells[cuts[at : at + SENT]]), *(x.slice(at, SENT) for x in lists)], names)
-
-    names = [c.split()[0] for c in schema.split(", ")]
-    return rows.select(key, "embedding", "cell").repartition("cell").sortWithinPartitions("cell", key).mapInArrow(run, schema)
+            for start, end in zip(starts, [*starts[1:], len(cells)], strict=True):
+                rows = batch.slice(start, end - start).select(["id", "embedding"])
+                rows = rows.take(pc.sort_indices(rows.column("id")))
+                rows = rows.take(pa.array(_first_copies(_matrix(rows.column("embedding"), width), limit)))
+                for at in range(0, rows.num_rows, VECTORS):
+                    yield pa.RecordBatch.from_arrays([pa.array(cells[start : start + 1]), pa.array([_packed(rows.slice(at, VECTORS))], pa.binary())], ["cell", "held"])
 
+    return run
 
-def _best_of(width: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """For rows of a block of queries and a block of vectors in the order of their ids: the ``limit`` best vectors of each query.
 
-    A matrix product finds all that may be among them; their scores are summed in the order of components, so that equal
-    vectors have equal scores wherever they lie."""
+class _Found:
+    """The best rows so far of a block of queries, of the cells that each of them reads."""
+
+    def __init__(self, asked: pa.RecordBatch, centres: np.ndarray, probes: int, limit: int):
+        self.ids, self.limit, self.vectors = asked.column("query_id"), limit, _matrix(asked.column("embedding"), centres.shape[1])
+        self.single = pa.types.is_float32(asked.column("embedding").type.value_type)
+        self.length, self.least = np.linalg.norm(self.vectors, axis=1), np.full(len(self.vectors), -np.inf)
+        self.reads = np.zeros((len(centres), len(self.vectors)), bool)
+        rows = max(1, BLOCK // len(centres))
+        for i in range(0, len(self.vectors), rows):
+            first = np.argsort(-(self.vectors[i : i + rows] @ centres.T), axis=1, kind="stable")[:, :probes]
+            self.reads[first.ravel(), np.repeat(np.arange(i, i + len(first)), first.shape[1])] = True
+        self.parts: list[tuple[np.ndarray, np.ndarray, pa.Array]] = []
+        self.waiting = self.settled = 0
+
+    def meet(self, cell: int, held: pa.RecordBatch) -> None:
+        """A matrix product finds all rows of a block that may be among the best, by the least score that was among them so far. Their
+        scores are summed in the order of components, so that equal vectors have equal scores wherever they lie."""
+        own = np.flatnonzero(self.reads[cell])
+        if not len(own) or not held.num_rows:
+            return
+        v = _matrix(held.column("embedding"), self.vectors.shape[1])
+        reach = np.linalg.norm(v, axis=1).max() * self.length[own]
+        # Half the digits do where both sides have them and no product leaves their range: ``error`` bounds what the product is off by.
+        single = self.single and pa.types.is_float32(held.column("embedding").type.value_type) and reach.max() < 1e30
+        kind = np.float32 if single else np.float64
+        near = self.vectors[own].astype(kind) @ v.astype(kind).T
+        error = (6e-7 if single else 1e-15) * v.shape[1] * reach + (1e-30 if single else 0.0)
+        least = self.least[own]
+        fresh = np.flatnonzero(np.isneginf(least))
+        if len(fresh) and len(v) >= self.limit:
+            least[fresh] = np.partition(near[fresh], len(v) - self.limit, axis=1)[:, len(v) - self.limit] - 2 * error[fresh]
+            self.least[own] = least
+        bound = np.nextafter((least - 2 * error).astype(kind), kind(-np.inf))
+        at = np.flatnonzero((near >= bound[:, None]).ravel())
+        for hits in (at[i : i + SUMMED] for i in range(0, len(at), SUMMED)):
+            query, other = np.divmod(hits, len(v))
+            query = own[query]
+            score = np.zeros(len(hits))
+            for product in np.ascontiguousarray((self.vectors[query] * v[other]).T):
+                score += product
+            self.parts.append((query, score, held.column("id").take(pa.array(other))))
+            self.waiting += len(hits)
+            if self.waiting > self.settled + self.limit * len(self.vectors):
+                self.cut()
+
+    def cut(self) -> None:
+        """Keeps the best rows of each query; of equal scores those of the smaller ids."""
+        query, score = (np.concatenate([part[i] for part in self.parts]) for i in range(2))
+        ids = pa.concat_arrays([part[2] for part in self.parts])
+        order = np.lexsort((-score, query))
+        start = np.searchsorted(query[order], query[order])
+        place = np.arange(len(order)) - start
+        last = order[np.minimum(start + self.limit - 1, len(order) - 1)]  # the row at the limit, or one of another query if there are fewer
+        cut = place >= self.limit
+        keep = np.ones(len(order), bool)
+        keep[cut] = score[order[cut]] >= score[last[cut]]
+        if (keep & cut).any():  # the ids decide among equal scores
+            rows = order[keep]
+            table = pa.table({"query": query[rows], "score": score[rows], "id": ids.take(pa.array(rows))})
+            order = rows[pc.sort_indices(table, [("query", "ascending"), ("score", "descending"), ("id", "ascending")]).to_numpy()]
+            place = np.arange(len(order)) - np.searchsorted(query[order], query[order])
+            keep = place < self.limit
+        order, place = order[keep], place[keep]
+        full = order[place == self.limit - 1]
+        self.least[query[full]] = np.maximum(self.least[query[full]], score[full])
+        self.parts = [(query[order], score[order], ids.take(pa.array(order)))]
+        self.waiting = self.settled = len(order)
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        if self.parts:
+            self.cut()
+            query, score, ids = self.parts[0]
+            yield pa.RecordBatch.from_arrays([self.ids.take(pa.array(query)), ids, pa.array(score)], ["query_id", "id", "score"])
+
+
+def _best_of(centres: np.ndarray, places: dict[int, int], probes: int, limit: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For pairs of a block of queries and a block of vectors, by query block: the ``limit`` best vectors of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, found = None, None
         for batch in batches:
-            for at in range(batch.num_rows):
-                query_id, asked, ids, held = (batch.column(c)[at].values for c in ("query_id", "asked", "id", "embedding"))
-                a, v = _matrix(asked, width), _matrix(held, width)
-                near, most = a @ v.T, min(limit, len(v))
-                error = 1e-15 * width * np.linalg.norm(a, axis=1) * np.linalg.norm(v, axis=1).max()
-                least = np.partition(near, len(v) - most, axis=1)[:, len(v) - most] - 4 * error
-                own, other = np.nonzero(near >= least[:, None])
-                score = np.zeros(len(own))
-                for i in range(width):
-                    score += a[own, i] * v[other, i]
-                order = np.lexsort((other, -score, own))
-                own, other, score = own[order], other[order], score[order]
-                place = np.arange(len(own)) - np.searchsorted(own, own)
-                kept = place < limit
-                own, other = pa.array(own[kept]), pa.array(other[kept])
-                yield pa.RecordBatch.from_arrays([query_id.take(own), ids.take(other), pa.array(score[kept])], ["query_id", "id", "score"])
+            for i in range(batch.num_rows):
+                if (own := batch.column("block")[i].as_py()) != block:
+                    if found:
+                        yield from found.rows()
+                    block, found = own, _Found(_unpacked(batch.column("asked")[i]), centres, probes, limit)
+                found.meet(places[batch.column("cell")[i].as_py()], _unpacked(batch.column("held")[i]))
+        if found:
+            yield from found.rows()
 
     return run
 
@@ -233,29 +331,20 @@ class VectorIndex:
     def neighbours(self, queries: DataFrame, limit: int, probes: int | None = None) -> DataFrame:
         """query_id, id, score, rank of the ``limit`` nearest of each query (query_id, embedding) among its first cells.
 
-        Queries are dealt to the cells they search; a cell's vectors meet only those, block by block, and ``limit`` rows of a
-        query leave a block."""
+        Queries are dealt over tasks once, as blocks. A task reads the blocks of up to TASK_VECTORS vectors from where they are stored, so
+        that no vector is shuffled and no query copied to its cells; ``limit`` rows a query leave it."""
         width, probes = self.state["width"], probes or self.state["probes"]
-        rows = self.spark.read.parquet(self.versions.path(self.state["centres"])).select("cell", "centre").toArrow()  # a row for each cell
-        cell = rows["cell"].to_numpy()
-        centres = _matrix(rows["centre"].combine_chunks(), width)
-
-        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                asked = _matrix(batch.column("embedding"), width)
-                first = np.argsort(-(asked @ centres.T), axis=1, kind="stable")[:, :probes]
-                own = np.repeat(np.arange(len(asked)), first.shape[1])
-                yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(own)), batch.column("embedding").take(pa.array(own)), pa.array(cell[first.ravel()])], ["query_id", "asked", "cell"])
-
+        rows = self.spark.read.parquet(self.versions.path(self.state["centres"])).select("cell", "centre", "n").toArrow()  # a row for each cell
+        places = {c: i for i, c in enumerate(rows["cell"].to_pylist())}
+        centres, n = _matrix(rows["centre"].combine_chunks(), width), sum(rows["n"].to_pylist())
         own = queries.filter(F.size("embedding") == width).select("query_id", "embedding")
-        kind, vector = own.schema["query_id"].dataType.simpleString(), own.schema["embedding"].dataType.simpleString()
-        dealt = own.mapInArrow(deal, f"query_id {kind}, asked {vector}, cell int").withColumnRenamed("asked", "embedding")
+        tasks = max(self.spark.sparkContext.defaultParallelism, -(-own.count() // TASK_QUERIES))
+        asked = own.repartition(tasks, "query_id").mapInArrow(_asked, "block string, asked binary")
         held = self._stored().select("id", "embedding", "cell")
-        id_type, width_of = held.schema["id"].dataType.simpleString(), held.schema["embedding"].dataType.simpleString()
-        asked = _blocks(dealt, "query_id", QUERIES, f"cell int, query_id array<{kind}>, asked array<{vector}>")
-        found = _blocks(held, "id", VECTORS, f"cell int, id array<{id_type}>, embedding array<{width_of}>")
-        # What a block holds isn't in Spark's estimates, so neither side may be broadcast by them.
-        met = asked.join(found.hint("merge"), "cell").select("query_id", "asked", "id", "embedding")
-        scored = met.mapInArrow(_best_of(width, limit), f"query_id {kind}, id {id_type}, score double")
+        kind, id_type = own.schema["query_id"].dataType.simpleString(), held.schema["id"].dataType.simpleString()
+        held = stored(held.mapInArrow(_held(width, limit), "cell int, held binary"), "held").coalesce(max(1, -(-n // TASK_VECTORS)))
+        # A product deals each pair of partitions to a task, by query block, and shuffles nothing.
+        met = asked.crossJoin(held.hint("shuffle_replicate_nl"))
+        scored = met.mapInArrow(_best_of(centres, places, probes, limit), f"query_id {kind}, id {id_type}, score double")
         best = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
         return scored.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= limit)
