@@ -4,7 +4,7 @@ A change writes one new segment with the postings of its rows, and tombstones fo
 nothing else is written. Segments of like size are merged when there are FAN of them, and one whose rows are mostly dead is
 written again, so that there are some FAN log(n) segments. A segment knows how many rows and tokens it and its
 tombstones hold: the corpus' size and average length are sums over segments, without reading any. A term's postings lie in one
-folder of each segment, in order of their hashes, so a search reads those folders only; the number of a term's rows is counted
+folder of each segment, so a search reads those folders only; the number of a term's rows is counted
 among the live ones it reads.
 
 All of it is named by one manifest (sources.versions): a change becomes visible at once, and readers pin a version.
@@ -159,9 +159,8 @@ class SearchIndex:
         """Writes a segment of postings and rows; ``n`` sets how many folders it gets."""
         folders, parts = _layout(n)
         segment = {"postings": self.versions.new_folder("postings"), "rows": self.versions.new_folder("rows"), "folders": folders, "dead": [], "n_dead": 0, "length_dead": 0, "name": name}
-        hashed = F.crc32(F.col("term").cast("binary"))
-        dealt = found.withColumn("folder", F.pmod(hashed, F.lit(folders)).cast("int"))
-        dealt = dealt.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(parts))).sortWithinPartitions(hashed)  # a number is sorted much faster than words; the write sorts by folder
+        dealt = found.withColumn("folder", F.pmod(F.crc32(F.col("term").cast("binary")), F.lit(folders)).cast("int"))
+        dealt = dealt.repartition("folder", F.pmod(F.xxhash64("id"), F.lit(parts)))  # the write sorts by folder, and no order within one is needed
         dealt.write.partitionBy("folder").parquet(self.versions.path(segment["postings"]))
         rows.write.parquet(self.versions.path(segment["rows"]))
         count, length = self._read(segment["rows"], ROWS).agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).head()
